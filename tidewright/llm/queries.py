@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact_dedup, line_rules, simhash, url_filter
+from tidewright.llm import byte_bpe, exact_dedup, langid, line_rules, packing, simhash, token_counts, url_filter, warc
 
 #: The URL rules of ``op1_url_filter``: host, path, verdict.
 URL_RULES = (
@@ -31,6 +31,35 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.find_near(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +78,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_line_dedup, op8_simhash_near_dedup, op9_exact_dedup, op10_quality_rules)
+        for f in (
+            op1_url_filter, op2_line_dedup, op3_best_fit_packing, op4_byte_bpe, op5_language_id, op6_token_counts, op7_warc,
+            op8_simhash_near_dedup, op9_exact_dedup, op10_quality_rules,
+        )
     }
 
 
@@ -96,6 +128,16 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_drop
 FROM docs JOIN joined USING (rid)
 """
 
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -133,6 +175,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
+        "op7_warc": OP7_SQL,
         "op9_exact_dedup": OP9_SQL,
         "op10_quality_rules": OP10_SQL,
     }
