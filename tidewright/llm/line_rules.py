@@ -182,3 +182,12 @@ def apply_quality_rules(
     return measured.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (left >= F.lit(left_share) * F.col("n_words"))
     ).drop("drop_lines")
+
+
+def keep_quality(docs: DataFrame, host: str = "source", text: str = "text", share: float = 0.02, least: int = 50, left_share: float = 0.2) -> DataFrame:
+    """``docs`` without the documents that ``apply_quality_rules`` rejects; all its columns, whatever their names, stay as they are."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = docs.select(F.col(host).alias("__host"), F.col(text).alias("__text"), whole.alias("__row"))
+    judged = apply_quality_rules(chosen, "__host", "__text", share, least, left_share)
+    # A generator, not a filter: a filter on ``kept`` would move below the metrics and compute them several times over.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")

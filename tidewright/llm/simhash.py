@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 
 from tidewright.llm.common import materialize
-from tidewright.llm.components import components
+from tidewright.llm.components import components, local_forest
 
 SEED = 42
 #: Estimated cost of a row that is written and sorted, against that of a candidate that is verified.
 ROW_COST, PAIR_COST = 1.0, 0.02
 #: Shingles whose bits are counted at a time, so a very long text needs no more memory than that.
-BLOCK = 1 << 16
+BLOCK = 1 << 12
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -48,14 +48,21 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:])], dtype=np.uint64)
 
 
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows (of bytes) have each bit. Eight one-byte counts are added at once, so up to 255 rows at a time."""
+    counts = np.zeros(8 * rows.shape[1], dtype=np.int64)
+    for at in range(0, len(rows), BLOCK):
+        lanes = np.unpackbits(rows[at : at + BLOCK], axis=1).view(np.uint64)
+        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
+        counts += np.ascontiguousarray(sums).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return counts
+
+
 def majority(hashes: np.ndarray) -> int:
     """The 64-bit fingerprint: each bit that is set in over half of the hashes."""
     if not len(hashes):
         return 0
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        block = np.ascontiguousarray(hashes[at : at + BLOCK].astype(">u8")).view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
+    counts = bit_counts(hashes.astype(">u8").view(np.uint8).reshape(-1, 8))
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -187,23 +194,22 @@ def _keyed(prints: DataFrame, plan: list[tuple[list[int], int]], probes: bool) -
     return prints.select("*", F.explode(F.concat(*keys)).alias("k")).select("k.part", "k.value", *prints.columns)
 
 
-def link_prints(prints: DataFrame, distance: int, more: tuple[str, ...] = (), more_distance: int = 0) -> DataFrame:
-    """Links (``a``, ``b``) between distinct fingerprints ``fp`` within ``distance`` bits; no such link is left out.
+def link_prints(prints: DataFrame, distance: int, ident: str = "fp") -> DataFrame:
+    """Links (``a``, ``b``: values of ``ident``) between rows whose fingerprints ``fp`` lie within ``distance`` bits.
 
-    With ``more``, further fingerprint columns, the links must also lie within ``more_distance`` bits over those together.
-    Hot values of a part are split by adaptive execution, as both sides arrive at the join by plain exchanges.
+    No such link is left out. ``ident`` tells rows apart. Hot values of a part are split by adaptive execution, as both
+    sides arrive at the join by plain exchanges.
     """
     rows, both = bit_statistics(prints)
     plan = plan_parts(rows, both, distance)
-    index, probe = _keyed(prints, plan, False), _keyed(prints, plan, True)
-    for c in ("fp", *more):
+    chosen = prints.select("fp", F.col(ident).alias("ident"))
+    index, probe = _keyed(chosen, plan, False), _keyed(chosen, plan, True)
+    for c in ("fp", "ident"):
         index, probe = index.withColumnRenamed(c, f"i_{c}"), probe.withColumnRenamed(c, f"p_{c}")
-    apart = lambda c: F.bit_count(F.col(f"i_{c}").bitwiseXOR(F.col(f"p_{c}")))
-    close = (F.col("i_fp") < F.col("p_fp")) & (apart("fp") <= distance)
-    if more:
-        close &= sum((apart(c) for c in more[1:]), apart(more[0])) <= more_distance
+    apart = F.bit_count(F.col("i_fp").bitwiseXOR(F.col("p_fp")))
+    close = (F.col("i_ident") < F.col("p_ident")) & (apart <= distance)
     on = (index["part"] == probe["part"]) & (index["value"] == probe["value"])
-    return index.hint("merge").join(probe, on & close).select(F.col("i_fp").alias("a"), F.col("p_fp").alias("b"))
+    return index.hint("merge").join(probe, on & close).select(F.col("i_ident").alias("a"), F.col("p_ident").alias("b"))
 
 
 def find_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -217,3 +223,148 @@ def find_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
     return prints.join(named, "fp").select(
         F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# --- Near copies by similarity ---------------------------------------------------------------------------------------
+# The pigeonhole finds fingerprints a few bits apart without loss. Texts of similarity 0.8 lie some ten of 64 bits apart and
+# up to fifteen; at such a distance the parts are so short that a hundredth of all pairs are candidates. So the pigeonhole
+# joins what is close, and what it leaves is sought by sampled bits of a longer fingerprint, and compared exactly.
+
+#: Words of the longer fingerprint, the tables of sampled bits, and the bits in a key. Two texts of similarity 0.8 share a key in
+#: some table with a chance of about 0.9, of 0.9 with 0.999.
+WIDE, TABLES, KEY_BITS = 8, 128, 24
+#: Keys that two components share, and ids that go, are broadcast (8 bytes each) up to this many; beyond, the join shuffles.
+BROADCAST_KEYS = 1_000_000
+WIDE_COLUMNS = [f"w{k}" for k in range(WIDE)]
+
+
+def differing_share(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of this Jaccard similarity differ at most, in the mean."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def bits_apart(similarity: float, errors: float) -> int:
+    """The bits of the longer fingerprint that such sets differ in, and so many standard errors more."""
+    p, n = differing_share(similarity), 64 * WIDE
+    return int(n * p + errors * np.sqrt(n * p * (1 - p)))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode().lower().split(), width))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` signed words of SimHash, each from hashes mixed anew."""
+    counts = np.zeros(64 * WIDE, dtype=np.int64)
+    salts = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), BLOCK):
+        x = (hashes[at : at + BLOCK, None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        counts += bit_counts((x ^ x >> np.uint64(32)).view(np.uint8))
+    return np.packbits(counts * 2 > len(hashes)).view(np.int64)
+
+
+def _wide_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, prints = [], []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if len(hashes := shingle_set(text.as_py(), width)):
+                ids.append(i)
+                prints.append(wide_print(hashes))
+        words = np.array(prints, dtype=np.int64).reshape(-1, WIDE).T
+        yield pa.record_batch([pa.array(ids, pa.int64()), *map(pa.array, words)], names=["id", *WIDE_COLUMNS])
+
+
+def _table_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, id, root`` for each table: the table's number before the sampled bits."""
+    random = np.random.default_rng(11)
+    places = np.concatenate([random.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
+    table = (np.arange(TABLES, dtype=np.int64) << KEY_BITS)[None, :]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            words = np.array([c.to_numpy() for c in part.columns[2:]]).T
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
+            packed = np.packbits(bits[:, places].reshape(-1, TABLES, KEY_BITS), axis=2).astype(np.int64)
+            keys = table + sum(packed[:, :, k] << (KEY_BITS - 8 - 8 * k) for k in range(packed.shape[2]))
+            ids, roots = (np.repeat(part.column(k).to_numpy(), TABLES) for k in (0, 1))
+            yield pa.record_batch([pa.array(keys.ravel()), pa.array(ids), pa.array(roots)], names=["key", "id", "root"])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+            one, other = shingle_set(x.as_py(), width), shingle_set(y.as_py(), width)
+            shared = len(np.intersect1d(one, other, assume_unique=True))
+            keep.append(shared >= similarity * (len(one) + len(other) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _with_words(links: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links with the bits in which their longer fingerprints differ."""
+    for side in "ab":
+        renamed = prints.select(F.col("id").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in WIDE_COLUMNS])
+        links = links.join(renamed, side)
+    return links.withColumn("apart", _apart("a_", "b_")).select("a", "b", "apart")
+
+
+def _apart(one: str, other: str) -> Column:
+    return sum((F.bit_count(F.col(one + w).bitwiseXOR(F.col(other + w))) for w in WIDE_COLUMNS), F.lit(0))
+
+
+def _farther_links(docs: DataFrame, rooted: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links of at least ``similarity`` between different roots: keys shared by two roots, longer fingerprints, texts.
+
+    Only keys that more than one root has come to the join, so that copies that are joined already don't meet again.
+    """
+    keyed = rooted.select("id", "root", *WIDE_COLUMNS).mapInArrow(_table_batches, "key bigint, id bigint, root bigint")
+    shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    shared = materialize(shared.select("key"), "near-keys")
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
+    live = materialize(keyed.join(side, "key", "left_semi").join(rooted.select("id", *WIDE_COLUMNS), "id"), "near-live")
+    one, other = ({c: f"{side}_{c}" for c in ("id", "root", *WIDE_COLUMNS)} for side in "ab")
+    near = (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & (_apart("a_", "b_") <= bits_apart(similarity, 2.6))
+    a, b = live.withColumnsRenamed(one), live.withColumnsRenamed(other)
+    pairs = a.hint("merge").join(b, (a["key"] == b["key"]) & near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    pairs = materialize(pairs, "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "id", "left_semi")
+    for s in "ab":
+        pairs = pairs.join(texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")), s)
+    return pairs.mapInArrow(partial(_similar_batches, width=width, similarity=similarity), "a bigint, b bigint")
+
+
+def near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 4
+) -> DataFrame:
+    """``id, root`` of every row that is a near copy: those whose root, the smallest id reachable, is another row.
+
+    Two texts are linked if their sets of ``width``-word shingles have that Jaccard similarity. Equal longer fingerprints are
+    linked first; then pairs within ``distance`` bits, by the pigeonhole, whose longer fingerprints leave no doubt; then the
+    rest, compared exactly. Rows with a null id, and texts without words, are nobody's copies; rows that repeat an id count
+    as one document.
+    """
+    chosen = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
+    schema = ", ".join(["id bigint", *(f"{w} bigint" for w in WIDE_COLUMNS)])
+    prints = materialize(chosen.mapInArrow(partial(_wide_batches, width=width), schema), "wide")
+    least = prints.groupBy(*WIDE_COLUMNS).agg(F.min("id").alias("id"))
+    reps = materialize(least.withColumn("fp", F.col("w0")), "near-reps")
+    sure = bits_apart(similarity, -3.2)
+    close = _with_words(link_prints(reps, distance, "id"), reps).where(F.col("apart") <= sure).select("a", "b")
+    close = materialize(close.mapInArrow(local_forest, "a bigint, b bigint"), "near-close")
+    first = components(close)
+    rooted = materialize(reps.join(first, reps["id"] == first["node"], "left").select(reps["*"], F.coalesce("root", "id").alias("root")), "near-rooted")
+    links = close.union(_farther_links(chosen, rooted, width, similarity))
+    last = components(links)
+    named = reps.join(last, reps["id"] == last["node"], "left").select(*WIDE_COLUMNS, F.coalesce("root", "id").alias("root"))
+    return prints.join(named, WIDE_COLUMNS).where("id <> root").select("id", "root").distinct()
+
+
+def drop_near(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 4
+) -> DataFrame:
+    """``docs`` without near copies: of each group the row with the smallest id stays. All its columns stay as they are."""
+    gone = materialize(near_copies(docs, key, text, width, similarity, distance).select(F.col("id").alias("__id")), "near-gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return docs.join(side, docs[key].cast("bigint") == side["__id"], "left_anti")
