@@ -25,6 +25,8 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
+from tidewright.llm.common import map_arrow
+
 #: Pre-tokens whose ids a task remembers; it starts afresh when full.
 MOST_CACHED = 400_000
 #: Pre-tokens that are encoded at a time.
@@ -195,17 +197,17 @@ def _digest_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str)
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids``: token ids of every text as little-endian 32-bit integers."""
     chosen = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(partial(_encode_batches, path=path, pattern=pattern), "id bigint, ids binary").withColumnRenamed("id", key)
+    return map_arrow(chosen, partial(_encode_batches, path=path, pattern=pattern), "id bigint, ids binary").withColumnRenamed("id", key)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """``key, data``: the bytes behind the ``ids`` of ``encode``."""
     chosen = encoded.select(F.col(key).alias("id"), F.coalesce("ids", F.lit(b"")).alias("ids"))
-    return chosen.mapInArrow(partial(_decode_batches, path=path, pattern=pattern), "id bigint, data binary").withColumnRenamed("id", key)
+    return map_arrow(chosen, partial(_decode_batches, path=path, pattern=pattern), "id bigint, data binary").withColumnRenamed("id", key)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every text, decodes the ids: ``key, n_tokens, ids_sha256, decoded_sha256``; no shuffle."""
     chosen = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return chosen.mapInArrow(partial(_digest_batches, path=path, pattern=pattern), schema).withColumnRenamed("id", key)
+    return map_arrow(chosen, partial(_digest_batches, path=path, pattern=pattern), schema).withColumnRenamed("id", key)

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: ASCII white space as the contracts define it: space and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 22
+
 _own_dir: list[str] = []
 
 
@@ -43,6 +49,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of bounded rows and bytes: a task holds one batch on either side, however long its texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def words_of(text: Column) -> Column:
     """The ASCII-white-space separated words of a text; no words for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import materialize
+from tidewright.llm.common import map_arrow, materialize
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -41,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     table in the shared folder. Links of a node to itself and repeated links do no harm.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-    edges = materialize(edges.mapInArrow(local_forest, "a bigint, b bigint").distinct(), "links")
+    edges = materialize(map_arrow(edges, local_forest, "a bigint, b bigint").distinct(), "links")
     state = None
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a")))

@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from tidewright.llm.common import map_arrow
+
 #: Hashed n-gram features, and the lengths of the n-grams in bytes of the lower-cased text.
 FEATURES, ORDERS = 1 << 14, (1, 2, 3)
 #: Languages, commonest first, that are learnt; and random bits in a codeword beside one for each language.
@@ -124,7 +126,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
     Each task sends at most ``FEATURES`` numbers for each language, and so does the aggregation in the end.
     """
     labelled = docs.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counted = labelled.mapInArrow(_count, "lang string, feature int, weight bigint").groupBy("lang", "feature").agg(F.sum("weight").alias("weight"))
+    counted = map_arrow(labelled, _count, "lang string, feature int, weight bigint").groupBy("lang", "feature").agg(F.sum("weight").alias("weight"))
     by_language = counted.groupBy("lang").agg(
         F.sum("weight").cast("decimal(38,0)").alias("total"), F.collect_list(F.struct("feature", "weight")).alias("used")
     )
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(chosen.dtypes)["id"]
     schema = f"id {kind}, lang_pred string, score double, ambiguous boolean"
-    return chosen.mapInArrow(partial(_predict, model=sent), schema).withColumnRenamed("id", key)
+    return map_arrow(chosen, partial(_predict, model=sent), schema).withColumnRenamed("id", key)
 
 
 def held_out(key: Column) -> Column:
@@ -190,4 +192,4 @@ def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang") ->
         return docs.where(F.lit(False))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     marked = docs.withColumns({"__text": F.col(text), "__letter": has_letter(F.col(text))})
-    return marked.mapInArrow(partial(_judge_rows, model=sent), docs.schema)
+    return map_arrow(marked, partial(_judge_rows, model=sent), docs.schema)

@@ -23,7 +23,7 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import materialize
+from tidewright.llm.common import map_arrow, materialize
 from tidewright.llm.token_counts import byte_signs, normalise
 
 #: Bins that a partition holds open.
@@ -31,7 +31,7 @@ OPEN_BINS = 512
 #: Bins filled to this share at a partition's end are left as they are; the others' pieces are packed again.
 FULL_SHARE = 0.98
 #: Words, and chunks between white space, whose ids a task remembers; it starts afresh when full.
-MOST_CACHED = 300_000
+MOST_CACHED = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, closed boolean"
 
@@ -124,7 +124,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def tokenise(docs: DataFrame, path: str, most: int = 2048, key: str = "doc_id", text: str = "text", closing: int = 0) -> DataFrame:
     """Pieces of at most ``most`` tokens: ``doc_id, piece, start, length, ids_crc32``."""
     chosen = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(partial(_piece_batches, path=path, most=most, closing=closing), PIECES)
+    return map_arrow(chosen, partial(_piece_batches, path=path, most=most, closing=closing), PIECES)
 
 
 class BestFit:
@@ -210,11 +210,11 @@ def pack(pieces: DataFrame, most: int = 2048, bins: int = OPEN_BINS) -> DataFram
     """
     spark = pieces.sparkSession
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    first = _in_hash_order(pieces).mapInArrow(partial(_place, most=most, bins=bins, base=0, last=False), PLACED)
+    first = map_arrow(_in_hash_order(pieces), partial(_place, most=most, bins=bins, base=0, last=False), PLACED)
     first = materialize(first, "packed")
     again = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
     rest = _in_hash_order(first.where("not closed").select(*names), again)
-    second = rest.mapInArrow(partial(_place, most=most, bins=bins, base=1 << 62, last=True), PLACED)
+    second = map_arrow(rest, partial(_place, most=most, bins=bins, base=1 << 62, last=True), PLACED)
     placed = first.where("closed").unionByName(second)
     return placed.select(*names, F.col("bin").alias("sequence_id"), "offset")
 

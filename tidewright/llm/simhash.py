@@ -26,7 +26,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from tidewright.llm.common import materialize
+from tidewright.llm.common import map_arrow, materialize
 from tidewright.llm.components import components, local_forest
 
 SEED = 42
@@ -82,7 +82,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Itera
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """``id, fp``: the signed 64-bit SimHash of every whole text."""
     chosen = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(partial(_fingerprint_batches, width=width), "id bigint, fp bigint")
+    return map_arrow(chosen, partial(_fingerprint_batches, width=width), "id bigint, fp bigint")
 
 
 # --- Parts and thresholds -------------------------------------------------------------------------------------------
@@ -105,7 +105,7 @@ def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and, for each two bits, how many have both: 64 x 64 counts over all rows."""
-    counted = prints.select("fp").mapInArrow(_count_bits, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    counted = map_arrow(prints.select("fp"), _count_bits, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n"))
     both, rows = np.zeros((64, 64)), 0
     for r in counted.collect():
         if r["i"] < 0:
@@ -318,7 +318,7 @@ def _farther_links(docs: DataFrame, rooted: DataFrame, width: int, similarity: f
 
     Only keys that more than one root has come to the join, so that copies that are joined already don't meet again.
     """
-    keyed = rooted.select("id", "root", *WIDE_COLUMNS).mapInArrow(_table_batches, "key bigint, id bigint, root bigint")
+    keyed = map_arrow(rooted.select("id", "root", *WIDE_COLUMNS), _table_batches, "key bigint, id bigint, root bigint")
     shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     shared = materialize(shared.select("key"), "near-keys")
     side = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
@@ -332,7 +332,7 @@ def _farther_links(docs: DataFrame, rooted: DataFrame, width: int, similarity: f
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "id", "left_semi")
     for s in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")), s)
-    return pairs.mapInArrow(partial(_similar_batches, width=width, similarity=similarity), "a bigint, b bigint")
+    return map_arrow(pairs, partial(_similar_batches, width=width, similarity=similarity), "a bigint, b bigint")
 
 
 def near_copies(
@@ -347,12 +347,12 @@ def near_copies(
     """
     chosen = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
     schema = ", ".join(["id bigint", *(f"{w} bigint" for w in WIDE_COLUMNS)])
-    prints = materialize(chosen.mapInArrow(partial(_wide_batches, width=width), schema), "wide")
+    prints = materialize(map_arrow(chosen, partial(_wide_batches, width=width), schema), "wide")
     least = prints.groupBy(*WIDE_COLUMNS).agg(F.min("id").alias("id"))
     reps = materialize(least.withColumn("fp", F.col("w0")), "near-reps")
     sure = bits_apart(similarity, -3.2)
     close = _with_words(link_prints(reps, distance, "id"), reps).where(F.col("apart") <= sure).select("a", "b")
-    close = materialize(close.mapInArrow(local_forest, "a bigint, b bigint"), "near-close")
+    close = materialize(map_arrow(close, local_forest, "a bigint, b bigint"), "near-close")
     first = components(close)
     rooted = materialize(reps.join(first, reps["id"] == first["node"], "left").select(reps["*"], F.coalesce("root", "id").alias("root")), "near-rooted")
     links = close.union(_farther_links(chosen, rooted, width, similarity))

@@ -30,6 +30,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from tidewright.llm.common import map_arrow
+
 #: Chunks in lockstep, and symbols that are laid out at a time: what a task holds beside its rows.
 LANES, SYMBOLS = 1 << 14, 1 << 22
 #: The table of states starts afresh beyond this many; it is a cache, so that changes no count.
@@ -322,5 +324,5 @@ def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` for every whole text; no shuffle."""
     chosen = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    counted = chosen.mapInArrow(partial(_count_batches, path=path), "id bigint, n_bytes bigint, n_tokens bigint")
+    counted = map_arrow(chosen, partial(_count_batches, path=path), "id bigint, n_bytes bigint, n_tokens bigint")
     return counted.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import materialize, scratch_path
+from tidewright.llm.common import map_arrow, materialize, scratch_path
 
 #: Payload bytes in a chunk row; bytes after which a task begins another archive.
 CHUNK_BYTES, ARCHIVE_BYTES = 1 << 16, 1 << 27
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     """Write all pages; returns the finished archives: ``archive, records, archive_bytes``."""
     folder = scratch_path(pages.sparkSession, "warc")
     chunks = payload_chunks(record_types(pages, key, html, url))
-    return materialize(chunks.mapInArrow(partial(_write, folder=folder), "archive string, records bigint, archive_bytes bigint"), "warc-archives")
+    return materialize(map_arrow(chunks, partial(_write, folder=folder), "archive string, records bigint, archive_bytes bigint"), "warc-archives")
 
 
 class _Stream:
@@ -258,7 +258,7 @@ def read_archives(archives: DataFrame, with_data: bool = True) -> DataFrame:
 
     The reader recomputes digests; at a record's last chunk ``digest_so_far`` is that of the whole payload.
     """
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(partial(_read, with_data=with_data), CHUNKS)
+    return map_arrow(archives.select("archive").repartition(F.col("archive")), partial(_read, with_data=with_data), CHUNKS)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
