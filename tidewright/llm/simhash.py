@@ -318,7 +318,8 @@ def _farther_links(docs: DataFrame, rooted: DataFrame, width: int, similarity: f
 
     Only keys that more than one root has come to the join, so that copies that are joined already don't meet again.
     """
-    keyed = map_arrow(rooted.select("id", "root", *WIDE_COLUMNS), _table_batches, "key bigint, id bigint, root bigint")
+    spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")  # a small table becomes many rows: deal it out first
+    keyed = map_arrow(spread, _table_batches, "key bigint, id bigint, root bigint")
     shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     shared = materialize(shared.select("key"), "near-keys")
     side = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
