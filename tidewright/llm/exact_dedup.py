@@ -17,10 +17,12 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from tidewright.llm.common import scratch_path
+from tidewright.llm.common import materialize, scratch_path
 
 #: Hashes that occur again are broadcast (8 bytes each) up to this many; beyond, the semi join shuffles.
 BROADCAST_KEYS = 1_000_000
+#: Rows that go are broadcast (some 100 bytes each) up to this many.
+BROADCAST_GONE = 200_000
 #: Keys that a bucket holds before it splits.
 BUCKET_KEYS = 1 << 15
 #: Most bits that the directory uses; keys are distinct hashes, so they spread evenly long before.
@@ -121,11 +123,16 @@ def find_exact(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
 
 
 def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
-    """``docs`` without the rows that another row of equal text stands for; all its columns stay as they are."""
-    index = build_index(docs, key, text, capacity)
-    found = index.select(F.col("key").alias("__key"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    body = F.coalesce(docs[text], F.lit(""))
-    rows = docs.withColumns({"__key": F.xxhash64(body), "__sha": F.sha2(body, 256)})
-    gone = found.withColumn("__found", F.lit(True))
-    joined = rows.join(gone, ["__key", "__sha"], "left")
-    return joined.where(F.col("__found").isNull() | F.col(key).eqNullSafe(F.col("__keep"))).select(*docs.columns)
+    """``docs`` without the rows that another row of equal text stands for; all its columns stay as they are.
+
+    What goes is known by id and digest: a table that is broadcast within ``BROADCAST_GONE`` rows, so that texts don't
+    move; beyond, the join shuffles.
+    """
+    found = build_index(docs, key, text, capacity).select("key", "text_sha256", "keep_id")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("key"), F.sha2(body, 256).alias("text_sha256"))
+    gone = rows.join(found, ["key", "text_sha256"]).where(~F.col("id").eqNullSafe(F.col("keep_id")))
+    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "exact-gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
+    same = docs[key].eqNullSafe(side["__id"]) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == side["__sha"])
+    return docs.join(side, same, "left_anti")
