@@ -233,6 +233,8 @@ def find_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
 #: Words of the longer fingerprint, the tables of sampled bits, and the bits in a key. Two texts of similarity 0.8 share a key in
 #: some table with a chance of about 0.9, of 0.9 with 0.999.
 WIDE, TABLES, KEY_BITS = 8, 128, 24
+#: Tables in which rows first meet one other row of their key.
+PIVOT_TABLES = 8
 #: Keys that two components share, and ids that go, are broadcast (8 bytes each) up to this many; beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 WIDE_COLUMNS = [f"w{k}" for k in range(WIDE)]
@@ -313,27 +315,57 @@ def _apart(one: str, other: str) -> Column:
     return sum((F.bit_count(F.col(one + w).bitwiseXOR(F.col(other + w))) for w in WIDE_COLUMNS), F.lit(0))
 
 
-def _farther_links(docs: DataFrame, rooted: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links of at least ``similarity`` between different roots: keys shared by two roots, longer fingerprints, texts.
-
-    Only keys that more than one root has come to the join, so that copies that are joined already don't meet again.
-    """
-    spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")  # a small table becomes many rows: deal it out first
-    keyed = map_arrow(spread, _table_batches, "key bigint, id bigint, root bigint")
-    shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    shared = materialize(shared.select("key"), "near-keys")
-    side = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    live = materialize(keyed.join(side, "key", "left_semi").join(rooted.select("id", *WIDE_COLUMNS), "id"), "near-live")
-    one, other = ({c: f"{side}_{c}" for c in ("id", "root", *WIDE_COLUMNS)} for side in "ab")
-    near = (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & (_apart("a_", "b_") <= bits_apart(similarity, 2.6))
-    a, b = live.withColumnsRenamed(one), live.withColumnsRenamed(other)
-    pairs = a.hint("merge").join(b, (a["key"] == b["key"]) & near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    pairs = materialize(pairs, "near-pairs")
+def _compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs of at least that similarity, by their texts. Only texts of some pair move."""
+    pairs = materialize(pairs.distinct(), "near-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "id", "left_semi")
     for s in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")), s)
-    return map_arrow(pairs, partial(_similar_batches, width=width, similarity=similarity), "a bigint, b bigint")
+    found = map_arrow(pairs, partial(_similar_batches, width=width, similarity=similarity), "a bigint, b bigint")
+    return materialize(map_arrow(found, local_forest, "a bigint, b bigint"), "near-links")
+
+
+def _rooted(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, root, w*`` of all rows, after these links."""
+    nodes = components(links).withColumnRenamed("node", "id")
+    joined = prints.select("id", *WIDE_COLUMNS).join(nodes, "id", "left")
+    return materialize(joined.select("id", F.coalesce("root", "id").alias("root"), *WIDE_COLUMNS), "near-rooted")
+
+
+def _between_roots(rows: DataFrame) -> DataFrame:
+    """The keys that more than one root has."""
+    return rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+
+
+def _farther_links(docs: DataFrame, rooted: DataFrame, close: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``close``, and links of at least ``similarity`` between rows that share a key and have different roots.
+
+    First, in ``PIVOT_TABLES`` of the tables, every row meets one row of its key, chosen by a hash of both: as many pairs as
+    rows, and a large group of copies grows together. Then all pairs that still have different roots meet.
+    """
+    # A small table becomes many rows: deal it out first.
+    spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")
+    keyed = map_arrow(spread, _table_batches, "key bigint, id bigint, root bigint")
+    shared = materialize(_between_roots(keyed), "near-keys")
+    few = shared.count() <= BROADCAST_KEYS
+    live = keyed.join(F.broadcast(shared) if few else shared, "key", "left_semi")
+    live = materialize(live.select("key", "id").join(rooted, "id"), "near-live")
+    one, other = ({c: f"{side}_{c}" for c in ("id", "root", *WIDE_COLUMNS)} for side in "ab")
+    apart = (F.col("a_root") != F.col("b_root")) & (_apart("a_", "b_") <= bits_apart(similarity, 2.6))
+    some = live.where(F.col("key") < PIVOT_TABLES << KEY_BITS)
+    chosen = some.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("pivot"))
+    pivots = chosen.select("key", F.col("pivot.id").alias("id")).join(rooted, "id").withColumnsRenamed(other)
+    met = some.withColumnsRenamed(one).join(F.broadcast(pivots) if few else pivots, "key").where(apart)
+    pivotal = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    close = close.union(_compared(pivotal, docs, width, similarity))
+    rooted = _rooted(rooted, close)
+    live = live.drop("root").join(rooted.select("id", "root"), "id")
+    left = materialize(live.join(_between_roots(live), "key", "left_semi"), "near-left")
+    a, b = left.withColumnsRenamed(one), left.withColumnsRenamed(other)
+    on = (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & apart
+    pairs = a.hint("merge").join(b, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return close.union(_compared(pairs, docs, width, similarity))
 
 
 def near_copies(
@@ -354,11 +386,8 @@ def near_copies(
     sure = bits_apart(similarity, -3.2)
     close = _with_words(link_prints(reps, distance, "id"), reps).where(F.col("apart") <= sure).select("a", "b")
     close = materialize(map_arrow(close, local_forest, "a bigint, b bigint"), "near-close")
-    first = components(close)
-    rooted = materialize(reps.join(first, reps["id"] == first["node"], "left").select(reps["*"], F.coalesce("root", "id").alias("root")), "near-rooted")
-    links = close.union(_farther_links(chosen, rooted, width, similarity))
-    last = components(links)
-    named = reps.join(last, reps["id"] == last["node"], "left").select(*WIDE_COLUMNS, F.coalesce("root", "id").alias("root"))
+    links = _farther_links(chosen, _rooted(reps, close), close, width, similarity)
+    named = _rooted(reps, links).select(*WIDE_COLUMNS, "root")
     return prints.join(named, WIDE_COLUMNS).where("id <> root").select("id", "root").distinct()
 
 
