@@ -17,7 +17,7 @@ def open_input(path: str):
 
 def open_output(path: str):
     system, name = file_system(path)
-    return system.open_output_stream(name)
+    return system.open_output_stream(name, compression=None)
 
 
 def list_files(path: str, suffix: str = "") -> list[str]:
@@ -35,3 +35,8 @@ def list_files(path: str, suffix: str = "") -> list[str]:
         else:
             found.append(one)
     return found
+
+
+def make_folder(path: str) -> None:
+    system, name = file_system(path)
+    system.create_dir(name, recursive=True)

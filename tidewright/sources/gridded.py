@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from math import floor, prod
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
@@ -213,20 +214,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GridSource)
 
 
-def grid_meta(spark: SparkSession, path: str) -> DataFrame:
-    """``file, variable, type, shape, times`` from the headers; one task for some files."""
-    import pandas as pd
+def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for p in frame["file"]:
+            with open_input(p) as source:
+                f = ClassicFile(source)
+                times = f.times() if "time" in f.variables else []
+                yield pd.DataFrame([(p, v.name, TYPES[v.kind], f.shape(v), times) for v in f.variables.values()], columns=["file", "variable", "type", "shape", "times"])
 
-    def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p in frame["file"]:
-                with open_input(p) as source:
-                    f = ClassicFile(source)
-                    times = f.times() if "time" in f.variables else []
-                    yield pd.DataFrame([(p, v.name, TYPES[v.kind], f.shape(v), times) for v in f.variables.values()], columns=["file", "variable", "type", "shape", "times"])
 
+def grid_meta(spark: SparkSession, path: str) -> DataFrame:
+    """``file, variable, type, shape, times`` from the headers; one task for some files."""
     files = spark.createDataFrame([(x,) for x in list_files(path)], "file string")
-    return files.mapInPandas(describe, "file string, variable string, type string, shape array<bigint>, times array<bigint>")
+    return files.mapInPandas(_describe, "file string, variable string, type string, shape array<bigint>, times array<bigint>")
 
 
 def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]]) -> None:

@@ -11,6 +11,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 from tidewright.functions.geo import clamp_lat
 from tidewright.operators.trajectory import decimate, unwrap
-from tidewright.sources.files import list_files, open_input, open_output
+from tidewright.sources.files import list_files, make_folder, open_input, open_output
 
 # The formats' layouts (little-endian), magic words, versions and scale.
 RECORD = np.dtype([("lon0_q", "<i4"), ("lat0_q", "<i4"), ("lon1_q", "<i4"), ("lat1_q", "<i4"), ("t0_s", "<i8"), ("t1_s", "<i8"), ("flags", "u1")])
@@ -169,22 +170,19 @@ class PackedSource(DataSource):
         return PackedReader(self.options["path"])
 
 
-def write_packed(records: DataFrame, folder: str, gzip: bool = True) -> DataFrame:
-    """Writes ``RECORD_SCHEMA`` rows, one file for each task: ``path, records``. Names are new, so a repeated task does no harm."""
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks = [f[list(RECORD.names)].to_records(index=False).astype(RECORD) for f in frames if len(f)]
-        if blocks:
-            path = f"{folder}/{uuid.uuid4().hex}.pkd" + ".gz" * gzip
-            data = np.concatenate(blocks)
-            (write_gzip if gzip else write_plain)(path, data)
-            yield pd.DataFrame({"path": [path], "records": [len(data)]})
+def _write_records(frames: Iterator[pd.DataFrame], folder: str, gzip: bool) -> Iterator[pd.DataFrame]:
+    blocks = [f[list(RECORD.names)].to_records(index=False).astype(RECORD) for f in frames if len(f)]
+    if blocks:
+        path = f"{folder}/{uuid.uuid4().hex}.pkd" + ".gz" * gzip
+        data = np.concatenate(blocks)
+        (write_gzip if gzip else write_plain)(path, data)
+        yield pd.DataFrame({"path": [path], "records": [len(data)]})
 
-    from tidewright.sources.files import file_system
 
-    system, name = file_system(folder)
-    system.create_dir(name, recursive=True)
-    return records.mapInPandas(write, "path string, records bigint")
+def write_packed(records: DataFrame, folder: str, gzip: bool = True) -> DataFrame:
+    """Writes ``RECORD_SCHEMA`` rows, one file for each task: ``path, records``. Names are new, so a repeated task does no harm."""
+    make_folder(folder)
+    return records.mapInPandas(partial(_write_records, folder=folder, gzip=gzip), "path string, records bigint")
 
 
 # --- PKD2 ------------------------------------------------------------------------------------------------------------
@@ -204,50 +202,50 @@ def decode_block(raw: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
     return seed_id, start, stride, lon, lat
 
 
+def _write_blocks(frames: Iterator[pd.DataFrame], folder: str, dt: int, epoch: int, stride: int) -> Iterator[pd.DataFrame]:
+    toc: list[bytes] = []
+    body: list[bytes] = []
+    at = HEADER_2.size
+    held: list[pd.DataFrame] = []
+
+    def close() -> None:
+        nonlocal at
+        whole = pd.concat(held)
+        held.clear()
+        seed, first = int(whole["seed_id"].iloc[0]), int(whole["idx"].iloc[0])
+        raw = encode_block(seed, first, stride, whole["lon"].to_numpy(), whole["lat"].to_numpy())
+        body.append(zlib.compress(raw))
+        toc.append(ENTRY_2.pack(seed, at, len(body[-1]), len(raw), len(whole), first, stride, 0))
+        at += len(body[-1])
+
+    for frame in frames:
+        for seed, part in frame.groupby("seed_id", sort=False):
+            if held and held[0]["seed_id"].iloc[0] != seed:
+                close()
+            held.append(part)
+    if held:
+        close()
+    if toc:
+        # The header names the place of the table of contents, so a stream needs the (compressed) blocks first.
+        path = f"{folder}/{uuid.uuid4().hex}.pkd2"
+        with open_output(path) as out:
+            out.write(HEADER_2.pack(MAGIC_2, VERSION_2, 1, SCALE, epoch, dt, 0, len(toc), at))
+            for block in body:
+                out.write(block)
+            out.write(b"".join(toc))
+        yield pd.DataFrame({"path": [path], "trajectories": [len(toc)]})
+
+
 def write_trajectories(samples: DataFrame, folder: str, dt: int, epoch: int = 0, stride: int = 1, key: str = "seed_id", order: str = "idx") -> DataFrame:
     """Writes samples (``seed_id, idx, lon, lat``), one PKD2 file for each task: ``path, trajectories``.
 
     Unwrapping and decimation are windows; a task then takes its rows in order and holds one trajectory at a time.
     """
+    make_folder(folder)
     ready = decimate(unwrap(samples, key, order), stride, key, order) if stride > 1 else unwrap(samples, key, order)
     ready = ready.select(F.col(key).alias("seed_id"), F.col(order).alias("idx"), F.col("lon_unwrapped").alias("lon"), clamp_lat(F.col("lat")).alias("lat"))
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, toc, out, at = f"{folder}/{uuid.uuid4().hex}.pkd2", [], None, HEADER_2.size
-        held: list[pd.DataFrame] = []
-        body: list[bytes] = []
-
-        def close() -> None:
-            nonlocal at
-            whole = pd.concat(held)
-            held.clear()
-            raw = encode_block(int(whole["seed_id"].iloc[0]), int(whole["idx"].iloc[0]), stride, whole["lon"].to_numpy(), whole["lat"].to_numpy())
-            packed = zlib.compress(raw)
-            toc.append(ENTRY_2.pack(int(whole["seed_id"].iloc[0]), at, len(packed), len(raw), len(whole), int(whole["idx"].iloc[0]), stride, 0))
-            body.append(packed)
-            at += len(packed)
-
-        for frame in frames:
-            for seed, part in frame.groupby("seed_id", sort=False):
-                if held and held[0]["seed_id"].iloc[0] != seed:
-                    close()
-                held.append(part)
-        if held:
-            close()
-        if toc:
-            # The header names the place of the table of contents, so a stream needs the (compressed) blocks first.
-            with open_output(path) as out:
-                out.write(HEADER_2.pack(MAGIC_2, VERSION_2, 1, SCALE, epoch, dt, 0, len(toc), at))
-                for block in body:
-                    out.write(block)
-                out.write(b"".join(toc))
-            yield pd.DataFrame({"path": [path], "trajectories": [len(toc)]})
-
-    from tidewright.sources.files import file_system
-
-    system, name = file_system(folder)
-    system.create_dir(name, recursive=True)
-    return ready.repartition("seed_id").sortWithinPartitions("seed_id", "idx").mapInPandas(write, "path string, trajectories bigint")
+    sorted_rows = ready.repartition("seed_id").sortWithinPartitions("seed_id", "idx")
+    return sorted_rows.mapInPandas(partial(_write_blocks, folder=folder, dt=dt, epoch=epoch, stride=stride), "path string, trajectories bigint")
 
 
 def read_toc(path: str) -> tuple[int, int, list[tuple]]:
