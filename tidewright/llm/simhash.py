@@ -233,7 +233,7 @@ def find_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
 #: Words of the longer fingerprint, the tables of sampled bits, and the bits in a key. Two texts of similarity 0.8 share a key in
 #: some table with a chance of about 0.9, of 0.9 with 0.999.
 WIDE, TABLES, KEY_BITS = 8, 128, 24
-#: Tables in which rows first meet one other row of their key.
+#: Tables in which rows meet one other row of their key first.
 PIVOT_TABLES = 8
 #: Keys that two components share, and ids that go, are broadcast (8 bytes each) up to this many; beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
@@ -341,8 +341,9 @@ def _between_roots(rows: DataFrame) -> DataFrame:
 def _farther_links(docs: DataFrame, rooted: DataFrame, close: DataFrame, width: int, similarity: float) -> DataFrame:
     """``close``, and links of at least ``similarity`` between rows that share a key and have different roots.
 
-    First, in ``PIVOT_TABLES`` of the tables, every row meets one row of its key, chosen by a hash of both: as many pairs as
-    rows, and a large group of copies grows together. Then all pairs that still have different roots meet.
+    First every row meets one row of its key, chosen by a hash of both, in ``PIVOT_TABLES`` of the tables and then twice, where
+    roots still differ, in all: as many pairs as rows at most, and a large group of copies grows together. Then all pairs that still
+    have different roots meet.
     """
     # A small table becomes many rows: deal it out first.
     spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")
@@ -353,16 +354,18 @@ def _farther_links(docs: DataFrame, rooted: DataFrame, close: DataFrame, width:
     live = materialize(live.select("key", "id").join(rooted, "id"), "near-live")
     one, other = ({c: f"{side}_{c}" for c in ("id", "root", *WIDE_COLUMNS)} for side in "ab")
     apart = (F.col("a_root") != F.col("b_root")) & (_apart("a_", "b_") <= bits_apart(similarity, 2.6))
-    some = live.where(F.col("key") < PIVOT_TABLES << KEY_BITS)
-    chosen = some.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("pivot"))
-    pivots = chosen.select("key", F.col("pivot.id").alias("id")).join(rooted, "id").withColumnsRenamed(other)
-    met = some.withColumnsRenamed(one).join(F.broadcast(pivots) if few else pivots, "key").where(apart)
-    pivotal = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    close = close.union(_compared(pivotal, docs, width, similarity))
-    rooted = _rooted(rooted, close)
-    live = live.drop("root").join(rooted.select("id", "root"), "id")
-    left = materialize(live.join(_between_roots(live), "key", "left_semi"), "near-left")
-    a, b = left.withColumnsRenamed(one), left.withColumnsRenamed(other)
+    for number, tables in enumerate((PIVOT_TABLES, TABLES, TABLES)):
+        some = live.where(F.col("key") < tables << KEY_BITS)
+        mixed = F.xxhash64("key", "id", F.lit(number)).alias("h")
+        chosen = some.groupBy("key").agg(F.min(F.struct(mixed, "id")).alias("pivot"))
+        pivots = chosen.select("key", F.col("pivot.id").alias("id")).join(rooted, "id").withColumnsRenamed(other)
+        met = some.withColumnsRenamed(one).join(F.broadcast(pivots) if few else pivots, "key").where(apart)
+        pairs = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+        close = close.union(_compared(pairs, docs, width, similarity))
+        rooted = _rooted(rooted, close)
+        live = live.drop("root").join(rooted.select("id", "root"), "id")
+        live = materialize(live.join(_between_roots(live), "key", "left_semi"), "near-live")
+    a, b = live.withColumnsRenamed(one), live.withColumnsRenamed(other)
     on = (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & apart
     pairs = a.hint("merge").join(b, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return close.union(_compared(pairs, docs, width, similarity))
