@@ -232,7 +232,7 @@ def find_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
 #: Words of the longer fingerprint, the tables of sampled bits, and the bits in a key. Two texts of similarity 0.8 share a key in
 #: some table with a chance of about 0.9, of 0.9 with 0.999.
-WIDE, TABLES, KEY_BITS = 8, 128, 24
+WIDE, TABLES, KEY_BITS = 8, 160, 26
 #: Tables in which rows meet one other row of their key first.
 PIVOT_TABLES = 8
 #: Keys that two components share, and ids that go, are broadcast (8 bytes each) up to this many; beyond, the join shuffles.
@@ -288,7 +288,8 @@ def _table_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             words = np.array([c.to_numpy() for c in part.columns[2:]]).T
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
             packed = np.packbits(bits[:, places].reshape(-1, TABLES, KEY_BITS), axis=2).astype(np.int64)
-            keys = table + sum(packed[:, :, k] << (KEY_BITS - 8 - 8 * k) for k in range(packed.shape[2]))
+            width = packed.shape[2]
+            keys = table + (sum(packed[:, :, k] << 8 * (width - 1 - k) for k in range(width)) >> 8 * width - KEY_BITS)
             ids, roots = (np.repeat(part.column(k).to_numpy(), TABLES) for k in (0, 1))
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(ids), pa.array(roots)], names=["key", "id", "root"])
 
@@ -318,7 +319,7 @@ def _apart(one: str, other: str) -> Column:
 def _compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs of at least that similarity, by their texts. Only texts of some pair move."""
     pairs = materialize(pairs.distinct(), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "id", "left_semi")
     for s in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")), s)
