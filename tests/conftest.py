@@ -3,6 +3,7 @@ import sys
 import tempfile
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -34,7 +35,14 @@ def spark():
 def same_rows():
     def check(got, want):
         assert sorted(got.columns) == sorted(want.columns)
-        rows = lambda d: sorted((tuple(None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False)), key=repr)
+        def plain(v):
+            if v is None or pd.isna(v):
+                return None
+            return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+        def rows(d):
+            return sorted((tuple(map(plain, r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False)), key=repr)
+
         assert rows(got) == rows(want)
 
     return check
