@@ -277,20 +277,20 @@ def _wide_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield pa.record_batch([pa.array(ids, pa.int64()), *map(pa.array, words)], names=["id", *WIDE_COLUMNS])
 
 
-def _table_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _table_batches(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
     """``key, id, root`` for each table: the table's number before the sampled bits."""
     random = np.random.default_rng(11)
-    places = np.concatenate([random.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
-    table = (np.arange(TABLES, dtype=np.int64) << KEY_BITS)[None, :]
+    places = np.concatenate([random.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(tables)])
+    table = (np.arange(tables, dtype=np.int64) << KEY_BITS)[None, :]
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             words = np.array([c.to_numpy() for c in part.columns[2:]]).T
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
-            packed = np.packbits(bits[:, places].reshape(-1, TABLES, KEY_BITS), axis=2).astype(np.int64)
+            packed = np.packbits(bits[:, places].reshape(-1, tables, KEY_BITS), axis=2).astype(np.int64)
             width = packed.shape[2]
             keys = table + (sum(packed[:, :, k] << 8 * (width - 1 - k) for k in range(width)) >> 8 * width - KEY_BITS)
-            ids, roots = (np.repeat(part.column(k).to_numpy(), TABLES) for k in (0, 1))
+            ids, roots = (np.repeat(part.column(k).to_numpy(), tables) for k in (0, 1))
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(ids), pa.array(roots)], names=["key", "id", "root"])
 
 
@@ -339,6 +339,17 @@ def _between_roots(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
 
 
+def _live_rows(rooted: DataFrame, tables: int) -> tuple[DataFrame, bool]:
+    """``key`` and all columns of the rows whose key in some table another root has, and whether such keys are few."""
+    # A small table becomes many rows: deal it out first.
+    spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")
+    keyed = map_arrow(spread, partial(_table_batches, tables=tables), "key bigint, id bigint, root bigint")
+    shared = materialize(_between_roots(keyed), "near-keys")
+    few = shared.count() <= BROADCAST_KEYS
+    live = keyed.join(F.broadcast(shared) if few else shared, "key", "left_semi")
+    return materialize(live.select("key", "id").join(rooted, "id"), "near-live"), few
+
+
 def _farther_links(docs: DataFrame, rooted: DataFrame, close: DataFrame, width: int, similarity: float) -> DataFrame:
     """``close``, and links of at least ``similarity`` between rows that share a key and have different roots.
 
@@ -346,26 +357,22 @@ def _farther_links(docs: DataFrame, rooted: DataFrame, close: DataFrame, width:
     roots still differ, in all: as many pairs as rows at most, and a large group of copies grows together. Then all pairs that still
     have different roots meet.
     """
-    # A small table becomes many rows: deal it out first.
-    spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")
-    keyed = map_arrow(spread, _table_batches, "key bigint, id bigint, root bigint")
-    shared = materialize(_between_roots(keyed), "near-keys")
-    few = shared.count() <= BROADCAST_KEYS
-    live = keyed.join(F.broadcast(shared) if few else shared, "key", "left_semi")
-    live = materialize(live.select("key", "id").join(rooted, "id"), "near-live")
     one, other = ({c: f"{side}_{c}" for c in ("id", "root", *WIDE_COLUMNS)} for side in "ab")
     apart = (F.col("a_root") != F.col("b_root")) & (_apart("a_", "b_") <= bits_apart(similarity, 2.6))
+    live, few = None, True
     for number, tables in enumerate((PIVOT_TABLES, TABLES, TABLES)):
-        some = live.where(F.col("key") < tables << KEY_BITS)
+        if number < 2:  # keys of more tables; those of the first ones have joined the large groups already
+            live, few = _live_rows(rooted, tables)
         mixed = F.xxhash64("key", "id", F.lit(number)).alias("h")
-        chosen = some.groupBy("key").agg(F.min(F.struct(mixed, "id")).alias("pivot"))
+        chosen = live.groupBy("key").agg(F.min(F.struct(mixed, "id")).alias("pivot"))
         pivots = chosen.select("key", F.col("pivot.id").alias("id")).join(rooted, "id").withColumnsRenamed(other)
-        met = some.withColumnsRenamed(one).join(F.broadcast(pivots) if few else pivots, "key").where(apart)
+        met = live.withColumnsRenamed(one).join(F.broadcast(pivots) if few else pivots, "key").where(apart)
         pairs = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
         close = close.union(_compared(pairs, docs, width, similarity))
         rooted = _rooted(rooted, close)
-        live = live.drop("root").join(rooted.select("id", "root"), "id")
-        live = materialize(live.join(_between_roots(live), "key", "left_semi"), "near-live")
+        if number:
+            live = live.drop("root").join(rooted.select("id", "root"), "id")
+            live = materialize(live.join(_between_roots(live), "key", "left_semi"), "near-live")
     a, b = live.withColumnsRenamed(one), live.withColumnsRenamed(other)
     on = (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & apart
     pairs = a.hint("merge").join(b, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
