@@ -318,3 +318,20 @@ def test_pipeline_stages_against_brute_force(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty_docs(spark), SF).count() == 0
     assert pd.notna(len(rows))
+
+
+def test_near_copies_loses_no_link(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for n in range(120):
+        words = [word() for _ in range(10 if n < 80 else 89)]
+        changed = [*words, word()] if n < 80 else [*words[:81], *[word() for _ in range(8)]]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(changed))]
+    sets = [(i, frozenset(simhash.shingle_set(t, 5).tolist())) for i, t in rows]
+    want = brute_components(sets, lambda a, b: len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]) > 0)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["id"]: r["root"] for r in simhash.near_copies(docs).collect()}
+    assert got == {i: c for (i, _), c in zip(sets, want, strict=True) if i != c} and len(got) == 120

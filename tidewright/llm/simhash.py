@@ -226,18 +226,21 @@ def find_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
 
 # --- Near copies by similarity ---------------------------------------------------------------------------------------
-# The pigeonhole finds fingerprints a few bits apart without loss. Texts of similarity 0.8 lie some ten of 64 bits apart and
-# up to fifteen; at such a distance the parts are so short that a hundredth of all pairs are candidates. So the pigeonhole
-# joins what is close, and what it leaves is sought by sampled bits of a longer fingerprint, and compared exactly.
-
-#: Words of the longer fingerprint, the tables of sampled bits, and the bits in a key. Two texts of similarity 0.8 share a key in
-#: some table with a chance of about 0.9, of 0.9 with 0.999.
-WIDE, TABLES, KEY_BITS = 8, 160, 26
-#: Tables in which rows meet one other row of their key first.
-PIVOT_TABLES = 8
+# The pigeonhole and sampled bits of a longer fingerprint join most of what is close, so that large groups are one before pairs
+# are made. Fingerprints don't decide: their pairs are compared by their texts. An equi-join on prefixes then finds all that is left.
+# Put the shingles of all texts in one order. Two sets of similarity s then share one of the first n - ceil(s * n) + 1 shingles of
+# each. Any order loses nothing; with rare shingles first, few texts meet that aren't similar.
+
+#: Words of the longer fingerprint, the tables of sampled bits, and the bits in a key.
+WIDE, PIVOT_TABLES, KEY_BITS = 8, 8, 26
+#: Words of the parity bits of a set: two sets differ in at least as many shingles as these do in bits.
+PARITY = 4
+#: One in so many texts is asked which shingles are common, and so many shingles at most are ranked. Both only change the order.
+SAMPLE, RANKED = 16, 200_000
 #: Keys that two components share, and ids that go, are broadcast (8 bytes each) up to this many; beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 WIDE_COLUMNS = [f"w{k}" for k in range(WIDE)]
+PARITY_COLUMNS = [f"p{k}" for k in range(PARITY)]
 
 
 def differing_share(similarity: float) -> float:
@@ -266,15 +269,55 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes)).view(np.int64)
 
 
-def _wide_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """``PARITY`` signed words: each bit tells whether an odd number of the hashes falls on it."""
+    counts = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits(counts % 2 == 1).view(np.int64)
+
+
+def prefix_of(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first hashes of a sorted set, rare ones first, of which any set of that similarity shares one."""
+    rank = np.zeros(len(hashes), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, counts[at], 0)
+    length = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    return hashes[np.argsort(rank, kind="stable")[:length]]
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, prints = [], []
+        for text in batch.column(0):
+            yield pa.record_batch([pa.array(shingle_set(text.as_py(), width).view(np.int64))], names=["key"])
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample of ``docs`` (``id, text``), sorted, and their counts."""
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text")
+    found = map_arrow(sample, partial(_shingle_batches, width=width), "key bigint").groupBy("key").agg(F.count("*").alias("n"))
+    table = found.where("n > 1").orderBy(F.desc("n"), "key").limit(RANKED).toArrow()
+    keys, counts = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _wide_batches(
+    batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, counts: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, prints, sizes, parities, prefixes = [], [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if len(hashes := shingle_set(text.as_py(), width)):
                 ids.append(i)
                 prints.append(wide_print(hashes))
+                sizes.append(len(hashes))
+                parities.append(parity_bits(hashes))
+                prefixes.append(prefix_of(hashes, similarity, common, counts).view(np.int64))
         words = np.array(prints, dtype=np.int64).reshape(-1, WIDE).T
-        yield pa.record_batch([pa.array(ids, pa.int64()), *map(pa.array, words)], names=["id", *WIDE_COLUMNS])
+        parity = np.array(parities, dtype=np.int64).reshape(-1, PARITY).T
+        columns = [pa.array(ids, pa.int64()), *map(pa.array, words), pa.array(sizes, pa.int32()), *map(pa.array, parity)]
+        columns.append(pa.array(prefixes, pa.list_(pa.int64())))
+        yield pa.record_batch(columns, names=["id", *WIDE_COLUMNS, "size", *PARITY_COLUMNS, "prefix"])
 
 
 def _table_batches(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
@@ -339,44 +382,81 @@ def _between_roots(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
 
 
-def _live_rows(rooted: DataFrame, tables: int) -> tuple[DataFrame, bool]:
-    """``key`` and all columns of the rows whose key in some table another root has, and whether such keys are few."""
-    # A small table becomes many rows: deal it out first.
-    spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")
-    keyed = map_arrow(spread, partial(_table_batches, tables=tables), "key bigint, id bigint, root bigint")
+def _live_rows(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (``key, id, root`` and more) whose key another root has."""
     shared = materialize(_between_roots(keyed), "near-keys")
     few = shared.count() <= BROADCAST_KEYS
-    live = keyed.join(F.broadcast(shared) if few else shared, "key", "left_semi")
-    return materialize(live.select("key", "id").join(rooted, "id"), "near-live"), few
+    return keyed.join(F.broadcast(shared) if few else shared, "key", "left_semi")
 
 
-def _farther_links(docs: DataFrame, rooted: DataFrame, close: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``close``, and links of at least ``similarity`` between rows that share a key and have different roots.
+def _met(live: DataFrame, columns: list[str], condition: Column) -> DataFrame:
+    """Pairs of each row with one row of its key, chosen by a hash: as many as rows at most. A large group grows together."""
+    chosen = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), *columns)).alias("pivot"))
+    pivots = chosen.select("key", *[F.col(f"pivot.{c}").alias(f"b_{c}") for c in columns])
+    return live.withColumnsRenamed({c: f"a_{c}" for c in columns}).join(pivots, "key").where(condition)
 
-    First every row meets one row of its key, chosen by a hash of both, in ``PIVOT_TABLES`` of the tables and then twice, where
-    roots still differ, in all: as many pairs as rows at most, and a large group of copies grows together. Then all pairs that still
-    have different roots meet.
-    """
-    one, other = ({c: f"{side}_{c}" for c in ("id", "root", *WIDE_COLUMNS)} for side in "ab")
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+
+def _table_links(docs: DataFrame, rooted: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links of at least ``similarity`` between some rows that share a key of sampled bits and have different roots."""
+    # A small table becomes many rows: deal it out first.
+    spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")
+    keyed = map_arrow(spread, partial(_table_batches, tables=PIVOT_TABLES), "key bigint, id bigint, root bigint")
+    live = materialize(_live_rows(keyed).select("key", "id").join(rooted, "id"), "near-live")
     apart = (F.col("a_root") != F.col("b_root")) & (_apart("a_", "b_") <= bits_apart(similarity, 2.6))
-    live, few = None, True
-    for number, tables in enumerate((PIVOT_TABLES, TABLES, TABLES)):
-        if number < 2:  # keys of more tables; those of the first ones have joined the large groups already
-            live, few = _live_rows(rooted, tables)
-        mixed = F.xxhash64("key", "id", F.lit(number)).alias("h")
-        chosen = live.groupBy("key").agg(F.min(F.struct(mixed, "id")).alias("pivot"))
-        pivots = chosen.select("key", F.col("pivot.id").alias("id")).join(rooted, "id").withColumnsRenamed(other)
-        met = live.withColumnsRenamed(one).join(F.broadcast(pivots) if few else pivots, "key").where(apart)
-        pairs = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-        close = close.union(_compared(pairs, docs, width, similarity))
-        rooted = _rooted(rooted, close)
-        if number:
-            live = live.drop("root").join(rooted.select("id", "root"), "id")
-            live = materialize(live.join(_between_roots(live), "key", "left_semi"), "near-live")
-    a, b = live.withColumnsRenamed(one), live.withColumnsRenamed(other)
-    on = (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & apart
-    pairs = a.hint("merge").join(b, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return close.union(_compared(pairs, docs, width, similarity))
+    return _compared(_ordered(_met(live, ["id", "root", *WIDE_COLUMNS], apart)), docs, width, similarity)
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """What holds for any two sets of that similarity that share the shingles at ``a_pos`` and ``b_pos`` of their orders."""
+    a, b, total = F.col("a_size"), F.col("b_size"), F.col("a_size") + F.col("b_size")
+    lengths = F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
+    rest = F.least(a - F.col("a_pos"), b - F.col("b_pos"))
+    shared = F.least("a_pos", "b_pos") + rest >= similarity / (1 + similarity) * total - 1e-6
+    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in PARITY_COLUMNS), F.lit(0))
+    return lengths & shared & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6)
+
+
+def _enough_shared(similarity: float) -> Column:
+    """What holds for any two sets of that similarity, where ``n`` is the number of shingles that their prefixes share.
+
+    The prefix that ends first in the order leaves ceil(s * size) - 1 of its set; all that is shared before is in both prefixes.
+    """
+    a, b = F.col("a_size"), F.col("b_size")
+    left = F.ceil(similarity * F.greatest(a, b) - 1e-6) - 1
+    return F.col("n") + left >= similarity / (1 + similarity) * (a + b) - 1e-6
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``root``, which is their id where ``roots`` (``id, root``) has none."""
+    side = F.broadcast(roots) if roots.count() <= BROADCAST_KEYS else roots
+    return rows.join(side, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _prefix_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between all rows of at least ``similarity`` whose roots differ, but for those that other links join. None is left out.
+
+    First every row meets one row of each key, and is compared with the one it meets most often. Then all pairs of a key that
+    still have different roots meet; the keys that a pair shares are counted, and only pairs with enough of them are compared.
+    """
+    columns = ["id", "pos", "size", *PARITY_COLUMNS]
+    keyed = _with_roots(prints, roots).select("id", "root", "size", *PARITY_COLUMNS, F.posexplode("prefix").alias("pos", "key"))
+    live = materialize(_live_rows(keyed), "near-live")
+    close = (F.col("a_root") != F.col("b_root")) & _may_be_similar(similarity)
+    met = _met(live, [*columns, "root"], close).groupBy("a_id", "b_id").agg(F.count("*").alias("n"))
+    best = met.groupBy("a_id").agg(F.max(F.struct("n", "b_id"))["b_id"].alias("b_id"))
+    first = _compared(_ordered(best), docs, width, similarity)
+    ends = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(first)).withColumnRenamed("node", "id")
+    live = _with_roots(live.drop("root"), materialize(ends.where("id <> root"), "near-roots"))
+    live = materialize(_live_rows(live), "near-live")
+    a, b = (live.withColumnsRenamed({c: f"{side}_{c}" for c in [*columns, "root"]}) for side in "ab")
+    on = (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & close
+    counted = a.hint("merge").join(b, on).groupBy("a_id", "b_id", "a_size", "b_size").agg(F.count("*").alias("n"))
+    pairs = _ordered(counted.where(_enough_shared(similarity)))
+    return first.union(_compared(pairs, docs, width, similarity))
 
 
 def near_copies(
@@ -384,22 +464,30 @@ def near_copies(
 ) -> DataFrame:
     """``id, root`` of every row that is a near copy: those whose root, the smallest id reachable, is another row.
 
-    Two texts are linked if their sets of ``width``-word shingles have that Jaccard similarity. Equal longer fingerprints are
-    linked first; then pairs within ``distance`` bits, by the pigeonhole, whose longer fingerprints leave no doubt; then the
-    rest, compared exactly. Rows with a null id, and texts without words, are nobody's copies; rows that repeat an id count
-    as one document.
+    Two texts are linked if their sets of ``width``-word shingles have that Jaccard similarity, compared exactly; no such link
+    is left out. Equal longer fingerprints are linked first; then what the pigeonhole finds within ``distance`` bits, and what
+    shares sampled bits; then all that shares a shingle of its prefix. Rows with a null id, and texts without words, are
+    nobody's copies; rows that repeat an id count as one document.
     """
     chosen = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
-    schema = ", ".join(["id bigint", *(f"{w} bigint" for w in WIDE_COLUMNS)])
-    prints = materialize(map_arrow(chosen, partial(_wide_batches, width=width), schema), "wide")
+    common, counts = common_shingles(chosen, width)
+    schema = ", ".join(["id bigint", *(f"{w} bigint" for w in WIDE_COLUMNS), "size int", *(f"{w} bigint" for w in PARITY_COLUMNS), "prefix array<bigint>"])
+    make = partial(_wide_batches, width=width, similarity=similarity, common=common, counts=counts)
+    prints = materialize(map_arrow(chosen, make, schema), "wide")
     least = prints.groupBy(*WIDE_COLUMNS).agg(F.min("id").alias("id"))
     reps = materialize(least.withColumn("fp", F.col("w0")), "near-reps")
-    sure = bits_apart(similarity, -3.2)
-    close = _with_words(link_prints(reps, distance, "id"), reps).where(F.col("apart") <= sure).select("a", "b")
-    close = materialize(map_arrow(close, local_forest, "a bigint, b bigint"), "near-close")
-    links = _farther_links(chosen, _rooted(reps, close), close, width, similarity)
-    named = _rooted(reps, links).select(*WIDE_COLUMNS, "root")
-    return prints.join(named, WIDE_COLUMNS).where("id <> root").select("id", "root").distinct()
+    limit = bits_apart(similarity, 2.6)
+    close = _with_words(link_prints(reps, distance, "id"), reps).where(F.col("apart") <= limit).select("a", "b")
+    close = _compared(map_arrow(close, local_forest, "a bigint, b bigint"), chosen, width, similarity)
+    close = close.union(_table_links(chosen, _rooted(reps, close), width, similarity))
+    named = _rooted(reps, close).select(*WIDE_COLUMNS, "root")
+    copies = prints.select("id", *WIDE_COLUMNS).join(named, WIDE_COLUMNS).where("id <> root").select("id", "root").distinct()
+    copies = materialize(copies, "near-roots")
+    # A repeated id may have several roots here; any one of them does, as the links below hold them all.
+    roots = copies.groupBy("id").agg(F.min("root").alias("root"))
+    links = _prefix_links(chosen, prints, roots, width, similarity)
+    ends = components(copies.select(F.col("root").alias("a"), F.col("id").alias("b")).union(links))
+    return ends.where("node <> root").select(F.col("node").alias("id"), "root").distinct()
 
 
 def drop_near(
