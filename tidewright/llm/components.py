@@ -32,18 +32,25 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(roots[keep]), pa.array(nodes[keep])], names=["a", "b"])
 
 
+#: A forest of up to so many links (16 bytes each, counted first) is joined in one task; beyond, by rounds of joins.
+FEW_LINKS = 200_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a``, ``b``: bigint): the root is the smallest node reachable.
 
-    Each task first reduces its links to a forest. Then large-star and small-star steps alternate until no link changes:
+    Each task first reduces its links to a forest. If few links are left, a task joins them. Else large-star and small-star steps alternate until no link changes:
     every node's neighbours move to the smallest of them, so the number of rounds grows with the logarithm of the
     nodes. Neighbourhoods are never collected; minima are aggregated and joined back. Lineage is cut at every round by a
     table in the shared folder. Links of a node to itself and repeated links do no harm.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-    edges = materialize(map_arrow(edges, local_forest, "a bigint, b bigint").distinct(), "links")
+    edges = materialize(map_arrow(edges, local_forest, "a bigint, b bigint"), "links")
+    few = edges.count() <= FEW_LINKS
+    if few:
+        edges = materialize(map_arrow(edges.coalesce(1), local_forest, "a bigint, b bigint"), "links")
     state = None
-    while True:
+    while not few:
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()

@@ -15,7 +15,7 @@ id unless all its ids are null; an empty table gives no rows. Only id and text a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 from math import comb
@@ -32,6 +32,8 @@ from tidewright.llm.components import components, local_forest
 SEED = 42
 #: Estimated cost of a row that is written and sorted, against that of a candidate that is verified.
 ROW_COST, PAIR_COST = 1.0, 0.02
+#: Fingerprints of a value that all others there meet, before pairs are made.
+PIVOTS = 3
 #: Shingles whose bits are counted at a time, so a very long text needs no more memory than that.
 BLOCK = 1 << 12
 
@@ -194,30 +196,57 @@ def _keyed(prints: DataFrame, plan: list[tuple[list[int], int]], probes: bool) -
     return prints.select("*", F.explode(F.concat(*keys)).alias("k")).select("k.part", "k.value", *prints.columns)
 
 
+def _sides(prints: DataFrame, plan: list[tuple[list[int], int]]) -> list[DataFrame]:
+    """``part, value, i_*`` and ``part, value, p_*``: what is looked up, and what looks; ``prints`` has ``fp`` and more columns."""
+    return [_keyed(prints, plan, s == "p").withColumnsRenamed({c: f"{s}_{c}" for c in prints.columns}) for s in "ip"]
+
+
+def _met(index: DataFrame, probe: DataFrame, distance: int, unlike: str) -> DataFrame:
+    """What meets on (part, value) within ``distance`` bits and differs in ``unlike``."""
+    close = F.bit_count(F.col("i_fp").bitwiseXOR(F.col("p_fp"))) <= distance
+    return index.hint("merge").join(probe, ["part", "value"]).where(close & F.expr(unlike))
+
+
 def link_prints(prints: DataFrame, distance: int, ident: str = "fp") -> DataFrame:
-    """Links (``a``, ``b``: values of ``ident``) between rows whose fingerprints ``fp`` lie within ``distance`` bits.
+    """All links (``a``, ``b``: values of ``ident``) between rows whose fingerprints ``fp`` lie within ``distance`` bits.
 
     No such link is left out. ``ident`` tells rows apart. Hot values of a part are split by adaptive execution, as both
     sides arrive at the join by plain exchanges.
     """
-    rows, both = bit_statistics(prints)
-    plan = plan_parts(rows, both, distance)
-    chosen = prints.select("fp", F.col(ident).alias("ident"))
-    index, probe = _keyed(chosen, plan, False), _keyed(chosen, plan, True)
-    for c in ("fp", "ident"):
-        index, probe = index.withColumnRenamed(c, f"i_{c}"), probe.withColumnRenamed(c, f"p_{c}")
-    apart = F.bit_count(F.col("i_fp").bitwiseXOR(F.col("p_fp")))
-    close = (F.col("i_ident") < F.col("p_ident")) & (apart <= distance)
-    on = (index["part"] == probe["part"]) & (index["value"] == probe["value"])
-    return index.hint("merge").join(probe, on & close).select(F.col("i_ident").alias("a"), F.col("p_ident").alias("b"))
+    plan = plan_parts(*bit_statistics(prints), distance)
+    index, probe = _sides(prints.select("fp", F.col(ident).alias("ident")), plan)
+    return _met(index, probe, distance, "i_ident < p_ident").select(F.col("i_ident").alias("a"), F.col("p_ident").alias("b"))
+
+
+def print_roots(distinct: DataFrame, distance: int) -> DataFrame:
+    """``fp, root``: the smallest fingerprint that each distinct fingerprint reaches by links of up to ``distance`` bits.
+
+    In a large group nearly all fingerprints are within reach of each other, so pairs aren't made at once. First each
+    fingerprint meets a few of each value that it probes, the least by some salts: as many rows as ``PIVOTS`` times the probes at
+    most. After that only pairs meet whose roots still differ, so no link between groups is left out.
+    """
+    distinct = distinct.select("fp")
+    plan = plan_parts(*bit_statistics(distinct), distance)
+    index, probe = _sides(distinct, plan)
+    salts = [F.lit(_signed(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(PIVOTS)]
+    least = index.groupBy("part", "value").agg(*[F.min(F.col("i_fp").bitwiseXOR(x)).bitwiseXOR(x).alias(f"c{k}") for k, x in enumerate(salts)])
+    chosen = least.select("part", "value", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(PIVOTS)]))).alias("i_fp"))
+    found = _met(chosen, probe, distance, "i_fp <> p_fp").select(F.col("i_fp").alias("a"), F.col("p_fp").alias("b"))
+    links = materialize(map_arrow(found, local_forest, "a bigint, b bigint"), "print-links")
+    for last in (False, True):
+        joined = distinct.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+        roots = materialize(joined.select("fp", F.coalesce("root", "fp").alias("root")), "print-roots")
+        if not last:
+            found = _met(*_sides(roots, plan), distance, "i_root < p_root").select(F.col("i_root").alias("a"), F.col("p_root").alias("b"))
+            links = links.union(materialize(map_arrow(found, local_forest, "a bigint, b bigint"), "print-links"))
+    return roots
 
 
 def find_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """One row for each document: ``key, fingerprint`` (16 hex digits), ``component_id``: the smallest id reachable."""
     prints = materialize(fingerprints(docs, key, text, width), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
-    nodes = components(link_prints(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(nodes, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(print_roots(distinct, distance), "fp")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -226,49 +255,24 @@ def find_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
 
 # --- Near copies by similarity ---------------------------------------------------------------------------------------
-# The pigeonhole and sampled bits of a longer fingerprint join most of what is close, so that large groups are one before pairs
-# are made. Fingerprints don't decide: their pairs are compared by their texts. An equi-join on prefixes then finds all that is left.
-# Put the shingles of all texts in one order. Two sets of similarity s then share one of the first n - ceil(s * n) + 1 shingles of
-# each. Any order loses nothing; with rare shingles first, few texts meet that aren't similar.
+# The pigeonhole's groups come first: each text is compared with one of its group, so that large groups are one before pairs are
+# made. Fingerprints don't decide; texts do. An equi-join on prefixes then finds all that is left: put the shingles of all texts in
+# one order. Two sets of similarity s then share one of the first n - ceil(s * n) + 1 shingles of each. Any order loses nothing;
+# with rare shingles first, few texts meet that aren't similar.
 
-#: Words of the longer fingerprint, the tables of sampled bits, and the bits in a key.
-WIDE, PIVOT_TABLES, KEY_BITS = 8, 8, 26
 #: Words of the parity bits of a set: two sets differ in at least as many shingles as these do in bits.
 PARITY = 4
 #: One in so many texts is asked which shingles are common, and so many shingles at most are ranked. Both only change the order.
 SAMPLE, RANKED = 16, 200_000
-#: Keys that two components share, and ids that go, are broadcast (8 bytes each) up to this many; beyond, the join shuffles.
-BROADCAST_KEYS = 1_000_000
-WIDE_COLUMNS = [f"w{k}" for k in range(WIDE)]
+#: Keys that two components share (16 bytes each), and ids that go, are broadcast up to this many; beyond, the join shuffles.
+BROADCAST_KEYS = 2_000_000
 PARITY_COLUMNS = [f"p{k}" for k in range(PARITY)]
 
 
-def differing_share(similarity: float) -> float:
-    """The share of SimHash bits in which two sets of this Jaccard similarity differ at most, in the mean."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def bits_apart(similarity: float, errors: float) -> int:
-    """The bits of the longer fingerprint that such sets differ in, and so many standard errors more."""
-    p, n = differing_share(similarity), 64 * WIDE
-    return int(n * p + errors * np.sqrt(n * p * (1 - p)))
-
-
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes((text or "").encode().lower().split(), width))
 
 
-def wide_print(hashes: np.ndarray) -> np.ndarray:
-    """``WIDE`` signed words of SimHash, each from hashes mixed anew."""
-    counts = np.zeros(64 * WIDE, dtype=np.int64)
-    salts = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), BLOCK):
-        x = (hashes[at : at + BLOCK, None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-        counts += bit_counts((x ^ x >> np.uint64(32)).view(np.uint8))
-    return np.packbits(counts * 2 > len(hashes)).view(np.int64)
-
-
 def parity_bits(hashes: np.ndarray) -> np.ndarray:
     """``PARITY`` signed words: each bit tells whether an odd number of the hashes falls on it."""
     counts = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
@@ -301,7 +305,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return keys[order], counts[order]
 
 
-def _wide_batches(
+def _set_batches(
     batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, counts: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -309,32 +313,14 @@ def _wide_batches(
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if len(hashes := shingle_set(text.as_py(), width)):
                 ids.append(i)
-                prints.append(wide_print(hashes))
+                prints.append(_signed(majority(hashes)))
                 sizes.append(len(hashes))
                 parities.append(parity_bits(hashes))
                 prefixes.append(prefix_of(hashes, similarity, common, counts).view(np.int64))
-        words = np.array(prints, dtype=np.int64).reshape(-1, WIDE).T
         parity = np.array(parities, dtype=np.int64).reshape(-1, PARITY).T
-        columns = [pa.array(ids, pa.int64()), *map(pa.array, words), pa.array(sizes, pa.int32()), *map(pa.array, parity)]
+        columns = [pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), *map(pa.array, parity)]
         columns.append(pa.array(prefixes, pa.list_(pa.int64())))
-        yield pa.record_batch(columns, names=["id", *WIDE_COLUMNS, "size", *PARITY_COLUMNS, "prefix"])
-
-
-def _table_batches(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
-    """``key, id, root`` for each table: the table's number before the sampled bits."""
-    random = np.random.default_rng(11)
-    places = np.concatenate([random.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(tables)])
-    table = (np.arange(tables, dtype=np.int64) << KEY_BITS)[None, :]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            words = np.array([c.to_numpy() for c in part.columns[2:]]).T
-            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
-            packed = np.packbits(bits[:, places].reshape(-1, tables, KEY_BITS), axis=2).astype(np.int64)
-            width = packed.shape[2]
-            keys = table + (sum(packed[:, :, k] << 8 * (width - 1 - k) for k in range(width)) >> 8 * width - KEY_BITS)
-            ids, roots = (np.repeat(part.column(k).to_numpy(), tables) for k in (0, 1))
-            yield pa.record_batch([pa.array(keys.ravel()), pa.array(ids), pa.array(roots)], names=["key", "id", "root"])
+        yield pa.record_batch(columns, names=["id", "fp", "size", *PARITY_COLUMNS, "prefix"])
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -347,18 +333,6 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], width: int, similarity:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _with_words(links: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links with the bits in which their longer fingerprints differ."""
-    for side in "ab":
-        renamed = prints.select(F.col("id").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in WIDE_COLUMNS])
-        links = links.join(renamed, side)
-    return links.withColumn("apart", _apart("a_", "b_")).select("a", "b", "apart")
-
-
-def _apart(one: str, other: str) -> Column:
-    return sum((F.bit_count(F.col(one + w).bitwiseXOR(F.col(other + w))) for w in WIDE_COLUMNS), F.lit(0))
-
-
 def _compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs of at least that similarity, by their texts. Only texts of some pair move."""
     pairs = materialize(pairs.distinct(), "near-pairs")
@@ -370,44 +344,43 @@ def _compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     return materialize(map_arrow(found, local_forest, "a bigint, b bigint"), "near-links")
 
 
-def _rooted(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """``id, root, w*`` of all rows, after these links."""
-    nodes = components(links).withColumnRenamed("node", "id")
-    joined = prints.select("id", *WIDE_COLUMNS).join(nodes, "id", "left")
-    return materialize(joined.select("id", F.coalesce("root", "id").alias("root"), *WIDE_COLUMNS), "near-rooted")
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast within ``BROADCAST_KEYS`` rows, which are counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def _between_roots(rows: DataFrame) -> DataFrame:
-    """The keys that more than one root has."""
-    return rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (with ``id``) and their ``root`` after these links: their own id where no link has it."""
+    ends = materialize(components(links).where("node <> root").select(F.col("node").alias("id"), "root"), "near-roots")
+    return rows.join(_small(ends), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def _live_rows(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (``key, id, root`` and more) whose key another root has."""
-    shared = materialize(_between_roots(keyed), "near-keys")
-    few = shared.count() <= BROADCAST_KEYS
-    return keyed.join(F.broadcast(shared) if few else shared, "key", "left_semi")
-
-
-def _met(live: DataFrame, columns: list[str], condition: Column) -> DataFrame:
-    """Pairs of each row with one row of its key, chosen by a hash: as many as rows at most. A large group grows together."""
-    chosen = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), *columns)).alias("pivot"))
-    pivots = chosen.select("key", *[F.col(f"pivot.{c}").alias(f"b_{c}") for c in columns])
-    return live.withColumnsRenamed({c: f"a_{c}" for c in columns}).join(pivots, "key").where(condition)
+    """``key, id, pos, root, n`` of the rows of ``keyed`` whose key more than one root has; ``n`` rows have the key.
 
+    The grouping moves a key and three numbers for each row, combined on the map side. Keys of one root end there: what comes
+    after is a small share.
+    """
+    least, most, n = F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
+    shared = materialize(keyed.groupBy("key").agg(least, most, n).where("low <> high").select("key", "n"), "near-keys")
+    return materialize(keyed.select("key", "id", "pos", "root").join(_small(shared), "key"), "near-live")
 
-def _ordered(met: DataFrame) -> DataFrame:
-    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
+def _first_pairs(live: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """For each root the pair of one of its rows with the hub that it meets most often, if their lengths allow it.
 
-def _table_links(docs: DataFrame, rooted: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links of at least ``similarity`` between some rows that share a key of sampled bits and have different roots."""
-    # A small table becomes many rows: deal it out first.
-    spread = rooted.select("id", "root", *WIDE_COLUMNS).repartition("id")
-    keyed = map_arrow(spread, partial(_table_batches, tables=PIVOT_TABLES), "key bigint, id bigint, root bigint")
-    live = materialize(_live_rows(keyed).select("key", "id").join(rooted, "id"), "near-live")
-    apart = (F.col("a_root") != F.col("b_root")) & (_apart("a_", "b_") <= bits_apart(similarity, 2.6))
-    return _compared(_ordered(_met(live, ["id", "root", *WIDE_COLUMNS], apart)), docs, width, similarity)
+    A key's hub is the row whose keys are the most frequent in all: of a group of copies the one that was changed least, so that
+    most of the group is similar to it.
+    """
+    scores = live.groupBy("id").agg(F.sum("n").alias("score"))
+    rows = live.select("key", "id", "root").join(scores, "id")
+    hubs = rows.groupBy("key").agg(F.max_by("id", "score").alias("hub"), F.max_by("root", "score").alias("hub_root"))
+    met = rows.join(hubs, "key").where("root <> hub_root").groupBy("id", "root", "hub").agg(F.count("*").alias("n"))
+    best = met.groupBy("root").agg(F.max(F.struct("n", "hub", "id")).alias("m")).select(F.col("m.hub").alias("a"), F.col("m.id").alias("b"))
+    for s in "ab":
+        best = best.join(sizes.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size")), s)
+    similar = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6
+    return best.where(similar & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _may_be_similar(similarity: float) -> Column:
@@ -430,33 +403,40 @@ def _enough_shared(similarity: float) -> Column:
     return F.col("n") + left >= similarity / (1 + similarity) * (a + b) - 1e-6
 
 
-def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with ``root``, which is their id where ``roots`` (``id, root``) has none."""
-    side = F.broadcast(roots) if roots.count() <= BROADCAST_KEYS else roots
-    return rows.join(side, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _all_pairs(live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows with different roots that share a key, as far as the bounds allow them to be similar. None is left out.
+
+    The keys that a pair shares are counted; only pairs with enough of them are returned.
+    """
+    sides = []
+    facts = sets.select("id", "size", *PARITY_COLUMNS)
+    rows = materialize(live.select("key", "id", "pos", "root").join(facts, "id"), "near-facts")
+    for s in "ab":
+        sides.append(rows.withColumnsRenamed({c: f"{s}_{c}" for c in rows.columns if c != "key"}))
+    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_root") != F.col("b_root")) & _may_be_similar(similarity)
+    met = sides[0].hint("merge").join(sides[1], "key").where(apart)
+    counted = met.groupBy("a_id", "b_id", "a_size", "b_size").agg(F.count("*").alias("n"))
+    return counted.where(_enough_shared(similarity)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def _prefix_links(docs: DataFrame, prints: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links between all rows of at least ``similarity`` whose roots differ, but for those that other links join. None is left out.
+def _compared_in_rounds(pairs: DataFrame, links: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``links`` and enough of ``pairs`` that are similar to give the components that all similar ones would.
 
-    First every row meets one row of each key, and is compared with the one it meets most often. Then all pairs of a key that
-    still have different roots meet; the keys that a pair shares are counted, and only pairs with enough of them are compared.
+    While there are many more pairs than roots, a share of them is compared, chosen by a hash; pairs whose roots are then the same
+    need no comparison. Every other pair gets one in the end.
     """
-    columns = ["id", "pos", "size", *PARITY_COLUMNS]
-    keyed = _with_roots(prints, roots).select("id", "root", "size", *PARITY_COLUMNS, F.posexplode("prefix").alias("pos", "key"))
-    live = materialize(_live_rows(keyed), "near-live")
-    close = (F.col("a_root") != F.col("b_root")) & _may_be_similar(similarity)
-    met = _met(live, [*columns, "root"], close).groupBy("a_id", "b_id").agg(F.count("*").alias("n"))
-    best = met.groupBy("a_id").agg(F.max(F.struct("n", "b_id"))["b_id"].alias("b_id"))
-    first = _compared(_ordered(best), docs, width, similarity)
-    ends = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(first)).withColumnRenamed("node", "id")
-    live = _with_roots(live.drop("root"), materialize(ends.where("id <> root"), "near-roots"))
-    live = materialize(_live_rows(live), "near-live")
-    a, b = (live.withColumnsRenamed({c: f"{side}_{c}" for c in [*columns, "root"]}) for side in "ab")
-    on = (a["key"] == b["key"]) & (F.col("a_id") < F.col("b_id")) & close
-    counted = a.hint("merge").join(b, on).groupBy("a_id", "b_id", "a_size", "b_size").agg(F.count("*").alias("n"))
-    pairs = _ordered(counted.where(_enough_shared(similarity)))
-    return first.union(_compared(pairs, docs, width, similarity))
+    turn = 0
+    while True:
+        for s in "ab":
+            pairs = _with_roots(pairs.withColumn("id", F.col(s)), links).withColumnRenamed("root", f"{s}_root").drop("id")
+        pairs = materialize(pairs.where("a_root <> b_root"), "near-left")
+        n, roots = pairs.agg(F.count("*"), F.approx_count_distinct("a_root")).first()
+        share = 1.0 if n <= 8 * roots else 4 * roots / n
+        drawn = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(1 << 20)) < int(share * (1 << 20))
+        links = links.union(compare(pairs.where(drawn).select("a", "b")))
+        if share == 1.0:
+            return links
+        pairs, turn = pairs.where(~drawn).select("a", "b"), turn + 1
 
 
 def near_copies(
@@ -464,30 +444,27 @@ def near_copies(
 ) -> DataFrame:
     """``id, root`` of every row that is a near copy: those whose root, the smallest id reachable, is another row.
 
-    Two texts are linked if their sets of ``width``-word shingles have that Jaccard similarity, compared exactly; no such link
-    is left out. Equal longer fingerprints are linked first; then what the pigeonhole finds within ``distance`` bits, and what
-    shares sampled bits; then all that shares a shingle of its prefix. Rows with a null id, and texts without words, are
-    nobody's copies; rows that repeat an id count as one document.
+    Two texts are linked if their sets of ``width``-word shingles have that Jaccard similarity, compared exactly by their texts;
+    no such link between different components is left out. Three steps find pairs to compare: the pigeonhole's groups, each row
+    with the group's least; prefixes, each root with one other; prefixes, all pairs whose roots still differ. Rows with a null id,
+    and texts without words, are nobody's copies; rows that repeat an id count as one document.
     """
     chosen = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
     common, counts = common_shingles(chosen, width)
-    schema = ", ".join(["id bigint", *(f"{w} bigint" for w in WIDE_COLUMNS), "size int", *(f"{w} bigint" for w in PARITY_COLUMNS), "prefix array<bigint>"])
-    make = partial(_wide_batches, width=width, similarity=similarity, common=common, counts=counts)
-    prints = materialize(map_arrow(chosen, make, schema), "wide")
-    least = prints.groupBy(*WIDE_COLUMNS).agg(F.min("id").alias("id"))
-    reps = materialize(least.withColumn("fp", F.col("w0")), "near-reps")
-    limit = bits_apart(similarity, 2.6)
-    close = _with_words(link_prints(reps, distance, "id"), reps).where(F.col("apart") <= limit).select("a", "b")
-    close = _compared(map_arrow(close, local_forest, "a bigint, b bigint"), chosen, width, similarity)
-    close = close.union(_table_links(chosen, _rooted(reps, close), width, similarity))
-    named = _rooted(reps, close).select(*WIDE_COLUMNS, "root")
-    copies = prints.select("id", *WIDE_COLUMNS).join(named, WIDE_COLUMNS).where("id <> root").select("id", "root").distinct()
-    copies = materialize(copies, "near-roots")
-    # A repeated id may have several roots here; any one of them does, as the links below hold them all.
-    roots = copies.groupBy("id").agg(F.min("root").alias("root"))
-    links = _prefix_links(chosen, prints, roots, width, similarity)
-    ends = components(copies.select(F.col("root").alias("a"), F.col("id").alias("b")).union(links))
-    return ends.where("node <> root").select(F.col("node").alias("id"), "root").distinct()
+    schema = ", ".join(["id bigint, fp bigint, size int", *(f"{w} bigint" for w in PARITY_COLUMNS), "prefix array<bigint>"])
+    make = partial(_set_batches, width=width, similarity=similarity, common=common, counts=counts)
+    sets = materialize(map_arrow(chosen, make, schema), "near-sets")
+    prints = sets.select("id", "fp")
+    grouped = prints.join(print_roots(prints.select("fp").distinct(), distance), "fp")
+    least = grouped.groupBy("root").agg(F.min("id").alias("a"))
+    links = _compared(grouped.join(least, "root").where("a <> id").select("a", F.col("id").alias("b")), chosen, width, similarity)
+    rooted = _with_roots(sets.select("id", "prefix"), links)
+    live = _live_rows(rooted.select("id", "root", F.posexplode("prefix").alias("pos", "key")))
+    links = links.union(_compared(_first_pairs(live, sets, similarity), chosen, width, similarity))
+    live = _live_rows(_with_roots(live.select("key", "id", "pos"), links))
+    pairs = materialize(_all_pairs(live, sets, similarity), "near-candidates")
+    links = _compared_in_rounds(pairs, links, partial(_compared, docs=chosen, width=width, similarity=similarity))
+    return components(links).where("node <> root").select(F.col("node").alias("id"), "root").distinct()
 
 
 def drop_near(
