@@ -13,25 +13,29 @@ depend on input order; repeated rows are packed each on its own; an empty table
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidewright.llm.common import map_arrow, materialize
-from tidewright.llm.token_counts import byte_signs, normalise
+from tidewright.llm.token_counts import DIGIT, LETTER, SPACE, byte_signs, char_classes, normalise
 
 #: Bins that a partition holds open.
 OPEN_BINS = 512
 #: Bins filled to this share at a partition's end are left as they are; the others' pieces are packed again.
 FULL_SHARE = 0.98
-#: Words, and chunks between white space, whose ids a task remembers; it starts afresh when full.
-MOST_CACHED = 200_000
+#: Words whose ids a task remembers; it starts afresh when full.
+MOST_CACHED = 400_000
+#: Characters of a text whose words are listed at a time.
+BLOCK = 1 << 18
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, closed boolean"
 
@@ -57,12 +61,20 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class ChunkIds(dict):
-    """Ids of chunks between ASCII white space, put together from those of their words.
+def latin_ranges(kind: int) -> str:
+    """The Latin-1 signs of a class as ranges, to be put between brackets."""
+    inside = np.append(char_classes()[:256] == kind, False)
+    edges = np.flatnonzero(np.diff(inside, prepend=False)).reshape(-1, 2)
+    return "".join(f"\\x{a:02x}-\\x{b - 1:02x}" for a, b in edges.tolist())
+
+
+class TextIds:
+    """Ids of texts, put together from those of their words.
 
     This holds for a tokenizer that lower-cases and splits texts into words before it merges, such as
     ``word_bpe_49k.json``: the ids of a text are those of its words one after another. For any other file, and for
-    chunks that may hold a special token, the tokenizer gets the whole text or chunk.
+    texts that may hold a special token, the tokenizer gets the whole text. A long text is taken in blocks, cut at spaces, which
+    no word holds.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,34 +87,45 @@ class ChunkIds(dict):
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_words = steps == ["NFC", "Replace", "Lowercase"] and splits.get("behavior") == "Removed" and splits.get("invert", False)
         if self.by_words:
-            self.pattern = regex.compile(splits["pattern"]["Regex"])
+            pattern = splits["pattern"]["Regex"]
+            self.pattern = regex.compile(pattern)
+            # With the classes written out for Latin-1, the standard library's engine does the same there and is the faster one.
+            for name, kind in ((r"\p{L}", LETTER), (r"\p{N}", DIGIT), (r"\s", SPACE)):
+                pattern = pattern.replace(name, latin_ranges(kind))
+            self.latin = re.compile(pattern)
         self.tokenizer = Tokenizer.from_file(path)
         self.words = WordIds(self.tokenizer)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if "<" in text:
-            return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        ids = b"".join(map(self.words.__getitem__, self.pattern.findall(normalise(text))))
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def _block(self, text: str) -> bytes:
+        text = normalise(text)
+        try:
+            text.encode("latin-1")
+            found = self.latin.findall(text)
+        except UnicodeEncodeError:
+            found = self.pattern.findall(text)
+        return b"".join(map(self.words.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
-        if not self.by_words:
+        if not self.by_words or "<|" in text:
             return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        if len(text) <= BLOCK:
+            return self._block(text)
+        parts, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + BLOCK)
+            end = len(text) if end < 0 else end
+            parts.append(self._block(text[at:end]))
+            at = end
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def text_ids(path: str) -> TextIds:
+    return TextIds(path)
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, most: int, closing: int) -> Iterator[pa.RecordBatch]:
-    ids_of = chunk_ids(path)
+    ids_of = text_ids(path)
     end = pack_ids([closing])
     for batch in batches:
         rows: list[tuple] = []
