@@ -1,8 +1,8 @@
 """WARC archives written from pages and read back as a table of chunks.
 
-Payloads travel as (record, chunk number) rows of bounded size on both ways: the writer appends chunk after chunk, the
-reader yields a row for each, with the bytes so far and the digest so far, so that a task never holds a whole record. Each
-record is a gzip member of its own. Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the
+Payloads travel as (record, chunk number) rows of bounded size on both ways: the writer appends chunk after chunk, views of the
+page's row, and the reader yields a row for each, with the bytes so far and the digest so far, so that beside the row that a page
+comes in no whole record is held. Each record is a gzip member of its own. Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the
 smallest id is a ``response`` and the others are ``revisit`` records that name it.
 
 Archives lie in the shared folder, under names that no other attempt uses; the writer returns the names of those that it
@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -36,6 +37,8 @@ REVISIT_BYTES = 100
 BROADCAST_DIGESTS = 200_000
 #: Bytes that the reader takes from a file at a time.
 READ_BYTES = 1 << 18
+#: Tasks that read at most; beyond, a task reads several archives.
+MOST_READERS = 20_000
 
 CHUNKS = (
     "page_id bigint, record_type string, refers_to bigint, chunk int, chunk_bytes bigint, bytes_so_far bigint, "
@@ -78,15 +81,35 @@ def record_types(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
     return joined.withColumn("refers_to", F.when(differs, F.col("first_id"))).drop("first_id")
 
 
+CHUNK_ROWS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, refers_to bigint, parts int, chunk int, data binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Chunk after chunk of each record of the batches. Chunks are views of the batch; no payload is copied whole."""
+    for batch in batches:
+        facts = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes", "payload_digest", "refers_to")), strict=True)
+        for fact, body in zip(facts, batch.column("body"), strict=True):
+            whole = memoryview(body.as_buffer()) if fact[4] is None else b""
+            parts = max(1, -(-len(whole) // CHUNK_BYTES))
+            for k in range(parts):
+                yield *fact, parts, k, whole[k * CHUNK_BYTES : (k + 1) * CHUNK_BYTES]
+
+
+def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*(x.split() for x in CHUNK_ROWS.split(", ")), strict=True)
+    types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds]
+    rows = _chunks(batches)
+    while part := list(islice(rows, 64)):
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=list(names))
+
+
 def payload_chunks(records: DataFrame) -> DataFrame:
     """A row for each chunk of a record, in order and next to each other; revisits have one, without data."""
-    parts = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / CHUNK_BYTES)))
-    data = F.substring(F.encode("body", "UTF-8"), F.col("chunk") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES))
-    numbered = records.withColumn("parts", parts.cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return numbered.select(
-        "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "parts", "chunk",
-        F.when(F.col("refers_to").isNull(), data).alias("data"),
-    )
+    return map_arrow(_with_bytes(records), _chunk_batches, CHUNK_ROWS)
+
+
+def _with_bytes(records: DataFrame) -> DataFrame:
+    return records.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", F.col("body").cast("binary").alias("body"))
 
 
 def _urn(page_id: int | None) -> str:
@@ -120,27 +143,24 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     fs.create_dir(root, recursive=True)
     out, name, written, records, done = None, "", 0, 0, []
     running = gz = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["chunk"] == 0:
-                if out is None:
-                    name, written, records = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                gz, running = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha256()
-                head = _head(row["page_id"], row["url"], row["payload_bytes"], row["payload_digest"], row["refers_to"])
-                written += out.write(gz.compress(head))
-            data = row["data"] or b""
-            running.update(data)
-            written += out.write(gz.compress(data))
-            if row["chunk"] == row["parts"] - 1:
-                if row["refers_to"] is None and running.hexdigest() != row["payload_digest"]:
-                    raise ValueError(f"page {row['page_id']}: its chunks don't have the digest of its payload")
-                written += out.write(gz.compress(b"\r\n\r\n") + gz.flush())
-                records += 1
-                if written >= ARCHIVE_BYTES:
-                    out.close()
-                    done.append((name, records, written))
-                    out = None
+    for page_id, url, size, digest, refers_to, parts, chunk, data in _chunks(batches):
+        if chunk == 0:
+            if out is None:
+                name, written, records = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                out = fs.open_output_stream(f"{root}/{name}", compression=None)
+            gz, running = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha256()
+            written += out.write(gz.compress(_head(page_id, url, size, digest, refers_to)))
+        running.update(data)
+        written += out.write(gz.compress(data))
+        if chunk == parts - 1:
+            if refers_to is None and running.hexdigest() != digest:
+                raise ValueError(f"page {page_id}: its chunks don't have the digest of its payload")
+            written += out.write(gz.compress(b"\r\n\r\n") + gz.flush())
+            records += 1
+            if written >= ARCHIVE_BYTES:
+                out.close()
+                done.append((name, records, written))
+                out = None
     if out is not None:
         out.close()
         done.append((name, records, written))
@@ -154,8 +174,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write all pages; returns the finished archives: ``archive, records, archive_bytes``."""
     folder = scratch_path(pages.sparkSession, "warc")
-    chunks = payload_chunks(record_types(pages, key, html, url))
-    return materialize(map_arrow(chunks, partial(_write, folder=folder), "archive string, records bigint, archive_bytes bigint"), "warc-archives")
+    records = _with_bytes(record_types(pages, key, html, url))
+    return materialize(map_arrow(records, partial(_write, folder=folder), "archive string, records bigint, archive_bytes bigint"), "warc-archives")
 
 
 class _Stream:
@@ -256,9 +276,11 @@ def _read(batches: Iterator[pa.RecordBatch], with_data: bool) -> Iterator[pa.Rec
 def read_archives(archives: DataFrame, with_data: bool = True) -> DataFrame:
     """The chunk table of archives (column ``archive``): a row for each chunk of each record.
 
-    The reader recomputes digests; at a record's last chunk ``digest_so_far`` is that of the whole payload.
+    Archives are dealt out by ranges of their names, a task for each of them up to ``MOST_READERS`` tasks. The reader recomputes
+    digests; at a record's last chunk ``digest_so_far`` is that of the whole payload.
     """
-    return map_arrow(archives.select("archive").repartition(F.col("archive")), partial(_read, with_data=with_data), CHUNKS)
+    tasks = max(1, min(archives.count(), MOST_READERS))
+    return map_arrow(archives.select("archive").repartitionByRange(tasks, "archive"), partial(_read, with_data=with_data), CHUNKS)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
