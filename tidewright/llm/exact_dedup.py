@@ -1,9 +1,12 @@
 """Exact dedup over an extendible-hash index in the shared folder.
 
 Keys are 64-bit hashes of whole texts. The directory starts with one bucket; while a bucket holds more keys than its
-capacity, it splits on the next hash bit and the directory doubles where needed, until every bucket fits. The index is
-a Parquet table with one folder for each bucket. Owner tasks, one range of keys each, group the texts under a key by
-their bytes, so texts whose hashes collide form a chain of separate entries.
+capacity, it splits on the next hash bit and the directory doubles where needed, until every bucket fits. Splits are worked out
+from the counts of all keys by prefix, which gives the same leaves as inserting key by key; where that would make more than
+``MOST_BUCKETS`` buckets, their capacity grows instead. The index is a Parquet table with one folder for each bucket, written by
+owner tasks, one range of keys each. Texts under a key are compared by their bytes when they are grouped, so texts whose hashes
+collide form a chain of separate entries. Rows are looked up by the bucket that the directory gives their key, then by key, then
+along the chain by the text's SHA-256, which stands for the bytes there, so that copies don't move whole.
 
 Everything here is DataFrame functions: no Python runs on the executors.
 
@@ -74,8 +77,10 @@ def _bucket(key: Column, leaves: list[tuple[int, int]]) -> Column:
     return F.get(directory, _prefix(key, depth).cast("int"))
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
-    """Index every text that occurs more than once: ``bucket, key, text_sha256, keep_id, group_size``.
+def build_index(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS
+) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Index every text that occurs more than once: ``bucket, key, text_sha256, keep_id, group_size``; and the directory's leaves.
 
     The first pass moves 8-byte hashes only, combined on the map side, so a group with a third of all rows arrives as one
     row for each task. Only texts under a hash that occurs again are moved whole, again combined first, and are compared
@@ -99,19 +104,20 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     path = scratch_path(spark, "exact-index")
     # Owner tasks: each writes a range of keys, so a bucket's folder has one or a few files.
     entries.repartitionByRange("bucket", "key").write.partitionBy("bucket").parquet(path)
-    return spark.read.schema(entries.schema).parquet(path)
+    return spark.read.schema(entries.schema).parquet(path), leaves
+
+
+def _probes(docs: DataFrame, key: str, text: str, leaves: list[tuple[int, int]]) -> DataFrame:
+    """``id, bucket, key, text_sha256`` of each row: where the directory sends it, and what it is compared by there."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("key"), F.sha2(body, 256).alias("text_sha256"))
+    return rows.select("id", _bucket(F.col("key"), leaves).alias("bucket"), "key", "text_sha256")
 
 
 def find_exact(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
     """One row for each document: ``key, keep_id, group_size, kept, text_sha256``."""
-    index = build_index(docs, key, text, capacity)
-    rows = docs.select(
-        F.col(key).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"),
-        F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"),
-    )
-    found = index.select("key", "text_sha256", "keep_id", "group_size")
-    joined = rows.join(found, ["key", "text_sha256"], "left")
+    index, leaves = build_index(docs, key, text, capacity)
+    joined = _probes(docs, key, text, leaves).join(index, ["bucket", "key", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias(key),
@@ -128,10 +134,8 @@ def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
     What goes is known by id and digest: a table that is broadcast within ``BROADCAST_GONE`` rows, so that texts don't
     move; beyond, the join shuffles.
     """
-    found = build_index(docs, key, text, capacity).select("key", "text_sha256", "keep_id")
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("key"), F.sha2(body, 256).alias("text_sha256"))
-    gone = rows.join(found, ["key", "text_sha256"]).where(~F.col("id").eqNullSafe(F.col("keep_id")))
+    index, leaves = build_index(docs, key, text, capacity)
+    gone = _probes(docs, key, text, leaves).join(index, ["bucket", "key", "text_sha256"]).where(~F.col("id").eqNullSafe(F.col("keep_id")))
     gone = materialize(gone.select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "exact-gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
     same = docs[key].eqNullSafe(side["__id"]) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == side["__sha"])
