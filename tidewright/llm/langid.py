@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StructField, StructType
 
 from tidewright.llm.common import map_arrow
 
 #: Hashed n-gram features, and the lengths of the n-grams in bytes of the lower-cased text.
 FEATURES, ORDERS = 1 << 14, (1, 2, 3)
-#: Languages, commonest first, that are learnt; and random bits in a codeword beside one for each language.
-MOST_LANGUAGES, EXTRA_BITS = 256, 15
+#: Random bits in a codeword beside one for each language.
+EXTRA_BITS = 15
 #: Bytes of a text whose features are counted at a time.
 BLOCK = 1 << 20
 #: The nearest codeword must be nearer than the next by this share of the loss between them.
@@ -123,14 +124,12 @@ class Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """The model from all rows with a label and a letter; None if there are none.
 
-    Each task sends at most ``FEATURES`` numbers for each language, and so does the aggregation in the end.
+    Each task sends at most ``FEATURES`` numbers for each language, and so does the aggregation in the end. All languages of the
+    labels are learnt.
     """
     labelled = docs.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counted = map_arrow(labelled, _count, "lang string, feature int, weight bigint").groupBy("lang", "feature").agg(F.sum("weight").alias("weight"))
-    by_language = counted.groupBy("lang").agg(
-        F.sum("weight").cast("decimal(38,0)").alias("total"), F.collect_list(F.struct("feature", "weight")).alias("used")
-    )
-    rows = by_language.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = counted.groupBy("lang").agg(F.collect_list(F.struct("feature", "weight")).alias("used")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r["lang"])
@@ -180,16 +179,17 @@ def _judge_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordB
     m: Model = model.value
     for batch in batches:
         keep = []
-        for t, letter in zip(batch.column("__text"), batch.column("__letter").to_pylist(), strict=True):
+        for t, letter in zip(batch.column("text"), batch.column("letter").to_pylist(), strict=True):
             keep.append(bool(letter) and not m.predict(features(t.as_py()))[2])
-        yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__text", "__letter"])
+        yield batch.select(["whole"]).filter(pa.array(keep, pa.bool_()))
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without texts that have no letter or whose language stays ambiguous; columns as they are."""
+    """``docs`` without texts that have no letter or whose language stays ambiguous; columns, whatever their names, as they are."""
     model = train(docs, text, lang)
     if model is None:
         return docs.where(F.lit(False))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumns({"__text": F.col(text), "__letter": has_letter(F.col(text))})
-    return map_arrow(marked, partial(_judge_rows, model=sent), docs.schema)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    marked = docs.select(whole, F.col(text).alias("text"), has_letter(F.col(text)).alias("letter"))
+    return map_arrow(marked, partial(_judge_rows, model=sent), StructType([StructField("whole", docs.schema)])).select("whole.*")
