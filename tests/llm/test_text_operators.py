@@ -59,13 +59,30 @@ def test_url_rules(spark):
 
 
 def test_boilerplate_lines(spark):
-    rows = [(i, f"Menu  Home\nbody {i}", "s") for i in range(30)] + [(100 + i, f"Menu Home\nbody {i}", "t") for i in range(5)] + [(200, None, "s"), (201, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    rows = [(i, f"Menu  Home\nbody {i}", "s") for i in range(30)] + [(100 + i, f"Menu Home\nbody {i}" if i < 2 else f"body {i}", "t") for i in range(19)]
+    rows += [(200, None, "s"), (201, "", None), (202, "alone\nalone", "one page"), (203, "word " * 200_000 + "\nMenu Home", "s"), (0, rows[0][1], "s")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, source string, `__drop` string, lines int")
     got = {r["doc_id"]: r for r in line_rules.dedup_lines(docs).collect()}
-    assert got[0]["text"] == "body 0" and got[0]["n_dropped"] == 1 and got[100]["n_dropped"] == 0 and got[200]["text"] is None and got[201]["text"] == ""
+    assert got[0]["text"] == "body 0" and got[0]["n_dropped"] == 1 and got[200]["text"] is None and got[201]["text"] == ""
+    assert got[100]["text"] == "body 0" and got[102]["n_dropped"] == 0 and got[202]["n_dropped"] == 0 and got[203]["n_dropped"] == 1
+    twenty = docs.union(spark.createDataFrame([(119, "body 19", "t", "x", 1)], docs.schema))
+    assert {r["doc_id"]: r for r in line_rules.dedup_lines(twenty).collect()}[100]["n_dropped"] == 0  # 2 of 20 pages are not over a tenth
     assert line_rules.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_depleted_documents(spark):
+    menu = "home about contact help terms news sport video"
+    rows = [(i, f"{menu}\nown{i} words{i}" if i < 3 else " ".join(f"w{i}x{k}" for k in range(20)), "s") for i in range(40)]
+    rows += [(50 + i, f"{menu} more\nonly{i} pair{i}", "t") for i in range(2)] + [(60, rows[0][1], "s")]
+    docs = spark.createDataFrame([(*r, True) for r in rows], "doc_id bigint, text string, source string, kept boolean")
+    got = {r["doc_id"]: r for r in line_rules.apply_quality_rules(docs).collect()}
+    assert [got[i]["kept"] for i in (0, 1, 2, 60, 3, 50)] == [True] * 4 + [True, True] and got[0]["n_boilerplate_words"] == 8 and got[0]["text"] == "own0 words0"
+    strict = {r["doc_id"]: r["kept"] for r in line_rules.apply_quality_rules(docs, left_share=0.3).collect()}
+    assert [strict[i] for i in (0, 1, 2, 60, 3, 50)] == [False] * 4 + [True, True]
+    kept = line_rules.keep_quality(docs, left_share=0.3)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, k in strict.items() if k}
+
+
 def brute_metrics(text):
     import re
 
@@ -82,9 +99,9 @@ def brute_metrics(text):
 
 
 def test_quality_metrics_on_odd_rows(spark):
-    got = line_rules.apply_quality_rules(odd_docs(spark)).collect()
+    got = line_rules.apply_quality_rules(odd_docs(spark).withColumn("n_words", F.lit(1))).collect()
     assert len(got) == len(TEXTS) + 2
-    for r in got:
+    for r in got:  # no line of these rows is boilerplate, so the text comes back whole
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_metrics(r["text"])
     kept = line_rules.keep_quality(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns and rows_of(kept, "doc_id") == [(5,), (6,)]
@@ -119,6 +136,32 @@ def check_packed(rows, texts):
     return len(bins)
 
 
+def test_best_fit_piece_by_piece():
+    import random
+
+    rng, most, bins = random.Random(5), 40, 6
+    lengths = [rng.randint(1, most) for _ in range(3000)]
+    packer, got, left, placed, made = packing.BestFit(most, bins), {}, {}, [], 0
+    for k, length in enumerate(lengths):
+        for number, items in packer.add((k,), length):
+            got |= {item[0]: (number, offset) for item, offset in items}
+        fits = [b for b, used in left.items() if most - used >= length]
+        if not fits and len(left) == bins:
+            del left[next(b for b in left if left[b] == max(left.values()))]
+        best = min((most - left[b] for b in fits), default=None)
+        placed.append(best)  # which of equally full bins is taken is free; how full it was isn't
+        if not fits:
+            left[made], made = length, made + 1
+        else:
+            b = next(b for b in fits if most - left[b] == best)
+            left[b] += length
+            if left[b] == most:
+                del left[b]
+    for number, items in packer.held.items():
+        got |= {item[0]: (number, offset) for item, offset in items}
+    assert [None if got[k][1] == 0 else most - got[k][1] for k in range(len(lengths))] == placed and len({b for b, _ in got.values()}) == made
+
+
 def test_packing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -163,6 +206,38 @@ def test_language_on_held_out_rows(spark):
     assert (held.lang == held.lang_pred).mean() > 0.98 and got.score.between(0, 1).all()
 
 
+def test_codes_by_hand():
+    """Codewords, bits and decoding against a plain version, on made-up counts."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sums = rng.random((5, langid.FEATURES)) * (rng.random((5, langid.FEATURES)) < 0.02)
+    model = langid.Model(list("abcde"), sums)
+    assert len({tuple(c) for c in model.code.tolist()}) == 5
+    share = [[x / sum(row) for x in row] for row in sums.tolist()]
+    for k in range(20):
+        counts = np.round(100 * sums[k % 5] * (rng.random(langid.FEATURES) < 0.3)) + (rng.random(langid.FEATURES) < 0.01) * (k // 5)
+        x = (counts / counts.sum()).tolist()
+        losses, gaps = [0.0] * 5, []
+        for bit in model.code.T.tolist():
+            mean = [[sum(share[i][f] for i in range(5) if bit[i] == v) / bit.count(v) for f in range(langid.FEATURES)] for v in (1, 0)]
+            odds = [math.log((p + 1e-6) / (q + 1e-6)) for p, q in zip(*mean, strict=True)]
+            scores = [sum(a * b for a, b in zip(row, odds, strict=True)) for row in share]
+            high, low = min(s for s, v in zip(scores, bit, strict=True) if v), max(s for s, v in zip(scores, bit, strict=True) if not v)
+            gap = max(high - low, 1e-3)
+            says = (sum(a * b for a, b in zip(x, odds, strict=True)) - (high + low) / 2) / gap
+            gaps.append(gap)
+            for i in range(5):
+                losses[i] += gap * math.log1p(math.exp(-4 * says * (1 if bit[i] else -1)))
+        losses = [v / sum(gaps) for v in losses]
+        best, second = sorted(losses)[:2]
+        lang, score, ambiguous = model.predict(counts)
+        assert lang == "abcde"[losses.index(best)] and ambiguous == (second - best < langid.MARGIN * (second + best))
+        assert abs(score - 1 / sum(math.exp(-8 * (v - best)) for v in losses)) < 1e-6
+
+
 def test_language_of_odd_rows(spark):
     got = langid.identify_held_out(odd_docs(spark)).collect()
     letters = {r["doc_id"]: r["text"] for r in odd_docs(spark).collect()}
@@ -170,7 +245,8 @@ def test_language_of_odd_rows(spark):
     for r in got:
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in letters[r["doc_id"]] or ""))
     assert langid.identify_held_out(empty_docs(spark)).count() == 0 and langid.keep_identified(empty_docs(spark)).count() == 0
-    assert langid.keep_identified(odd_docs(spark)).columns == odd_docs(spark).columns
+    clash = odd_docs(spark).withColumns({"letter": F.lit(7), "whole": F.lit("w")})
+    assert langid.keep_identified(clash).columns == clash.columns
 
 
 # --- 6 ---

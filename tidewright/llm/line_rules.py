@@ -3,12 +3,12 @@
 Everything here is DataFrame functions: no Python runs on the executors.
 
 A *line* is a ``\\n``-separated part of a text, normalised (lower case, outer white space off, inner runs of white space
-to one space); empty ones are left out. A host's documents count by distinct text, so that exact copies, which another
-operator removes, don't make their own lines boilerplate.
+to one space); empty ones are left out. Line dedup counts pages: the rows of a host. Quality rules count distinct documents:
+exact copies, which another operator removes, count once there, so that they don't make their own lines boilerplate.
 
 Defined cases: a null text has no lines and no words; a null host is a host of its own; a document that holds a line
-twice counts once; repeated rows get equal verdicts; empty tables give empty results; columns that the functions don't
-name are left alone or not returned, as each docstring says.
+twice counts once; repeated rows get equal verdicts (and are pages of their own for line dedup); empty tables give empty
+results; other columns, whatever their names, are left alone or not returned, as each docstring says.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from tidewright.llm.common import SPACE_CLASS, materialize, words_of
 
 #: Boilerplate tables up to this many lines (8 bytes each, and a host name per host) are broadcast.
 BROADCAST_LINES = 2_000_000
+#: Pages that a line must be on to recur at all; and documents for the quality rules, so that a pair of near copies is left alone.
+LEAST_PAGES, LEAST_DOCUMENTS = 2, 3
 
 
 def lines_of(text: Column) -> Column:
@@ -30,70 +32,81 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE_CLASS + "+", " ")))
 
 
-def line_frequencies(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """``line_host, line_hash, n_docs, host_docs``: distinct texts of the host with the line, and in all.
+def line_hashes(text: Column) -> Column:
+    """Hashes of the distinct normalised lines that aren't empty."""
+    normal = F.filter(F.transform(lines_of(text), normal_line), lambda x: x != "")
+    return F.array_distinct(F.transform(normal, lambda x: F.xxhash64(x)))
 
-    Two aggregations, each with map-side combine: first to (host, line, text), which folds copies, then to (host, line).
-    A line that a third of all documents hold is thus spread over its documents, then summed from partial counts.
+
+def _host_key(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("h:"), host), F.lit("null"))
+
+
+def line_frequencies(docs: DataFrame, host: str, text: str, distinct: bool = False) -> DataFrame:
+    """``line_host, line_hash, n_docs, host_docs``: rows of the host with the line, and in all; of ``distinct`` texts if asked for.
+
+    Counts are combined on the map side, so a line that a third of all documents hold is one row for each task. Distinct texts
+    take an aggregation before that, by (host, line, text), which folds copies.
     """
-    hashed = docs.select(
-        F.coalesce(F.concat(F.lit("h:"), F.col(host)), F.lit("null")).alias("line_host"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
-        F.array_distinct(
-            F.transform(F.filter(F.transform(lines_of(F.col(text)), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x))
-        ).alias("hashes"),
-    )
-    per_line = hashed.select("line_host", "text_hash", F.explode("hashes").alias("line_hash")).distinct()
-    counts = per_line.groupBy("line_host", "line_hash").agg(F.count("*").alias("n_docs"))
-    totals = hashed.select("line_host", "text_hash").distinct().groupBy("line_host").agg(F.count("*").alias("host_docs"))
+    hashed = docs.select(_host_key(F.col(host)).alias("line_host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), line_hashes(F.col(text)).alias("hashes"))
+    lines, rows = hashed.select("line_host", "text_hash", F.explode("hashes").alias("line_hash")), hashed.select("line_host", "text_hash")
+    if distinct:
+        lines, rows = lines.distinct(), rows.distinct()
+    counts = lines.groupBy("line_host", "line_hash").agg(F.count("*").alias("n_docs"))
+    totals = rows.groupBy("line_host").agg(F.count("*").alias("host_docs"))
     return counts.where(F.col("n_docs") > 1).join(totals, "line_host")
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, share: float, least: int) -> DataFrame:
-    """``line_host, drop``: for each host the hashes of lines in more than ``share`` of its texts and over ``least``.
+def boilerplate(docs: DataFrame, host: str, text: str, share: float, least: int, distinct: bool = False) -> DataFrame:
+    """``line_host, drop``: for each host the hashes of lines in more than ``share`` of its documents, and in ``least`` at least.
 
     A host has at most (mean lines of a document) / ``share`` such lines, so the arrays stay short at any size.
     """
     return (
-        line_frequencies(docs, host, text)
-        .where((F.col("n_docs") > least) & (F.col("n_docs") > F.lit(share) * F.col("host_docs")))
+        line_frequencies(docs, host, text, distinct)
+        .where((F.col("n_docs") >= least) & (F.col("n_docs") > F.lit(share) * F.col("host_docs")))
         .groupBy("line_host")
         .agg(F.sort_array(F.collect_list("line_hash")).alias("drop"))
     )
 
 
-def with_drop_list(docs: DataFrame, host: str, text: str, share: float, least: int) -> DataFrame:
-    """``docs`` with a column ``drop_lines`` of the hashes to drop (null for hosts without any).
+def with_drop_list(docs: DataFrame, host: str, text: str, share: float, least: int, distinct: bool = False) -> DataFrame:
+    """``docs`` with a column ``__drop`` of the hashes of its own lines that go (null or empty where none does).
 
     The table of boilerplate is written to the shared folder and its size read; it is broadcast only within
-    ``BROADCAST_LINES``, else the join shuffles by host and skewed hosts are split by adaptive execution.
+    ``BROADCAST_LINES``, else the join shuffles by host and skewed hosts are split by adaptive execution. A document meets its
+    host's list once, as two sets, so the cost is the sum of their lengths.
     """
-    found = materialize(boilerplate(docs, host, text, share, least), "boilerplate")
+    found = materialize(boilerplate(docs, host, text, share, least, distinct), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
-    found = found.select(F.col("line_host").alias("__line_host"), F.col("drop").alias("drop_lines"))
+    found = found.select(F.col("line_host").alias("__line_host"), F.col("drop").alias("__drop"))
     side = F.broadcast(found) if size <= BROADCAST_LINES else found
-    key = F.coalesce(F.concat(F.lit("h:"), docs[host]), F.lit("null"))
-    return docs.join(side, key == side["__line_host"], "left").drop("__line_host")
+    joined = docs.join(side, _host_key(docs[host]) == side["__line_host"], "left")
+    mine = F.when(F.col("__drop").isNotNull(), F.array_intersect(line_hashes(F.col(text)), "__drop"))
+    return joined.withColumn("__drop", mine).drop("__line_host")
 
 
 def _is_dropped(line: Column) -> Column:
-    return F.coalesce(F.array_contains(F.col("drop_lines"), F.xxhash64(normal_line(line))), F.lit(False))
+    return F.array_contains(F.col("__drop"), F.xxhash64(normal_line(line)))
+
+
+def _without_dropped(lines: Column) -> Column:
+    return F.when(F.coalesce(F.size("__drop"), F.lit(0)) <= 0, lines).otherwise(F.filter(lines, lambda x: ~_is_dropped(x)))
 
 
 def dedup_lines(
-    docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", share: float = 0.1, least: int = 20
+    docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", share: float = 0.1, least: int = LEAST_PAGES
 ) -> DataFrame:
-    """Drop lines that more than ``share`` of the host's texts (and over ``least``) hold.
+    """Drop lines that more than ``share`` of the host's pages hold (``least`` pages at least, as on one page nothing recurs).
 
     Returns ``key, n_lines, n_dropped, text``: the text keeps its other lines in order; null stays null.
     """
     chosen = docs.select(F.col(key).alias("__key"), F.col(host).alias("__host"), F.col(text).alias("__text"))
     joined = with_drop_list(chosen, "__host", "__text", share, least)
     lines = F.when(F.col("__text").isNotNull(), F.split("__text", "\n")).otherwise(F.array().cast("array<string>"))
-    kept = F.when(F.col("drop_lines").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~_is_dropped(x)))
     return (
         joined.withColumn("lines", lines)
-        .withColumn("kept_lines", kept)
+        .withColumn("kept_lines", _without_dropped(F.col("lines")))
         .select(
             F.col("__key").alias(key),
             F.size("lines").cast("long").alias("n_lines"),
@@ -153,41 +166,52 @@ def text_metrics(docs: DataFrame, text: str) -> DataFrame:
     ).drop("__words", "__lines", "__word_hashes", "__windows", "__sorted", "__again")
 
 
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, share: float, least: int, left_share: float) -> DataFrame:
+    """``docs`` (with ``__host`` and ``__text``) and ``METRICS``, and ``__left``: the text without the lines above the limits."""
+    joined = with_drop_list(docs, "__host", "__text", share, least, distinct=True)
+    dropped_words = F.when(
+        F.coalesce(F.size("__drop"), F.lit(0)) > 0,
+        F.aggregate(
+            F.filter(lines_of(F.col("__text")), _is_dropped),
+            F.lit(0).cast("long"),
+            lambda total, line: total + F.size(words_of(line)),
+        ),
+    ).otherwise(F.lit(0).cast("long"))
+    left_text = F.when(F.col("__text").isNotNull(), F.array_join(_without_dropped(lines_of(F.col("__text"))), "\n"))
+    measured = text_metrics(joined.withColumns({"n_boilerplate_words": dropped_words, "__left": left_text}), "__text")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    left = F.col("n_words") - F.col("n_boilerplate_words")
+    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (left >= F.lit(left_share) * F.col("n_words")))
+
+
 def apply_quality_rules(
     docs: DataFrame,
     host: str = "source",
     text: str = "text",
+    key: str = "doc_id",
     share: float = 0.02,
-    least: int = 50,
+    least: int = LEAST_DOCUMENTS,
     left_share: float = 0.2,
 ) -> DataFrame:
-    """``docs`` with the metrics of ``text_metrics`` and ``n_boilerplate_words, base_failed, kept``.
+    """``key``, ``METRICS`` and the ``text`` that is left, for every row.
 
     ``base_failed``: fewer than 10 words, or over 20 % of the words in repeated 5-word windows. Lines above the limits
-    (more than ``share`` of the host's distinct texts, and over ``least``) are taken out; a document of which less than
-    ``left_share`` of the words then remains is depleted, and goes too.
+    (more than ``share`` of the host's distinct texts, and in ``least`` at least) are taken out; a document of which less than
+    ``left_share`` of the words then remains is depleted, and isn't kept.
     """
-    joined = with_drop_list(docs, host, text, share, least)
-    dropped_words = F.when(
-        F.col("drop_lines").isNotNull(),
-        F.aggregate(
-            F.filter(lines_of(F.col(text)), _is_dropped),
-            F.lit(0).cast("long"),
-            lambda total, line: total + F.size(words_of(line)),
-        ),
-    ).otherwise(F.lit(0).cast("long"))
-    measured = text_metrics(joined.withColumn("n_boilerplate_words", dropped_words), text)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    left = F.col("n_words") - F.col("n_boilerplate_words")
-    return measured.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (left >= F.lit(left_share) * F.col("n_words"))
-    ).drop("drop_lines")
+    chosen = docs.select(F.col(key).alias("__key"), F.col(host).alias("__host"), F.col(text).alias("__text"))
+    return _judged(chosen, share, least, left_share).select(F.col("__key").alias(key), *METRICS, F.col("__left").alias(text))
 
 
-def keep_quality(docs: DataFrame, host: str = "source", text: str = "text", share: float = 0.02, least: int = 50, left_share: float = 0.2) -> DataFrame:
+def keep_quality(
+    docs: DataFrame, host: str = "source", text: str = "text", share: float = 0.02, least: int = LEAST_DOCUMENTS, left_share: float = 0.2
+) -> DataFrame:
     """``docs`` without the documents that ``apply_quality_rules`` rejects; all its columns, whatever their names, stay as they are."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     chosen = docs.select(F.col(host).alias("__host"), F.col(text).alias("__text"), whole.alias("__row"))
-    judged = apply_quality_rules(chosen, "__host", "__text", share, least, left_share)
+    judged = _judged(chosen, share, least, left_share)
     # A generator, not a filter: a filter on ``kept`` would move below the metrics and compute them several times over.
     return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")

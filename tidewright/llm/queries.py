@@ -69,10 +69,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = line_rules.apply_quality_rules(_table(spark, sf_dir, "documents"))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words", "base_failed", "kept"
-    )
+    return line_rules.apply_quality_rules(_table(spark, sf_dir, "documents")).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -109,15 +106,15 @@ lines AS (
   SELECT rid, host, text, nth, raw, lower(trim(regexp_replace(raw, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS line
   FROM (SELECT rid, host, text, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth FROM docs)),
-totals AS (SELECT host, count(DISTINCT coalesce(text, '')) AS host_docs FROM docs GROUP BY host),
+totals AS (SELECT host, count(DISTINCT {unit}) AS host_docs FROM docs GROUP BY host),
 found AS (
   SELECT host, line FROM (
-    SELECT host, line, count(DISTINCT coalesce(text, '')) AS n_docs FROM lines WHERE line <> '' GROUP BY host, line)
-  JOIN totals USING (host) WHERE n_docs > {least} AND n_docs > {share} * host_docs)
+    SELECT host, line, count(DISTINCT {unit}) AS n_docs FROM lines WHERE line <> '' GROUP BY host, line)
+  JOIN totals USING (host) WHERE n_docs >= {least} AND n_docs > {share} * host_docs)
 """
 
 OP2_SQL = f"""
-WITH {_LINES_SQL.format(least=20, share="1e-1")},
+WITH {_LINES_SQL.format(least=2, share="1e-1", unit="rid")},
 marked AS (SELECT l.*, f.line IS NOT NULL AS gone FROM lines l LEFT JOIN found f ON l.host = f.host AND l.line = f.line),
 joined AS (
   SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
@@ -145,7 +142,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 OP10_SQL = rf"""
-WITH {_LINES_SQL.format(least=50, share="2e-2")},
+WITH {_LINES_SQL.format(least=3, share="2e-2", unit="coalesce(text, '')")},
 gone AS (
   SELECT rid, sum(len([x for x in regexp_split_to_array(raw, '[ \t\n\x0B\f\r]+') if x <> ''])) AS n_boilerplate_words
   FROM lines l JOIN found f ON l.host = f.host AND l.line = f.line GROUP BY rid),
