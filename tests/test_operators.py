@@ -129,3 +129,11 @@ def test_seed_errors(spark):
     assert dt.date(2000, 2, 29) in [x["release_day"] for x in seeding.spawn(s, "2000-02-28", "2000-03-01").collect()]
     assert seeding.regular_grid(spark, -180.0, 180.0, 0.0, 1.0, 90.0).count() == 4
     assert geo.EARTH_RADIUS_M == 6371000.0
+
+
+def test_nearest_over_many_doublings_and_thinning(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0)], "node_id bigint, lon double, lat double")
+    points = spark.createDataFrame([(7, 0.9, 0.5), (8, 0.001, 0.0)], "pid bigint, lon double, lat double")
+    assert {(x["pid"], x["node_id"]) for x in spatial.nearest(points, nodes, 0.005, "pid").collect()} == {(7, 1), (8, 1)}
+    ids = spark.range(200_000).selectExpr("id + 1152921504606846976 AS seed_id")
+    assert 50 < seeding.thin(ids, 0.0005, None, 1).count() < 160 and seeding.thin(ids, 0.0, None, 1).count() == 0 and seeding.thin(ids, 1.0, 7, 1).count() == 7

@@ -7,16 +7,15 @@ goes to a table in the folder of ``spark.checkpoint.dir``, which cuts the lineag
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from tidewright.functions.geo import EARTH_RADIUS_M, central_angle, clamp_lat, moved, wrap_lon
 from tidewright.operators.interp import interpolate
-from tidewright.operators.spatial import bin_nodes, binned, distance2, same_cell
+from tidewright.operators.spatial import bin_nodes, binned, distance2, fits_broadcast, same_cell
+from tidewright.operators.storage import cut_lineage, new_folder
 
 #: Why a particle ended, and the status of a forward run.
 ALIVE, LANDED, NEVER_LEFT, LIFETIME = 0, 1, 2, 3
@@ -26,25 +25,6 @@ LIFETIME_S, GRACE_S = 730 * 86400, 7 * 86400
 MOST_EMPTY, MOST_SPEED, MOST_FAST, STEP_SLACK = 10, 3.0, 4, 1.5
 
 FieldAt = Callable[[int], DataFrame]
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="tidewright-"))
-        folder = _own[0]
-    return folder.rstrip("/")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_near_land(points: DataFrame, entries: DataFrame, limit: float) -> DataFrame:
@@ -62,16 +42,20 @@ def backward(particles: DataFrame, field_at: FieldAt, land: DataFrame, first: in
     """Particles (``pid, lon, lat, init_idx``; time ``idx * dt``) from step ``first`` down to ``last``: ``reason``, the place and ``t_idx`` at the end.
 
     In a step: end of life, then land after the grace time, then sample and move. Without neighbours a particle stays and ages.
-    Those released later than the step wait.
+    Those released later than the step wait. Particles that are under way bring their ``t_idx`` and ``reason``.
     """
-    state = particles.select(key, F.col("lon"), F.col("lat"), F.col("init_idx").cast("bigint").alias("init_idx"), F.col("init_idx").cast("bigint").alias("t_idx"), F.lit(ALIVE).alias("reason")).repartition(key)
+    init = F.col("init_idx").cast("bigint")
+    under_way = "t_idx" in particles.columns
+    t_idx, reason = (F.col("t_idx"), F.col("reason")) if under_way else (init.alias("t_idx"), F.lit(ALIVE).alias("reason"))
+    state = particles.select(key, F.col("lon"), F.col("lat"), init.alias("init_idx"), t_idx, reason).repartition(key)
+    small = fits_broadcast(field_at(first), radius)  # nodes don't move: one count stands for all steps
     entries = bin_nodes(land.select("lon", "lat"), land_limit * (1 + 1e-9))
     for n, idx in enumerate(range(first, last - 1, -1), 1):
         age = (F.col("init_idx") - F.col("t_idx")) * dt
         live = (F.col("reason") == ALIVE) & (F.col("t_idx") == idx)
         state = with_near_land(state, entries, land_limit)
         state = state.withColumn("reason", F.when(live & (age >= lifetime), LIFETIME).when(live & (age >= grace) & F.col("near_land"), LANDED).otherwise(F.col("reason"))).drop("near_land")
-        state = interpolate(state, field_at(idx), radius, shape, key)
+        state = interpolate(state, field_at(idx), radius, shape, key, small=small)
         live = (F.col("reason") == ALIVE) & (F.col("t_idx") == idx)
         lon, lat = _step(-F.col("u") * dt, -F.col("v") * dt)
         state = state.select(
@@ -83,6 +67,18 @@ def backward(particles: DataFrame, field_at: FieldAt, land: DataFrame, first: in
     return state
 
 
+def backward_by_month(particles: DataFrame, months: list[tuple[int, int]], field_of: Callable[[int], FieldAt], *rest, **options) -> DataFrame:
+    """``backward`` month after month, the latest first; ``months`` has the first (latest) and last step of each.
+
+    ``field_of(n)`` loads month ``n`` when its turn comes and gives the field at each of its steps. Between months the state goes to
+    the shared folder, so only one month's field is in a plan.
+    """
+    state = particles
+    for n, (first, last) in enumerate(months):
+        state = cut_lineage(backward(state, field_of(n), rest[0], first, last, *rest[1:], **options))
+    return state
+
+
 def forward(seeds: DataFrame, field_at: FieldAt, land: DataFrame, first: int, steps: int, dt: int, radius: float, shape: float, land_limit: float, cut_every: int = 16, key: str = "pid") -> DataFrame:
     """Seeds (``pid, lon, lat``) over ``steps`` steps: status, place, steps, mean speed, path length and displacement (metres)."""
     entries = bin_nodes(land.select("lon", "lat"), land_limit * (1 + 1e-9))
@@ -91,8 +87,9 @@ def forward(seeds: DataFrame, field_at: FieldAt, land: DataFrame, first: int, st
         key, "lon", "lat", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), F.when(F.col("near_land"), START_LAND).otherwise(OK).alias("status"),
         F.lit(0).cast("bigint").alias("valid_steps"), F.lit(0.0).alias("speed_sum"), F.lit(0.0).alias("path_length"),
     )
+    small = fits_broadcast(field_at(first), radius)
     for n in range(1, steps + 1):
-        state = interpolate(state, field_at(first + n - 1), radius, shape, key)
+        state = interpolate(state, field_at(first + n - 1), radius, shape, key, small=small)
         on = F.col("status") == OK
         lost = on & (F.col("n_nb") == 0)
         go = on & (F.col("n_nb") > 0)
@@ -121,13 +118,14 @@ def reconstruct(seeds: DataFrame, field_at: FieldAt, first: int, last: int, dt:
 
     Returns samples (``seed_id, idx, lon, lat, u, v``; velocity null where it isn't known) and ends (``seed_id, stop_cause``:
     seed0, life, no_nb, fast, step; null while under way). In a step: the stop, the lifetime, neighbours, the record, the speed
-    guard, the step guard, the move. Each step's records and state are one table in the shared folder.
+    guard, the step guard, the move. Each step's records and state are one part of a table in the shared folder, which is read once.
     """
     b = F.col("init_idx").cast("bigint")
     state = seeds.select(key, "lon", "lat", b.alias("init_idx"), b.alias("t_idx"), "stop_lon", "stop_lat", F.col("stop_idx").cast("bigint").alias("stop_idx"), F.lit(0).alias("empty"), F.lit(0).alias("fast"), F.lit(None).cast("string").alias("stop_cause"))
-    records = None
+    small = fits_broadcast(field_at(first), radius)
+    folder, got = new_folder(seeds.sparkSession, "samples"), None
     for idx in range(first, last - 1, -1):
-        got = interpolate(state.repartition(key), field_at(idx), radius, shape, key)
+        got = interpolate(state.repartition(key), field_at(idx), radius, shape, key, small=small)
         # Seeds whose time has not come, or that have ended, pass through.
         live = F.col("stop_cause").isNull() & (F.col("t_idx") == idx) & F.coalesce(F.col("t_idx") >= F.col("stop_idx"), F.lit(True))
         stop = live & F.coalesce(F.col("t_idx") == F.col("stop_idx"), F.lit(False))
@@ -147,12 +145,12 @@ def reconstruct(seeds: DataFrame, field_at: FieldAt, first: int, last: int, dt:
             "cause": cause, "recorded": stop | going, "moving": moving & cause.isNull(), "ages": going & cause.isNull(), "to_lon": lon, "to_lat": lat, "fast2": fast, "empty2": empty,
             "r_lon": F.when(stop, F.col("stop_lon")).otherwise(F.col("lon")), "r_lat": F.when(stop, F.col("stop_lat")).otherwise(F.col("lat")),
             "r_u": F.when(moving, F.col("u")), "r_v": F.when(moving, F.col("v")),
-        }))
-        now = got.where("recorded").select(key, F.col("t_idx").alias("idx"), F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"), F.col("r_u").alias("u"), F.col("r_v").alias("v"))
-        records = now if records is None else records.unionByName(now)
+        }), f"{folder}/step={idx}")
         pick = lambda flag, a, c: F.when(F.col(flag), F.col(a)).otherwise(F.col(c)).alias(c)
         state = got.select(
             key, pick("moving", "to_lon", "lon"), pick("moving", "to_lat", "lat"), "init_idx", F.when(F.col("ages"), F.col("t_idx") - 1).otherwise(F.col("t_idx")).alias("t_idx"),
             "stop_lon", "stop_lat", "stop_idx", F.col("empty2").alias("empty"), F.col("fast2").alias("fast"), F.col("cause").alias("stop_cause"),
         )
+    whole = seeds.sparkSession.read.schema(got.schema).parquet(folder).where("recorded")
+    records = whole.select(key, F.col("t_idx").alias("idx"), F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"), F.col("r_u").alias("u"), F.col("r_v").alias("v"))
     return records, state.select(key, "stop_cause")

@@ -48,9 +48,13 @@ def random_by_coast(sea: DataFrame, land: DataFrame, n: int, seed: int, jitter:
     return coast_band(moved, sea, land, sea_tolerance, land_least, land_most).orderBy("attempt", "__order").limit(n).select("lon", "lat")
 
 
-def thin(seeds: DataFrame, keep: float, cap: int | None, seed: int, key: str = "seed_id") -> DataFrame:
-    """Keeps each seed with a chance of ``keep``, the same ones in every run; then at most ``cap`` of them, the feature asked for."""
-    kept = seeds.where(F.pmod(F.col(key) * 7919 + seed, F.lit(1000)) < int(keep * 1000))
+def thin(seeds: DataFrame, keep: float, cap: int | None, seed: int, key: str = "seed_id", draw: Column | None = None) -> DataFrame:
+    """Keeps each seed with a chance of ``keep``, the same ones in every run; then at most ``cap`` of them, the feature asked for.
+
+    Each seed draws a number in [0, 1) from a hash of its id and ``seed``; another ``draw`` may be given.
+    """
+    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53) if draw is None else draw
+    kept = seeds.where(draw < keep)
     return kept if cap is None else kept.orderBy(key).limit(cap)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor
 
 import numpy as np
 import pandas as pd
@@ -101,10 +102,28 @@ def spline_segments(series: DataFrame, node: str, time: str, value: str, dt: flo
     return arrays.mapInPandas(lambda it: _segments(it, float(dt), node), f"{node} {kind}, k bigint, t0 double, f0 double, f1 double, m0 double, m1 double")
 
 
-def spline_value(t: Column, h: float) -> Column:
-    """The cubic of a segment's columns at ``t``."""
+def uv_segments(samples: DataFrame, node: str, time: str, dt: float) -> DataFrame:
+    """Segments of two variables: ``node, k, t0`` and ``u_*, v_*`` for f0, f1, m0, m1."""
+    both = None
+    for name in ("u", "v"):
+        one = spline_segments(samples, node, time, name, dt).withColumnsRenamed({c: f"{name}_{c}" for c in ("f0", "f1", "m0", "m1")})
+        both = one if both is None else both.join(one.drop("t0"), [node, "k"])
+    return both
+
+
+def field_at(nodes: DataFrame, segments: DataFrame, t: float, start: float, h: float, last: int, node: str = "node_id") -> DataFrame:
+    """``node, lon, lat, u, v`` at time ``t``: nodes meet the segments of that one interval, of 0 to ``last``."""
+    k = min(last, max(0, floor((t - start) / h)))
+    here = segments.where(F.col("k") == k)
+    values = [spline_value(F.lit(float(t)), h, f"{name}_").alias(name) for name in ("u", "v")]
+    return nodes.join(here, node).select(node, "lon", "lat", *values)
+
+
+def spline_value(t: Column, h: float, name: str = "") -> Column:
+    """The cubic of a segment's columns at ``t``; ``name`` stands before those of one variable."""
+    f0, f1, m0, m1 = (F.col(f"{name}{c}") for c in ("f0", "f1", "m0", "m1"))
     a, b = (F.col("t0") + h - t) / h, (t - F.col("t0")) / h
-    return a * F.col("f0") + b * F.col("f1") + ((a * a * a - a) * F.col("m0") + (b * b * b - b) * F.col("m1")) * (h * h / 6)
+    return a * f0 + b * f1 + ((a * a * a - a) * m0 + (b * b * b - b) * m1) * (h * h / 6)
 
 
 def spline_slope(t: Column, h: float) -> Column:

@@ -14,6 +14,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from tidewright.functions.geo import metric2, wrap_lon
+from tidewright.operators.storage import cut_lineage, new_folder
 
 #: Cell entries (some 60 bytes each) that are broadcast; beyond, joins shuffle by cell.
 BROADCAST_ENTRIES = 500_000
@@ -44,6 +45,11 @@ def bin_nodes(nodes: DataFrame, radius: float, small: bool | None = None) -> Dat
     return F.broadcast(entries) if small else entries
 
 
+def fits_broadcast(nodes: DataFrame, radius: float) -> bool:
+    """Whether these nodes' entries are few enough to broadcast; the same for any values at the same nodes."""
+    return bin_nodes(nodes.select("lon", "lat"), radius, small=False).count() <= BROADCAST_ENTRIES
+
+
 def binned(points: DataFrame, radius: float) -> DataFrame:
     """Points with their cell, ``p_cx, p_cy``."""
     row = _row(F.col("lat"), radius)
@@ -89,19 +95,22 @@ def coast_band(points: DataFrame, sea: DataFrame, land: DataFrame, sea_tolerance
 def nearest(points: DataFrame, nodes: DataFrame, radius: float, key: str, node: str = "node_id") -> DataFrame:
     """``key, node, d2`` of the nearest node (the smallest number of equally near ones).
 
-    Looks within ``radius``, then within twice that for the points that found none, and so on; up to the whole sphere.
+    Looks within ``radius``, then within twice that for the points that found none, and so on; up to the whole sphere. What a
+    round finds, and whom it leaves, are written to the shared folder, so a round's plan doesn't hold those before.
     """
-    left, found = points.select(key, "lon", "lat"), None
+    spark = points.sparkSession
+    folder, left = new_folder(spark, "nearest"), points.select(key, "lon", "lat")
+    turn = 0
     if nodes.isEmpty():
         raise ValueError("no nodes")
     while True:
         hits = radius_join(left, bin_nodes(nodes.select(node, "lon", "lat"), radius), radius)
         best = hits.groupBy(key).agg(F.min(F.struct("d2", node)).alias("best")).select(key, f"best.{node}", "best.d2")
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(key), key, "left_anti")
+        best = cut_lineage(best, f"{folder}/turn={turn}")
+        left = cut_lineage(left.join(best.select(key), key, "left_anti"))
         if radius > 2 * pi or left.isEmpty():
-            return found
-        radius *= 2
+            return spark.read.schema(best.schema).parquet(folder).select(best.columns)
+        radius, turn = 2 * radius, turn + 1
 
 
 def node_pairs(nodes: DataFrame, radius: float, node: str = "node_id") -> DataFrame:

@@ -10,7 +10,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from tidewright.functions import dates, fixed, geo
-from tidewright.operators import grid, integrate, interp, report, seeding, series, spatial, trajectory
+from tidewright.operators import grid, integrate, interp, report, seeding, series, spatial, storage, trajectory
 from tidewright.plans import fixtures as fx
 from tidewright.sources import packed
 from tidewright.plans.fixtures import RADIUS, SHAPE, sql_angle, sql_metric2, sql_moved, sql_wrap, with_tables
@@ -227,7 +227,35 @@ def _splines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.spline_segments(filled, "node_id", "t_idx", "u", 1.0)
 
 
-@query()
+#: Knots lie at the steps 12 to 39 of the samples. The elimination goes up the knots, the substitution down.
+KNOT0, KNOTS = 12, 28
+
+
+def _spline_sql(c: str) -> str:
+    """``knots_c``: value ``f`` and second derivative ``m`` at each knot ``i`` of each node."""
+    end = lambda a, b: " + ".join(f"({x}) * {w}" for x, w in zip((f"{a}", *(f"{b.format(k)}" for k in range(1, 5))), ("(-25e0)", "48e0", "(-36e0)", "16e0", "(-3e0)"), strict=True))
+    w = "OVER (PARTITION BY node_id ORDER BY i)"
+    return f"""f_{c} AS (SELECT node_id, t_idx - {KNOT0} AS i, {_FILLED_RAW(c)} AS f FROM around),
+r_{c} AS (SELECT node_id, i, f, CASE WHEN i = 0 THEN 6 * ((lead(f) {w} - f) - ({end('f', f'lead(f, {{}}) {w}')}) / 12e0)
+  WHEN i = {KNOTS - 1} THEN 6 * (-({end('f', f'lag(f, {{}}) {w}')}) / 12e0 - (f - lag(f) {w})) ELSE 6 * (lead(f) {w} - 2 * f + lag(f) {w}) END AS r FROM f_{c}),
+up_{c}(node_id, i, a, m) AS (SELECT node_id, i, 5e-1, r / 2 FROM r_{c} WHERE i = 0
+  UNION ALL SELECT r.node_id, r.i, 1 / (CASE WHEN r.i = {KNOTS - 1} THEN 2e0 ELSE 4e0 END - u.a), (r.r - u.m) / (CASE WHEN r.i = {KNOTS - 1} THEN 2e0 ELSE 4e0 END - u.a)
+  FROM up_{c} u JOIN r_{c} r ON r.node_id = u.node_id AND r.i = u.i + 1),
+down_{c}(node_id, i, m) AS (SELECT node_id, i, m FROM up_{c} WHERE i = {KNOTS - 1}
+  UNION ALL SELECT u.node_id, u.i, u.m - u.a * d.m FROM down_{c} d JOIN up_{c} u ON u.node_id = d.node_id AND u.i = d.i - 1),
+knots_{c} AS (SELECT node_id, i, f, m, lead(f) {w} AS f1, lead(m) {w} AS m1 FROM down_{c} JOIN f_{c} USING (node_id, i))"""
+
+
+_FILLED_RAW = lambda c: f"coalesce({c}, {c}0 + ({c}1 - {c}0) * (t_idx - t{c}0) / CAST(nullif(t{c}1 - t{c}0, 0) AS DOUBLE), {c}0, {c}1, 0e0)"
+_RECURSIVE_AXIS = f"{_AXIS}, around AS (SELECT node_id, t_idx, u, v, {_fill_sql('u')}, {_fill_sql('v')} FROM slots)".replace("WITH ", "WITH RECURSIVE ", 1)
+_CUBIC = "(1 - b) * f + b * f1 + (((1 - b) * (1 - b) * (1 - b) - (1 - b)) * m + (b * b * b - b) * m1) / 6"
+
+
+@query(
+    f"""{_RECURSIVE_AXIS}, {_spline_sql('u')}, t AS (SELECT CAST(x AS DOUBLE) / 4 AS t, least({KNOTS - 2}, CAST(floor(x / 4e0) AS BIGINT) - {KNOT0}) AS i FROM (SELECT unnest(range({4 * KNOT0}, {4 * (KNOT0 + KNOTS - 1) + 1})) AS x)),
+e AS (SELECT k.*, t.t, t.t - {KNOT0} - t.i AS b FROM t JOIN knots_u k USING (i))
+SELECT node_id, t, {q6(_CUBIC)} AS value, {q6('f1 - f + ((3 * b * b - 1) * m1 - (3 * (1 - b) * (1 - b) - 1) * m) / 6')} AS slope FROM e"""
+)
 def spline_eval(spark, sf_dir):
     """Values and slopes of every node's spline at and between its knots."""
     times = spark.range(12 * 4, 39 * 4 + 1).select((F.col("id") / 4).alias("t"))
@@ -271,7 +299,7 @@ def coast_band_semi_anti(spark, sf_dir):
     return spatial.coast_band(fx.particles(spark, sf_dir), fx.nodes(spark, sf_dir).where("sea"), _land(spark, sf_dir), *_BAND).select("pid")
 
 
-@query(f"{with_tables('nodes')}, n AS (SELECT * FROM nodes WHERE sea AND node_id <= 20000) SELECT p.node_id, n.node_id AS other, {q6(f'{_ANGLE} * 1e3')} AS d FROM n p JOIN n ON p.node_id <> n.node_id AND abs(p.lat - n.lat) < {RADIUS!r} AND {_NEAR}")
+@query(f"{with_tables('nodes')}, n AS (SELECT * FROM nodes WHERE sea) SELECT p.node_id, n.node_id AS other, {q6(f'{_ANGLE} * 1e3')} AS d FROM n p JOIN n ON p.node_id <> n.node_id AND abs(p.lat - n.lat) < {RADIUS!r} AND {_NEAR}")
 def node_pairs_two_level(spark, sf_dir):
     pairs = spatial.node_pairs(fx.nodes(spark, sf_dir).where("sea"), RADIUS)
     return pairs.select("node_id", "other", r6(geo.central_angle(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat")) * 1e3).alias("d"))
@@ -351,6 +379,43 @@ def euler_backward(spark, sf_dir):
     return _backward(spark, sf_dir, 4).select("pid", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), "t_idx", "reason")
 
 
+#: Steps of a quarter of the knots' distance, in two stretches as if they were months.
+FINE_FIRST, FINE_MONTHS, FINE_DT = 121, [(121, 120), (119, 118)], DT // 4
+
+
+def _backward_spline_sql() -> str:
+    field = "UNION ALL ".join(
+        f"SELECT n.node_id, n.lon, n.lat, CAST({idx} AS BIGINT) AS t_idx, u.v AS u, v.v AS v FROM nodes n "
+        + " ".join(f"JOIN (SELECT node_id, {_CUBIC.replace('b', f'{idx % 4 / 4!r}')} AS v FROM knots_{c} WHERE i = {idx // 4 - KNOT0}) {c} USING (node_id)" for c in "uv")
+        + " WHERE n.sea "
+        for idx in range(FINE_FIRST, FINE_MONTHS[-1][1] - 1, -1)
+    )
+    ctes = [_RECURSIVE_AXIS.replace("nodes AS", "particles AS (" + fx.CTES["particles"] + "),\nnodes AS", 1), _spline_sql("u"), _spline_sql("v"), f"field AS ({field})"]
+    moved = sql_moved(f"(-u * {FINE_DT})", f"(-v * {FINE_DT})", "lon", "lat")
+    ctes.append(f"s0 AS (SELECT pid, lon, lat, CAST({FINE_FIRST} - pid % 2 AS BIGINT) AS t_idx FROM particles)")
+    steps = FINE_FIRST - FINE_MONTHS[-1][1] + 1
+    for k in range(steps):
+        ctes.append(_interp_ctes(f"s{k}", FINE_FIRST - k))
+        live = f"t_idx = {FINE_FIRST - k}"
+        ctes.append(f"s{k + 1} AS (SELECT pid, CASE WHEN {live} THEN {sql_wrap(moved[0])} ELSE lon END AS lon, CASE WHEN {live} THEN {moved[1]} ELSE lat END AS lat, CASE WHEN {live} THEN t_idx - 1 ELSE t_idx END AS t_idx FROM at_s{k})")
+    return ",\n".join(ctes) + f"\nSELECT pid, {q6('lon')} AS lon, {q6('lat')} AS lat, t_idx FROM s{steps}"
+
+
+@query(_backward_spline_sql())
+def euler_backward_spline(spark, sf_dir):
+    """Backward over two stretches, each with the splines of its own time; the field is the splines' value at each step."""
+    p = fx.particles(spark, sf_dir).withColumn("init_idx", F.lit(FINE_FIRST) - F.col("pid") % 2)
+    sea = fx.nodes(spark, sf_dir).where("sea").select("node_id", "lon", "lat")
+    filled = series.fill_gaps(_on_axis(spark, sf_dir), "node_id", "t_idx", ["u", "v"])
+    segments = storage.cut_lineage(series.uv_segments(filled, "node_id", "t_idx", 1.0))
+
+    def month(n: int) -> integrate.FieldAt:
+        return lambda idx: series.field_at(sea, segments, idx / 4, float(KNOT0), 1.0, KNOTS - 2)
+
+    end = integrate.backward_by_month(p, FINE_MONTHS, month, _land(spark, sf_dir), FINE_DT, RADIUS, SHAPE, LAND_LIMIT)
+    return end.select("pid", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), "t_idx")
+
+
 def _forward_sql(steps: int) -> str:
     out = [with_tables("nodes", "samples", "particles"), _FIELD, f"s0 AS (SELECT pid, lon, lat, lon AS lon0, lat AS lat0, CASE WHEN {_ON_LAND} THEN 4 ELSE 1 END AS status, CAST(0 AS BIGINT) AS valid_steps, 0e0 AS speed_sum, 0e0 AS path_length FROM particles p)"]
     for k in range(steps):
@@ -443,7 +508,7 @@ def streak_guard(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{integrate.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{storage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(_sql["quantize_record"])
@@ -545,7 +610,7 @@ def seed_window(spark, sf_dir):
 
 @query(f"{with_tables('seeds')} SELECT seed_id FROM seeds WHERE (seed_id * 7919 + 5) % 1000 < 250")
 def seed_thin_hash(spark, sf_dir):
-    return seeding.thin(fx.seeds(spark, sf_dir), 0.25, None, 5).select("seed_id")
+    return seeding.thin(fx.seeds(spark, sf_dir), 0.25, None, 5, draw=F.pmod(F.col("seed_id") * 7919 + 5, F.lit(1000)) / 1000).select("seed_id")
 
 
 @query("SELECT CAST(i AS INTEGER) AS lon_idx, CAST(j AS INTEGER) AS lat_idx, round(radians(CASE WHEN i < 9 THEN 176e0 + i * 5e-1 ELSE -1795e-1 + (i - 9) * 5e-1 END), 6) AS lon, round(radians(-2e0 + j * 5e-1), 6) + 0e0 AS lat FROM range(0, 17) a(i), range(0, 9) b(j)")

@@ -265,9 +265,27 @@ def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[li
             out.write(body)
 
 
-def load_month(spark: SparkSession, path: str, u: str, v: str, dt: int) -> tuple[DataFrame, DataFrame]:
+#: Nodes of a domain are numbered from its place in the list times this.
+DOMAIN_NODES = 1 << 40
+
+
+def load_months(spark: SparkSession, paths: list[str], u: str, v: str, dt: int, span: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``load_month`` of several domains, whose nodes and samples become one table each."""
+    found = [load_month(spark, path, u, v, dt, span) for path in paths]
+    out = []
+    for part in (0, 1):
+        moved = [f[part].withColumn("node_id", F.col("node_id") + n * DOMAIN_NODES) for n, f in enumerate(found)]
+        out.append(moved[0])
+        for more in moved[1:]:
+            out[part] = out[part].unionByName(more)
+    return out[0], out[1]
+
+
+def load_month(spark: SparkSession, path: str, u: str, v: str, dt: int, span: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (``node_id, lon, lat, sea``) and gap-free samples (``node_id, t_s, u, v``) of one domain's files.
 
+    ``span``: the first second of a month and of the next one; samples from a day before to a day after it are taken.
+
     Longitude and latitude are 1-D variables in degrees; the mask is that of ``u`` at its earliest time; of repeated times the
     last file counts; sea nodes alone are put on the regular axis and filled.
     """
@@ -278,6 +296,8 @@ def load_month(spark: SparkSession, path: str, u: str, v: str, dt: int) -> tuple
     axis = lambda name, i: raw.where((F.col("variable") == name)).groupBy("cell_idx").agg(F.min_by("value", "file").alias(f"{name}_deg")).withColumnRenamed("cell_idx", i)
     nodes = grid.build_nodes(axis("lon", "i"), axis("lat", "j"))
     timed = raw.where(F.col("variable").isin(u, v))
+    if span:
+        timed = timed.where(F.col("t_s").between(span[0] - 86400, span[1] + 86400))
     last = series.latest_file_wins(timed, "file", ["variable", "t_s", "cell_idx"], ["value"])
     wide = last.groupBy("cell_idx", "t_s").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(c) for n, c in ((u, "u"), (v, "v"))])
     mask = grid.sea_mask(wide, value="u")

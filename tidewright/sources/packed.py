@@ -171,12 +171,20 @@ class PackedSource(DataSource):
 
 
 def _write_records(frames: Iterator[pd.DataFrame], folder: str, gzip: bool) -> Iterator[pd.DataFrame]:
-    blocks = [f[list(RECORD.names)].to_records(index=False).astype(RECORD) for f in frames if len(f)]
+    """A file for each task. Its header states the number of records, so members wait compressed; plain rows are 33 bytes each."""
+    blocks, n = [], 0
+    for frame in frames:
+        if len(frame):
+            data = frame[list(RECORD.names)].to_records(index=False).astype(RECORD).tobytes()
+            blocks.append(gzip_member(data, None) if gzip else data)
+            n += len(frame)
     if blocks:
         path = f"{folder}/{uuid.uuid4().hex}.pkd" + ".gz" * gzip
-        data = np.concatenate(blocks)
-        (write_gzip if gzip else write_plain)(path, data)
-        yield pd.DataFrame({"path": [path], "records": [len(data)]})
+        with open_output(path) as out:
+            out.write(gzip_member(b"", header_1(0, n)) if gzip else header_1())
+            for block in blocks:
+                out.write(block)
+        yield pd.DataFrame({"path": [path], "records": [n]})
 
 
 def write_packed(records: DataFrame, folder: str, gzip: bool = True) -> DataFrame:
@@ -248,15 +256,21 @@ def write_trajectories(samples: DataFrame, folder: str, dt: int, epoch: int = 0,
     return sorted_rows.mapInPandas(partial(_write_blocks, folder=folder, dt=dt, epoch=epoch, stride=stride), "path string, trajectories bigint")
 
 
+def read_head(f, path: str) -> tuple[int, int, int, int]:
+    """Epoch, dt, the number of entries and where they begin."""
+    head = f.read(HEADER_2.size)
+    if len(head) < HEADER_2.size:
+        raise ValueError(f"{path} ends within its header")
+    magic, version, _, scale, epoch, dt, _, n, offset = HEADER_2.unpack(head)
+    if magic[:4] != MAGIC_2 or version != VERSION_2 or scale != SCALE or dt <= 0:
+        raise ValueError(f"{path} is no PKD2 file of version {VERSION_2}")
+    return epoch, dt, n, offset
+
+
 def read_toc(path: str) -> tuple[int, int, list[tuple]]:
     """Epoch, dt and entries; of entries with equal ids the last one counts."""
     with open_input(path) as f:
-        head = f.read(HEADER_2.size)
-        if len(head) < HEADER_2.size:
-            raise ValueError(f"{path} ends within its header")
-        magic, version, _, scale, epoch, dt, _, n, offset = HEADER_2.unpack(head)
-        if magic[:4] != MAGIC_2 or version != VERSION_2 or scale != SCALE or dt <= 0:
-            raise ValueError(f"{path} is no PKD2 file of version {VERSION_2}")
+        epoch, dt, n, offset = read_head(f, path)
         f.seek(offset)
         data = f.read(n * ENTRY_2.size)
     if len(data) < n * ENTRY_2.size:
@@ -267,9 +281,8 @@ def read_toc(path: str) -> tuple[int, int, list[tuple]]:
 @dataclass
 class BlockRange(InputPartition):
     path: str
-    epoch: int
-    dt: int
-    entries: list
+    start: int
+    only: int | None
 
 
 class TrajectoryReader(DataSourceReader):
@@ -285,19 +298,24 @@ class TrajectoryReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[BlockRange]:
+        """Ranges of a file's entries; the driver reads headers only, each task the table of contents of its file."""
         parts: list[BlockRange] = []
         for path in list_files(self.path):
-            epoch, dt, entries = read_toc(path)
-            if self.only is not None:
-                entries = [e for e in entries if e[0] == self.only]
-            parts += [BlockRange(path, epoch, dt, entries[at : at + SPLIT_BLOCKS]) for at in range(0, len(entries), SPLIT_BLOCKS)]
+            with open_input(path) as f:
+                n = read_head(f, path)[2]
+            parts += [BlockRange(path, at, self.only) for at in range(0, n if self.only is None else min(n, 1), SPLIT_BLOCKS)]
         return parts
 
     def read(self, partition: BlockRange) -> Iterator[pa.RecordBatch]:
         if not isinstance(partition, BlockRange):  # no file, or none with the seed
             return
+        epoch, dt, entries = read_toc(partition.path)
+        if partition.only is None:
+            entries = entries[partition.start : partition.start + SPLIT_BLOCKS]
+        else:
+            entries = [e for e in entries if e[0] == partition.only]
         with open_input(partition.path) as f:
-            for _, offset, size, raw_size, *_ in partition.entries:
+            for _, offset, size, raw_size, *_ in entries:
                 f.seek(offset)
                 raw = zlib.decompress(f.read(size))
                 if len(raw) != raw_size:
@@ -305,7 +323,7 @@ class TrajectoryReader(DataSourceReader):
                 seed_id, start, stride, lon, lat = decode_block(raw)
                 idx = start + np.arange(len(lon), dtype=np.int64) * stride
                 yield pa.record_batch(
-                    [pa.array(np.full(len(lon), seed_id, dtype=np.int64)), pa.array(idx), pa.array(partition.epoch + idx * partition.dt), pa.array(lon), pa.array(lat)],
+                    [pa.array(np.full(len(lon), seed_id, dtype=np.int64)), pa.array(idx), pa.array(epoch + idx * dt), pa.array(lon), pa.array(lat)],
                     names=["seed_id", "idx", "t_s", "lon", "lat"],
                 )
 
