@@ -23,11 +23,13 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in local tests, a temporary folder takes its place.
+    Only where that setting is missing and Spark runs in one process, as in tests, a temporary folder takes its place.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidewright-"))
     return _own_dir[0]
