@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -260,6 +261,19 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(empty_docs(spark), path).count() == 0
 
 
+@pytest.mark.parametrize(("states", "lanes", "rounds"), [(130_000, 1 << 14, 32), (6_000, 1 << 14, 32), (130_000, 7, 32), (130_000, 1 << 14, 1)])
+def test_state_maps(monkeypatch, states, lanes, rounds):
+    """Long words without a break, a table of states that is too small, few lanes, maps that stay without most entries."""
+    for name, value in (("MOST_STATES", states), ("LANES", lanes), ("MOST_ROUNDS", rounds)):
+        monkeypatch.setattr(token_counts, name, value)
+    rng = random.Random(6)
+    texts = ["a" * 60_000, "", "=" * 20_001, "abc" * 9_000, "ab" * 5_003 + " x", "漢é" * 3_000, "hello world " * 500, *(t for t in TEXTS if t)]
+    texts += ["".join(rng.choices(letters, k=n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 9_000), ("ab", 20_000), ("ab '=1\n", 9_000))]
+    machine = token_counts.CountMachine(public_tokenizers.path("word_bpe_49k.json"))
+    assert token_counts.count_texts(machine, texts) == [len(word_ids(t)) for t in texts]
+    assert len(machine.items) <= states
+
+
 # --- 7 ---
 
 

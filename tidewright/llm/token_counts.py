@@ -8,9 +8,13 @@ each place where a token that is still being read may have begun, the place in t
 the count there against the count here. States are made as they are first met and kept in a dense table.
 
 Texts are laid end to end and cut into equal chunks, which run in lockstep: one NumPy step moves all of them by a symbol.
-A chunk's first run assumes that it starts between words. Its state map is then composed with those before it: each
-chunk whose true entry (the exit of the chunk before) differs runs again, until it meets the states already recorded, from
-where on nothing changes. Rounds end when all entries agree, so counts are exact for any text, also without spaces.
+Each chunk gets a state map, from entry to exit and change of the count, over the entries that can occur there: it runs from
+the state between words, then from each exit found for the chunk before, until no new ones appear. A run ends early where it
+meets the chunk's first run, at a word's start at the latest. The maps are then composed by a prefix scan in a logarithmic
+number of steps. Chunk lengths are multiples of 64, so repeated signs come out of a chunk as they went in and maps stay small.
+Should entries go on multiplying, maps stop growing after ``MOST_ROUNDS`` rounds, and one lane follows the chunks that have no
+entry for the true state: exact as well, and linear. The table of states never passes ``MOST_STATES``: a block of symbols that
+needs more is given up, the table starts afresh and a shorter block is read from the same state.
 
 Defined cases: null counts as empty, an empty text has no bytes and no tokens; the strings of special tokens inside a
 text count as one token each, as by the library's default; no truncation, whatever the length; repeated rows are
@@ -34,8 +38,12 @@ from tidewright.llm.common import map_arrow
 
 #: Chunks in lockstep, and symbols that are laid out at a time: what a task holds beside its rows.
 LANES, SYMBOLS = 1 << 14, 1 << 22
-#: The table of states starts afresh beyond this many; it is a cache, so that changes no count.
+#: The shortest block, read in one lane, and the unit of a chunk's length.
+LEAST_BLOCK, UNIT = 1 << 12, 64
+#: The table of states starts afresh at this many; it is a cache, so that changes no count.
 MOST_STATES = 130_000
+#: Rounds in which state maps gain entries.
+MOST_ROUNDS = 32
 SPACE, LETTER, DIGIT, OTHER = range(4)
 #: The contractions that the pattern splits off, without their apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -89,6 +97,10 @@ def word_starts(cps: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return starts
 
 
+class TableFull(Exception):
+    """A block of symbols needs more states than the table may hold."""
+
+
 class CountMachine:
     """The second transducer, for a vocabulary with word ends."""
 
@@ -162,8 +174,12 @@ class CountMachine:
         self.root = ((0, None, 0),)
 
     def _state(self, items: tuple) -> int:
-        number = self.ids.setdefault(items, len(self.items))
-        if number == len(self.items):
+        number = self.ids.get(items)
+        if number is None:
+            number = len(self.items)
+            if number >= MOST_STATES:
+                raise TableFull
+            self.ids[items] = number
             self.items.append(items)
             # At a word's end: the one token that ends the word and agrees with the token before it.
             self.ends.append(next((c + 1 for n, l, c in items if self.final[n] and self.neighbours(l, self.final[n])), 0))
@@ -218,33 +234,124 @@ class CountMachine:
         return to, self.delta.ravel()[at]
 
     def emissions(self, symbols: np.ndarray) -> np.ndarray:
-        """Change of the count at each symbol; the first symbol is read between words."""
-        if len(self.items) > MOST_STATES:
-            self.reset()
+        """Change of the count at each symbol, the first one read between words. What depends on the entry of a chunk is
+        counted at the chunk's first symbol: it comes before the next start of a word, so it is of the same text."""
+        out = np.empty(len(symbols), dtype=np.int32)
+        at, block, entry = 0, SYMBOLS, ()
+        while at < len(symbols):
+            if len(self.items) > MOST_STATES // 2:
+                self.reset()
+            piece = symbols[at : at + block]
+            try:
+                out[at : at + len(piece)], entry = self._block(piece, entry)
+            except TableFull:
+                self.reset()
+                block = max(block // 8, LEAST_BLOCK)
+                continue
+            at += len(piece)
+            if len(self.items) < MOST_STATES // 4:
+                block = min(2 * block, SYMBOLS)
+        return out
+
+    def _block(self, symbols: np.ndarray, entry: tuple) -> tuple[np.ndarray, tuple]:
+        """Changes in a block entered by the state ``entry``, and the state that it is left by (unless it is the last)."""
         n = len(symbols)
-        lanes = max(1, min(LANES, n // 64))
-        length = -(-n // lanes)
+        wanted = 1 if n <= LEAST_BLOCK else min(LANES, n // UNIT)
+        length = -(-n // (wanted * UNIT)) * UNIT
+        lanes = -(-n // length)
         padded = np.full(lanes * length, 512, dtype=np.int64)
         padded[:n] = symbols
         dense = np.ascontiguousarray(self.dense(padded).reshape(lanes, length).T)
         states = np.zeros((length + 1, lanes), dtype=np.int64)
-        out = np.zeros((length, lanes), dtype=np.int16)
+        out = np.zeros((length, lanes), dtype=np.int32)
         states[0] = self.idle
+        states[0, 0] = self._state(entry)
         for t in range(length):
             states[t + 1], out[t] = self.step(states[t], dense[t])
-        while True:  # compose: a chunk enters where the one before leaves
-            wrong = np.flatnonzero(states[0, 1:] != states[length, :-1]) + 1
-            if not len(wrong):
-                break
-            states[0, wrong] = states[length, wrong - 1]
-            for t in range(length):
-                to, out[t, wrong] = self.step(states[t, wrong], dense[t, wrong])
-                apart = to != states[t + 1, wrong]
-                states[t + 1, wrong] = to
-                wrong = wrong[apart]
-                if not len(wrong):
+        last = states[length, -1]
+        if lanes > 1:
+            change, last = self._compose(*self._maps(states, out, dense), states, out, dense)
+            out[0] += change
+        return out.T.ravel()[:n], self.items[last]
+
+    def _run(self, lane: np.ndarray, entry: np.ndarray, states: np.ndarray, out: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit of each chunk ``lane`` entered by ``entry``, and its count less that of the chunk's first run."""
+        exits, change = states[-1, lane], np.zeros(len(lane), dtype=np.int64)
+        going, now = np.arange(len(lane)), entry
+        for t in range(len(dense)):
+            chunk = lane[going]
+            now, counted = self.step(now, dense[t, chunk])
+            change[going] += counted.astype(np.int64) - out[t, chunk]
+            apart = now != states[t + 1, chunk]
+            if not apart.all():
+                going, now = going[apart], now[apart]
+                if not len(going):
                     break
-        return out.T.ravel()[:n]
+        exits[going] = now
+        return exits, change
+
+    def _maps(self, states: np.ndarray, out: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """State maps of all chunks as rows (chunk and entry in one code, exit, change of the count), in order of the code."""
+        lanes = states.shape[1]
+        lane = np.arange(lanes)
+        codes, exits, change = lane * MOST_STATES + states[0], states[-1], np.zeros(lanes, dtype=np.int64)
+        fresh_lane, fresh_exit = lane, exits
+        for _ in range(MOST_ROUNDS):
+            inner = fresh_lane < lanes - 1
+            found = np.setdiff1d((fresh_lane[inner] + 1) * MOST_STATES + fresh_exit[inner], codes)
+            if not len(found):
+                break
+            fresh_lane, entry = np.divmod(found, MOST_STATES)
+            fresh_exit, more = self._run(fresh_lane, entry, states, out, dense)
+            codes, exits, change = np.append(codes, found), np.append(exits, fresh_exit), np.append(change, more)
+        order = np.argsort(codes)
+        return codes[order], exits[order], change[order]
+
+    def _compose(
+        self, codes: np.ndarray, exits: np.ndarray, change: np.ndarray, states: np.ndarray, out: np.ndarray, dense: np.ndarray
+    ) -> tuple[np.ndarray, int]:
+        """The change of the count in each chunk under its true entry, and the last chunk's exit.
+
+        A map is a row of places: where in the next chunk's map its exit is an entry (-1: nowhere). The scan composes each row
+        with the row 1, 2, 4, ... chunks before, after which all lead from the first chunk's entry.
+        """
+        lanes = states.shape[1]
+        lane = codes // MOST_STATES
+        first = np.searchsorted(lane, np.arange(lanes))
+        place = np.arange(len(codes)) - first[lane]
+        target = (lane + 1) * MOST_STATES + exits
+        at = np.minimum(np.searchsorted(codes, target), len(codes) - 1)
+        maps = np.full((lanes, place.max() + 1), -1, dtype=np.int32)
+        maps[lane, place] = np.where(codes[at] == target, place[at], -1)
+        apart = 1
+        while apart < lanes - 1:
+            before = maps[:-apart]
+            after = np.take_along_axis(maps[apart:], np.maximum(before, 0), axis=1)
+            maps[apart:] = np.where(before < 0, -1, after)
+            apart *= 2
+        entered = np.append(0, maps[:-1, 0])
+        unknown = np.flatnonzero(entered < 0)
+        rows = first + np.maximum(entered, 0)
+        changes, last = change[rows], int(exits[rows[-1]])
+        if len(unknown):  # one lane follows from the first chunk whose map lacks the true entry
+            known = dict(zip(codes.tolist(), zip(exits.tolist(), change.tolist(), strict=True), strict=True))
+            last = int(exits[rows[unknown[0] - 1]])
+            for chunk in range(unknown[0], lanes):
+                found = known.get(chunk * MOST_STATES + last)
+                last, changes[chunk] = found or self._walk(chunk, last, states, out, dense)
+        return changes, last
+
+    def _walk(self, chunk: int, state: int, states: np.ndarray, out: np.ndarray, dense: np.ndarray) -> tuple[int, int]:
+        """As ``_run``, for one chunk."""
+        change = 0
+        for d, met, counted in zip(dense[:, chunk].tolist(), states[1:, chunk].tolist(), out[:, chunk].tolist(), strict=True):
+            if self.next[state, d] < 0:
+                self._fill(state, d)
+            change += int(self.delta[state, d]) - counted
+            state = int(self.next[state, d])
+            if state == met:
+                return int(states[-1, chunk]), change
+        return state, change
 
     def count_batch(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, for texts that are normalised and hold no special tokens."""
