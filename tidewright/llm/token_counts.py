@@ -239,7 +239,7 @@ class CountMachine:
         out = np.empty(len(symbols), dtype=np.int32)
         at, block, entry = 0, SYMBOLS, ()
         while at < len(symbols):
-            if len(self.items) > MOST_STATES // 2:
+            if len(self.items) > MOST_STATES * 7 // 8:
                 self.reset()
             piece = symbols[at : at + block]
             try:
