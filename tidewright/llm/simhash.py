@@ -333,6 +333,11 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], width: int, similarity:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _similar_links(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The similar pairs of a task, as a forest: one Python worker does both."""
+    return local_forest(_similar_batches(batches, width, similarity))
+
+
 def _compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs of at least that similarity, by their texts. Only texts of some pair move."""
     pairs = materialize(pairs.distinct(), "near-pairs")
@@ -340,8 +345,8 @@ def _compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "id", "left_semi")
     for s in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")), s)
-    found = map_arrow(pairs, partial(_similar_batches, width=width, similarity=similarity), "a bigint, b bigint")
-    return materialize(map_arrow(found, local_forest, "a bigint, b bigint"), "near-links")
+    found = map_arrow(pairs, partial(_similar_links, width=width, similarity=similarity), "a bigint, b bigint")
+    return materialize(found, "near-links")
 
 
 def _small(df: DataFrame) -> DataFrame:
