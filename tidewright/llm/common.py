@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyspark.sql.functions as F
@@ -51,11 +53,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _give_back(batches: Iterator[pa.RecordBatch], function: Batches) -> Iterator[pa.RecordBatch]:
+    """``function``; at its end the worker, which waits for further tasks beside the JVM, returns memory that it no longer uses."""
+    try:
+        yield from function(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def map_arrow(df: DataFrame, function: Batches, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in batches of bounded rows and bytes: a task holds one batch on either side, however long its texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(partial(_give_back, function=function), schema)
 
 
 def words_of(text: Column) -> Column:
