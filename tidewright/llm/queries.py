@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import byte_bpe, exact_dedup, langid, line_rules, packing, simhash, token_counts, url_filter, warc
+from tidewright.llm import byte_bpe, exact_dedup, langid, line_rules, packing, resampling, simhash, token_counts, toxicity, url_filter, vector_codes, warc
 
 #: The URL rules of ``op1_url_filter``: host, path, verdict.
 URL_RULES = (
@@ -72,12 +72,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_quality_rules(_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_url_filter, op2_line_dedup, op3_best_fit_packing, op4_byte_bpe, op5_language_id, op6_token_counts, op7_warc,
-            op8_simhash_near_dedup, op9_exact_dedup, op10_quality_rules,
+            op8_simhash_near_dedup, op9_exact_dedup, op10_quality_rules, op11_toxicity, op12_vector_codes, op13_importance_resampling,
         )
     }
 
@@ -168,6 +180,35 @@ FROM measured
 """
 
 
+
+
+def _vector_codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Plain Lloyd rounds in whole numbers, one chain of tables: codebooks ``c``, assignments ``a``."""
+    least = "(s - ((s % n + n) % n)) // n"  # rounded down, of whole numbers
+    ctes = [
+        f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, [CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"v AS (SELECT rid, p, q[p * len(q) // {vector_codes.PARTS} + 1 : (p + 1) * len(q) // {vector_codes.PARTS}] AS v FROM kept, range({vector_codes.PARTS}) r(p))",
+        f"c0 AS (SELECT p, rid - 1 AS e, v AS c FROM v WHERE rid <= {vector_codes.ENTRIES})",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(
+            f"""a{k} AS MATERIALIZED (SELECT rid, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT rid, v.p, e, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, c)]) AS d
+  FROM v JOIN c{k} ON v.p = c{k}.p) GROUP BY rid, p)"""
+        )
+        if k < rounds:
+            ctes.append(
+                f"""c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, old.c) AS c FROM c{k} old LEFT JOIN (SELECT p, e, list(CAST({least} AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (SELECT a.p, a.e, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS i FROM a{k} a JOIN v USING (rid, p)) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))"""
+            )
+    ctes.append(f"done AS (SELECT rid, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)")
+    ctes.append(f"book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM c{rounds}))")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN done USING (rid) CROSS JOIN book"
+
+
+OP12_SQL = _vector_codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": OP1_SQL,
@@ -175,4 +216,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": OP7_SQL,
         "op9_exact_dedup": OP9_SQL,
         "op10_quality_rules": OP10_SQL,
+        "op12_vector_codes": OP12_SQL,
     }
