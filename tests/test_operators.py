@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from tidewright.functions import geo
-from tidewright.operators import grid, integrate, interp, seeding, series, spatial, trajectory
+from tidewright.operators import fields, grid, integrate, interp, seeding, series, spatial, trajectory
 
 H = 1e-3
 CROSS = [(1, H, 0.0), (2, -H, 0.0), (3, 0.0, H), (4, 0.0, -H)]
@@ -88,7 +88,7 @@ def test_reconstruction_stops_and_guards(spark):
     schema = "seed_id bigint, lon double, lat double, init_idx bigint, stop_lon double, stop_lat double, stop_idx bigint"
     seeds = spark.createDataFrame([(1, 0.0, 0.0, 20, 0.5, 0.5, 18), (2, 0.0, 0.0, 20, None, None, None), (3, 1.0, 1.0, 20, None, None, None)], schema)
     field = nodes_of(spark, CROSS, lambda a, b: 4.0)  # always too fast
-    samples, ends = integrate.reconstruct(seeds, lambda i: field, 20, 8, 10, 1.1**0.5 * H, H * H)
+    samples, ends = integrate.reconstruct(seeds, at_all_times(field, 8, 20), 20, 8, 10, 1.1**0.5 * H, H * H, cut_every=5)
     causes = {x["seed_id"]: x["stop_cause"] for x in ends.collect()}
     assert causes == {1: "seed0", 2: "fast", 3: "no_nb"}
     rows = samples.orderBy("seed_id", F.desc("idx")).collect()
@@ -97,11 +97,9 @@ def test_reconstruction_stops_and_guards(spark):
     assert len([x for x in rows if x["seed_id"] == 3]) == 11
 
 
-def test_steps_of_a_small_field_do_not_shuffle_again(spark):
-    field = nodes_of(spark, CROSS, lambda a, b: 0.1)
-    p = spark.createDataFrame([(1, 0.0, 0.0, 5)], "pid bigint, lon double, lat double, init_idx bigint")
-    end = integrate.backward(p, lambda i: field, nodes_of(spark, [(9, 1.0, 1.0)]), 5, 3, 10, 1.1**0.5 * H, H * H, 0.01)
-    assert end._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+def at_all_times(nodes, first, last):
+    times = nodes.sparkSession.range(first, last + 1).withColumnRenamed("id", "t_idx")
+    return fields.slots(nodes, nodes.crossJoin(times))
 
 
 def test_dateline_trajectory(spark):

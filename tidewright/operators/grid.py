@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
+
+from tidewright.operators.numbering import numbered
 
 #: Fixed value: stands for missing where a variable names no other.
 MISSING = -30000.0
@@ -40,9 +42,8 @@ def sea_mask(samples: DataFrame, node: str = "cell_idx", time: str = "t_s", valu
 
 
 def number_sea(nodes: DataFrame) -> DataFrame:
-    """``sea_idx``: dense numbers of the sea nodes in order of ``cell_idx`` within a domain (a grid is one column of its file)."""
-    w = Window.partitionBy("domain").orderBy("cell_idx")
-    return nodes.where("sea").withColumn("sea_idx", F.row_number().over(w) - 1)
+    """``sea_idx``: dense numbers of the sea nodes in order of ``cell_idx`` within a domain, which may be of any size."""
+    return numbered(nodes.where("sea"), ["cell_idx"], "sea_idx", within=["domain"])
 
 
 def sea_and_land(domains: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +81,6 @@ def at_index(samples: DataFrame, index: int, time: str = "t_s") -> DataFrame:
 
 def coast_rows(land: DataFrame, stride: int = 8) -> DataFrame:
     """Every ``stride``-th land point of a domain, in degrees with a label."""
-    w = Window.partitionBy("domain").orderBy("cell_idx")
-    return land.withColumn("n", F.row_number().over(w) - 1).where(F.col("n") % stride == 0).select(
+    return numbered(land, ["cell_idx"], "n", within=["domain"]).where(F.col("n") % stride == 0).select(
         F.degrees("lon").alias("lon_deg"), F.degrees("lat").alias("lat_deg"), F.lit("land").alias("label")
     )

@@ -15,7 +15,7 @@ def _n(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def by_day(ended: DataFrame, day: str = "release_day", lon: str = "lon0") -> DataFrame:
+def by_day(ended: DataFrame, day: str | Column = "release_day", lon: str = "lon0") -> DataFrame:
     """For each release day: released, landed, landed from east and west, lifetime over (boring), never left, still under way."""
     r, west = F.col("reason"), is_west(F.col(lon))
     return ended.groupBy(day).agg(

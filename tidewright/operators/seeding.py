@@ -6,7 +6,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tidewright.functions.dates import days_between, month_of, parse_day
-from tidewright.functions.geo import clamp_lat, in_box, wrap_lon, wrap_lon_deg
+from tidewright.functions.geo import clamp_lat, in_box, wrap_lon
+from tidewright.operators.numbering import numbered
 from tidewright.operators.spatial import coast_band
 
 
@@ -45,7 +46,8 @@ def random_by_coast(sea: DataFrame, land: DataFrame, n: int, seed: int, jitter:
     moved = drawn.select(
         "attempt", "node_id", wrap_lon(F.col("lon") + rng(1) * jitter).alias("lon"), clamp_lat(F.col("lat") + rng(2) * jitter).alias("lat"), F.xxhash64("node_id", "attempt", F.lit(seed)).alias("__order")
     )
-    return coast_band(moved, sea, land, sea_tolerance, land_least, land_most).orderBy("attempt", "__order").limit(n).select("lon", "lat")
+    found = coast_band(moved, sea, land, sea_tolerance, land_least, land_most)
+    return numbered(found, ["attempt", "__order", "node_id"], "__number").where(F.col("__number") < n).select("lon", "lat")
 
 
 def thin(seeds: DataFrame, keep: float, cap: int | None, seed: int, key: str = "seed_id", draw: Column | None = None) -> DataFrame:
@@ -55,7 +57,7 @@ def thin(seeds: DataFrame, keep: float, cap: int | None, seed: int, key: str = "
     """
     draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53) if draw is None else draw
     kept = seeds.where(draw < keep)
-    return kept if cap is None else kept.orderBy(key).limit(cap)
+    return kept if cap is None else numbered(kept, [key], "__number").where(F.col("__number") < cap).drop("__number")
 
 
 def pair(starts: DataFrame, stops: DataFrame) -> DataFrame:
@@ -86,6 +88,3 @@ def in_window(seeds: DataFrame, low: int, high: int, t: str = "t_s") -> DataFram
 def released(seeds: DataFrame, first: str, last: str, day: str = "day") -> DataFrame:
     return seeds.where(F.col(day).between(F.lit(parse_day(first)), F.lit(parse_day(last))))
 
-
-def degrees_wrapped(lon: Column) -> Column:
-    return wrap_lon_deg(F.degrees(lon))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor
 
 import numpy as np
 import pandas as pd
@@ -77,46 +76,38 @@ def second_derivatives(y: np.ndarray, h: float) -> np.ndarray:
     return m
 
 
-def _segments(frames: Iterator[pd.DataFrame], h: float, node: str) -> Iterator[pd.DataFrame]:
+def _segments(frames: Iterator[pd.DataFrame], h: float, node: str, names: list[str]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for _, part in frame.groupby(frame["f"].map(len)):
-            y = np.stack(part["f"].to_numpy())
-            m = second_derivatives(y, h)
-            n = y.shape[1] - 1
-            yield pd.DataFrame({
-                node: np.repeat(part[node].to_numpy(), n), "k": np.tile(np.arange(n), len(part)), "t0": np.repeat(part["t0"].to_numpy(), n) + np.tile(np.arange(n) * h, len(part)),
-                "f0": y[:, :-1].ravel(), "f1": y[:, 1:].ravel(), "m0": m[:, :-1].ravel(), "m1": m[:, 1:].ravel(),
-            })
-
-
-def spline_segments(series: DataFrame, node: str, time: str, value: str, dt: float) -> DataFrame:
-    """``node, k, t0, f0, f1, m0, m1`` for each interval of a gap-free, regular series.
-
-    A node's series (bounded by the months that are loaded) becomes one array; tasks solve whole batches of nodes at once.
+        for _, part in frame.groupby(frame[names[0]].map(len)):
+            n = len(part[names[0]].iloc[0]) - 1
+            out = {
+                node: np.repeat(part[node].to_numpy(), n), "k": np.tile(np.arange(n), len(part)),
+                "t0": np.repeat(part["t0"].to_numpy(), n) + np.tile(np.arange(n) * h, len(part)),
+            }
+            for name in names:
+                y = np.stack(part[name].to_numpy())
+                m = second_derivatives(y, h)
+                out |= {f"{name}_f0": y[:, :-1].ravel(), f"{name}_f1": y[:, 1:].ravel(), f"{name}_m0": m[:, :-1].ravel(), f"{name}_m1": m[:, 1:].ravel()}
+            yield pd.DataFrame(out)
+
+
+def segments_of(series: DataFrame, node: str, time: str, values: list[str], dt: float) -> DataFrame:
+    """``node, k, t0`` and for each value ``*_f0, *_f1, *_m0, *_m1``: each interval of gap-free, regular series.
+
+    A node's series (bounded by the months that are loaded) become one array each, in one shuffle for all values; tasks solve whole
+    batches of nodes at once.
     """
-    arrays = series.groupBy(node).agg(
-        F.min(time).cast("double").alias("t0"),
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("f"),
-    )
+    row = F.struct(F.col(time).alias("t"), *[F.col(v).cast("double").alias(v) for v in values])
+    lists = series.groupBy(node).agg(F.min(time).cast("double").alias("t0"), F.sort_array(F.collect_list(row)).alias("rows"))
+    arrays = lists.select(node, "t0", *[F.col("rows")[v].alias(v) for v in values])
     kind = dict(series.dtypes)[node]
-    return arrays.mapInPandas(lambda it: _segments(it, float(dt), node), f"{node} {kind}, k bigint, t0 double, f0 double, f1 double, m0 double, m1 double")
+    parts = "".join(f", {v}_{c} double" for v in values for c in ("f0", "f1", "m0", "m1"))
+    return arrays.mapInPandas(lambda it: _segments(it, float(dt), node, values), f"{node} {kind}, k bigint, t0 double{parts}")
 
 
-def uv_segments(samples: DataFrame, node: str, time: str, dt: float) -> DataFrame:
-    """Segments of two variables: ``node, k, t0`` and ``u_*, v_*`` for f0, f1, m0, m1."""
-    both = None
-    for name in ("u", "v"):
-        one = spline_segments(samples, node, time, name, dt).withColumnsRenamed({c: f"{name}_{c}" for c in ("f0", "f1", "m0", "m1")})
-        both = one if both is None else both.join(one.drop("t0"), [node, "k"])
-    return both
-
-
-def field_at(nodes: DataFrame, segments: DataFrame, t: float, start: float, h: float, last: int, node: str = "node_id") -> DataFrame:
-    """``node, lon, lat, u, v`` at time ``t``: nodes meet the segments of that one interval, of 0 to ``last``."""
-    k = min(last, max(0, floor((t - start) / h)))
-    here = segments.where(F.col("k") == k)
-    values = [spline_value(F.lit(float(t)), h, f"{name}_").alias(name) for name in ("u", "v")]
-    return nodes.join(here, node).select(node, "lon", "lat", *values)
+def spline_segments(series: DataFrame, node: str, time: str, value: str, dt: float) -> DataFrame:
+    """``node, k, t0, f0, f1, m0, m1`` for each interval of one value's series."""
+    return segments_of(series, node, time, [value], dt).withColumnsRenamed({f"{value}_{c}": c for c in ("f0", "f1", "m0", "m1")})
 
 
 def spline_value(t: Column, h: float, name: str = "") -> Column:

@@ -10,7 +10,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from tidewright.functions import dates, fixed, geo
-from tidewright.operators import grid, integrate, interp, report, seeding, series, spatial, storage, trajectory
+from tidewright.operators import fields, grid, integrate, interp, report, seeding, series, spatial, storage, trajectory
 from tidewright.plans import fixtures as fx
 from tidewright.sources import packed
 from tidewright.plans.fixtures import RADIUS, SHAPE, sql_angle, sql_metric2, sql_moved, sql_wrap, with_tables
@@ -53,6 +53,13 @@ def _field(spark: SparkSession, sf_dir: str, t_idx: int) -> DataFrame:
     return fx.nodes(spark, sf_dir).where("sea").join(at, "node_id").select("node_id", "lon", "lat", "u", "v")
 
 
+def _slots(spark: SparkSession, sf_dir: str) -> fields.Field:
+    """The field at all its time slots: aggregated once and written, as each step reads some of it."""
+    sea = fx.nodes(spark, sf_dir).where("sea")
+    samples = fx.samples(spark, sf_dir).join(sea.select("node_id"), "node_id", "left_semi")
+    return fields.slots(sea, storage.cut_lineage(samples.repartitionByRange("t_idx", "node_id").sortWithinPartitions("t_idx")))
+
+
 def _land(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.nodes(spark, sf_dir).where("not sea")
 
@@ -63,13 +70,15 @@ _ANGLE = sql_angle("p.lon", "p.lat", "n.lon", "n.lat")
 _W = f"exp(-{_ANGLE} * {_ANGLE} / {SHAPE!r})"
 _NEAR = f"{_D2} < {RADIUS * RADIUS!r}"
 _TWO = "p.lon, p.lat, n.lon, n.lat"
-_PAIRS_SQL = "FROM particles p JOIN nodes n ON n.node_id = (p.pid * 13) % 2000 + 1"
+_PAIRS_SQL = "FROM particles p JOIN nodes n ON n.node_id = (p.pid * 13) % (SELECT max(node_id) FROM nodes) + 1"
 
 
 def _with_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every particle with a node that its number picks from all of them, 1 to the greatest."""
     n = fx.nodes(spark, sf_dir).withColumnsRenamed({"lon": "n_lon", "lat": "n_lat"})
-    p = fx.particles(spark, sf_dir)
-    return p.join(n, n["node_id"] == (F.col("pid") * 13) % 2000 + 1)
+    last = n.agg(F.max("node_id").alias("last"))
+    p = fx.particles(spark, sf_dir).crossJoin(F.broadcast(last))
+    return p.join(n, F.col("node_id") == (F.col("pid") * 13) % F.col("last") + 1)
 
 
 # --- Geometry and fixed point ----------------------------------------------------------------------------------------
@@ -231,19 +240,20 @@ def _splines(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOT0, KNOTS = 12, 28
 
 
-def _spline_sql(c: str) -> str:
-    """``knots_c``: value ``f`` and second derivative ``m`` at each knot ``i`` of each node."""
+def _spline_sql(c: str, name: str | None = None, low: int = KNOT0, high: int = KNOT0 + KNOTS - 1, filled: str = "around", time: str = "t_idx", value: str | None = None) -> str:
+    """``knots_name``: value ``f`` and second derivative ``m`` at each knot ``i`` of each node; knots are the steps ``low`` to ``high``."""
+    n, last = name or c, high - low
     end = lambda a, b: " + ".join(f"({x}) * {w}" for x, w in zip((f"{a}", *(f"{b.format(k)}" for k in range(1, 5))), ("(-25e0)", "48e0", "(-36e0)", "16e0", "(-3e0)"), strict=True))
     w = "OVER (PARTITION BY node_id ORDER BY i)"
-    return f"""f_{c} AS (SELECT node_id, t_idx - {KNOT0} AS i, {_FILLED_RAW(c)} AS f FROM around),
-r_{c} AS (SELECT node_id, i, f, CASE WHEN i = 0 THEN 6 * ((lead(f) {w} - f) - ({end('f', f'lead(f, {{}}) {w}')}) / 12e0)
-  WHEN i = {KNOTS - 1} THEN 6 * (-({end('f', f'lag(f, {{}}) {w}')}) / 12e0 - (f - lag(f) {w})) ELSE 6 * (lead(f) {w} - 2 * f + lag(f) {w}) END AS r FROM f_{c}),
-up_{c}(node_id, i, a, m) AS (SELECT node_id, i, 5e-1, r / 2 FROM r_{c} WHERE i = 0
-  UNION ALL SELECT r.node_id, r.i, 1 / (CASE WHEN r.i = {KNOTS - 1} THEN 2e0 ELSE 4e0 END - u.a), (r.r - u.m) / (CASE WHEN r.i = {KNOTS - 1} THEN 2e0 ELSE 4e0 END - u.a)
-  FROM up_{c} u JOIN r_{c} r ON r.node_id = u.node_id AND r.i = u.i + 1),
-down_{c}(node_id, i, m) AS (SELECT node_id, i, m FROM up_{c} WHERE i = {KNOTS - 1}
-  UNION ALL SELECT u.node_id, u.i, u.m - u.a * d.m FROM down_{c} d JOIN up_{c} u ON u.node_id = d.node_id AND u.i = d.i - 1),
-knots_{c} AS (SELECT node_id, i, f, m, lead(f) {w} AS f1, lead(m) {w} AS m1 FROM down_{c} JOIN f_{c} USING (node_id, i))"""
+    return f"""f_{n} AS MATERIALIZED (SELECT node_id, {time} - ({low}) AS i, {value or _FILLED_RAW(c)} AS f FROM {filled} WHERE {time} BETWEEN {low} AND {high}),
+r_{n} AS MATERIALIZED (SELECT node_id, i, f, CASE WHEN i = 0 THEN 6 * ((lead(f) {w} - f) - ({end('f', f'lead(f, {{}}) {w}')}) / 12e0)
+  WHEN i = {last} THEN 6 * (-({end('f', f'lag(f, {{}}) {w}')}) / 12e0 - (f - lag(f) {w})) ELSE 6 * (lead(f) {w} - 2 * f + lag(f) {w}) END AS r FROM f_{n}),
+up_{n}(node_id, i, a, m) AS (SELECT node_id, i, 5e-1, r / 2 FROM r_{n} WHERE i = 0
+  UNION ALL SELECT r.node_id, r.i, 1 / (CASE WHEN r.i = {last} THEN 2e0 ELSE 4e0 END - u.a), (r.r - u.m) / (CASE WHEN r.i = {last} THEN 2e0 ELSE 4e0 END - u.a)
+  FROM up_{n} u JOIN r_{n} r ON r.node_id = u.node_id AND r.i = u.i + 1),
+down_{n}(node_id, i, m) AS (SELECT node_id, i, m FROM up_{n} WHERE i = {last}
+  UNION ALL SELECT u.node_id, u.i, u.m - u.a * d.m FROM down_{n} d JOIN up_{n} u ON u.node_id = d.node_id AND u.i = d.i - 1),
+knots_{n} AS MATERIALIZED (SELECT node_id, i, f, m, lead(f) {w} AS f1, lead(m) {w} AS m1 FROM down_{n} JOIN f_{n} USING (node_id, i))"""
 
 
 _FILLED_RAW = lambda c: f"coalesce({c}, {c}0 + ({c}1 - {c}0) * (t_idx - t{c}0) / CAST(nullif(t{c}1 - t{c}0, 0) AS DOUBLE), {c}0, {c}1, 0e0)"
@@ -257,15 +267,24 @@ e AS (SELECT k.*, t.t, t.t - {KNOT0} - t.i AS b FROM t JOIN knots_u k USING (i))
 SELECT node_id, t, {q6(_CUBIC)} AS value, {q6('f1 - f + ((3 * b * b - 1) * m1 - (3 * (1 - b) * (1 - b) - 1) * m) / 6')} AS slope FROM e"""
 )
 def spline_eval(spark, sf_dir):
-    """Values and slopes of every node's spline at and between its knots."""
-    times = spark.range(12 * 4, 39 * 4 + 1).select((F.col("id") / 4).alias("t"))
-    return series.evaluate(_splines(spark, sf_dir), F.broadcast(times), 12.0, 1.0, 26).select("node_id", "t", r6(F.col("value")).alias("value"), r6(F.col("slope")).alias("slope"))
+    """Values and slopes of every node's spline at and between its knots, at quarters of their distance."""
+    return _evaluated(spark, sf_dir, 4)
 
 
-@query(f"{_AXIS}, around AS (SELECT node_id, t_idx, u, {_fill_sql('u')} FROM slots) SELECT node_id, CAST(t_idx AS DOUBLE) AS t, {_FILLED('u')} AS value FROM around")
+@query(
+    f"""{_RECURSIVE_AXIS}, {_spline_sql('u')}, e AS (SELECT k.node_id, k.i + x.b AS t, k.f, k.f1, k.m, k.m1, x.b FROM knots_u k JOIN (SELECT unnest([0e0, 1e0]) AS b) x ON k.i < {KNOTS - 1} AND (x.b = 0 OR k.i = {KNOTS - 2}))
+SELECT node_id, t + {KNOT0} AS t, {q6('CASE WHEN b = 0 THEN f ELSE f1 END')} AS value, {q6('f1 - f + ((3 * b * b - 1) * m1 - (3 * (1 - b) * (1 - b) - 1) * m) / 6')} AS slope FROM e"""
+)
 def spline_at_knots(spark, sf_dir):
-    times = spark.range(12, 40).select(F.col("id").cast("double").alias("t"))
-    return series.evaluate(_splines(spark, sf_dir), F.broadcast(times), 12.0, 1.0, 26).select("node_id", "t", r6(F.col("value")).alias("value"))
+    """At the knots a spline gives the samples back, and slopes that depend on all of them."""
+    return _evaluated(spark, sf_dir, 1)
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    ends = fx.samples(spark, sf_dir).agg(F.min("t_idx").alias("low"), F.max("t_idx").alias("high")).first()
+    times = spark.range(ends["low"] * parts, ends["high"] * parts + 1).select((F.col("id") / parts).alias("t"))
+    got = series.evaluate(_splines(spark, sf_dir), F.broadcast(times), float(ends["low"]), 1.0, ends["high"] - ends["low"] - 1)
+    return got.select("node_id", "t", r6(F.col("value")).alias("value"), r6(F.col("slope")).alias("slope"))
 
 
 # --- Spatial joins ---------------------------------------------------------------------------------------------------
@@ -370,8 +389,9 @@ def _backward_sql(steps: int) -> str:
 
 
 def _backward(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
-    p = fx.particles(spark, sf_dir).withColumn("init_idx", F.lit(FIRST) - F.col("pid") % 2)
-    return integrate.backward(p, lambda i: _field(spark, sf_dir, i), _land(spark, sf_dir), FIRST, FIRST - steps + 1, DT, RADIUS, SHAPE, LAND_LIMIT, LIFE, GRACE)
+    p = fx.particles(spark, sf_dir).withColumn("init_t", F.lit(FIRST) - F.col("pid") % 2)
+    end = integrate.backward(p, _slots(spark, sf_dir), _land(spark, sf_dir), FIRST, FIRST - steps + 1, DT, RADIUS, SHAPE, LAND_LIMIT, LIFE, GRACE)
+    return end.withColumnRenamed("t", "t_idx")
 
 
 @query(_backward_sql(4))
@@ -379,21 +399,25 @@ def euler_backward(spark, sf_dir):
     return _backward(spark, sf_dir, 4).select("pid", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), "t_idx", "reason")
 
 
-#: Steps of a quarter of the knots' distance, in two stretches as if they were months.
-FINE_FIRST, FINE_MONTHS, FINE_DT = 121, [(121, 120), (119, 118)], DT // 4
+#: Steps of a quarter of the knots' distance, in two stretches, each with knots of its own: those of its quarters and some around.
+FINE_FIRST, FINE_STRETCHES, FINE_DT = 121, [(121, 120), (119, 118)], DT // 4
+#: First and last slot of each stretch's splines.
+FINE_KNOTS = [(26, 33), (25, 32)]
 
 
 def _backward_spline_sql() -> str:
-    field = "UNION ALL ".join(
-        f"SELECT n.node_id, n.lon, n.lat, CAST({idx} AS BIGINT) AS t_idx, u.v AS u, v.v AS v FROM nodes n "
-        + " ".join(f"JOIN (SELECT node_id, {_CUBIC.replace('b', f'{idx % 4 / 4!r}')} AS v FROM knots_{c} WHERE i = {idx // 4 - KNOT0}) {c} USING (node_id)" for c in "uv")
-        + " WHERE n.sea "
-        for idx in range(FINE_FIRST, FINE_MONTHS[-1][1] - 1, -1)
-    )
-    ctes = [_RECURSIVE_AXIS.replace("nodes AS", "particles AS (" + fx.CTES["particles"] + "),\nnodes AS", 1), _spline_sql("u"), _spline_sql("v"), f"field AS ({field})"]
+    ctes = [_RECURSIVE_AXIS.replace("nodes AS", "particles AS (" + fx.CTES["particles"] + "),\nnodes AS", 1)]
+    parts = []
+    for n, ((top, bottom), (low, high)) in enumerate(zip(FINE_STRETCHES, FINE_KNOTS, strict=True)):
+        ctes += [_spline_sql(c, f"{c}{n}", low, high, "around") for c in "uv"]
+        for idx in range(top, bottom - 1, -1):
+            cubic = _CUBIC.replace("b", f"{idx % 4 / 4!r}")
+            joins = " ".join(f"JOIN (SELECT node_id, {cubic} AS v FROM knots_{c}{n} WHERE i = {idx // 4 - low}) {c} USING (node_id)" for c in "uv")
+            parts.append(f"SELECT n.node_id, n.lon, n.lat, CAST({idx} AS BIGINT) AS t_idx, u.v AS u, v.v AS v FROM nodes n {joins} WHERE n.sea")
+    ctes.append("field AS (" + " UNION ALL ".join(parts) + ")")
     moved = sql_moved(f"(-u * {FINE_DT})", f"(-v * {FINE_DT})", "lon", "lat")
     ctes.append(f"s0 AS (SELECT pid, lon, lat, CAST({FINE_FIRST} - pid % 2 AS BIGINT) AS t_idx FROM particles)")
-    steps = FINE_FIRST - FINE_MONTHS[-1][1] + 1
+    steps = FINE_FIRST - FINE_STRETCHES[-1][1] + 1
     for k in range(steps):
         ctes.append(_interp_ctes(f"s{k}", FINE_FIRST - k))
         live = f"t_idx = {FINE_FIRST - k}"
@@ -403,17 +427,20 @@ def _backward_spline_sql() -> str:
 
 @query(_backward_spline_sql())
 def euler_backward_spline(spark, sf_dir):
-    """Backward over two stretches, each with the splines of its own time; the field is the splines' value at each step."""
-    p = fx.particles(spark, sf_dir).withColumn("init_idx", F.lit(FINE_FIRST) - F.col("pid") % 2)
+    """Backward over two stretches, each with splines through the slots around it alone."""
+    p = fx.particles(spark, sf_dir).withColumn("init_t", F.lit(FINE_FIRST) - F.col("pid") % 2)
     sea = fx.nodes(spark, sf_dir).where("sea").select("node_id", "lon", "lat")
-    filled = series.fill_gaps(_on_axis(spark, sf_dir), "node_id", "t_idx", ["u", "v"])
-    segments = storage.cut_lineage(series.uv_segments(filled, "node_id", "t_idx", 1.0))
+    land = _land(spark, sf_dir)
+    filled = storage.cut_lineage(series.fill_gaps(_on_axis(spark, sf_dir), "node_id", "t_idx", ["u", "v"]))
 
-    def month(n: int) -> integrate.FieldAt:
-        return lambda idx: series.field_at(sea, segments, idx / 4, float(KNOT0), 1.0, KNOTS - 2)
+    def stretch(n: int) -> tuple[fields.Field, DataFrame]:
+        low, high = FINE_KNOTS[n]
+        quarters = filled.where(F.col("t_idx").between(low, high)).withColumn("t_idx", 4 * F.col("t_idx"))
+        segments = storage.cut_lineage(series.segments_of(quarters, "node_id", "t_idx", ["u", "v"], 4.0))
+        return fields.splines(sea, segments, 4.0 * low, 4.0, high - low - 1), land
 
-    end = integrate.backward_by_month(p, FINE_MONTHS, month, _land(spark, sf_dir), FINE_DT, RADIUS, SHAPE, LAND_LIMIT)
-    return end.select("pid", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), "t_idx")
+    end = integrate.backward_by_month(p, FINE_STRETCHES, stretch, FINE_DT, RADIUS, SHAPE, LAND_LIMIT)
+    return end.select("pid", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), F.col("t").alias("t_idx"))
 
 
 def _forward_sql(steps: int) -> str:
@@ -430,7 +457,7 @@ def _forward_sql(steps: int) -> str:
 
 
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrate.forward(fx.particles(spark, sf_dir), lambda i: _field(spark, sf_dir, i), _land(spark, sf_dir), FIRST, STEPS, DT, RADIUS, SHAPE, LAND_LIMIT)
+    return integrate.forward(fx.particles(spark, sf_dir), _slots(spark, sf_dir), _land(spark, sf_dir), FIRST, STEPS, DT, RADIUS, SHAPE, LAND_LIMIT)
 
 
 @query(
@@ -613,10 +640,19 @@ def seed_thin_hash(spark, sf_dir):
     return seeding.thin(fx.seeds(spark, sf_dir), 0.25, None, 5, draw=F.pmod(F.col("seed_id") * 7919 + 5, F.lit(1000)) / 1000).select("seed_id")
 
 
-@query("SELECT CAST(i AS INTEGER) AS lon_idx, CAST(j AS INTEGER) AS lat_idx, round(radians(CASE WHEN i < 9 THEN 176e0 + i * 5e-1 ELSE -1795e-1 + (i - 9) * 5e-1 END), 6) AS lon, round(radians(-2e0 + j * 5e-1), 6) + 0e0 AS lat FROM range(0, 17) a(i), range(0, 9) b(j)")
+_BOX = "SELECT degrees(min(lon)) AS west, degrees(max(lon)) AS east, degrees(min(lat)) AS south, degrees(max(lat)) AS north FROM nodes"
+
+
+@query(
+    f"""{with_tables('nodes')}, box AS ({_BOX})
+SELECT CAST(i AS INTEGER) AS lon_idx, CAST(j AS INTEGER) AS lat_idx, round(radians(west + i * 7e-1), 6) + 0e0 AS lon, round(radians(south + j * 7e-1), 6) + 0e0 AS lat
+FROM (SELECT box.*, unnest(range(CAST(floor((east - west) / 7e-1) AS BIGINT) + 1)) AS i FROM box), range(1000) b(j) WHERE j <= floor((north - south) / 7e-1)"""
+)
 def seed_grid_regular(spark, sf_dir):
-    g = seeding.regular_grid(spark, 176.0, -176.0, -2.0, 2.0, 0.5)
-    return g.select("lon_idx", "lat_idx", F.round("lon", 6).alias("lon"), r6(F.col("lat")).alias("lat"))
+    """Seeds on a regular grid over the box of all nodes."""
+    box = fx.nodes(spark, sf_dir).selectExpr("degrees(min(lon)) AS west", "degrees(max(lon)) AS east", "degrees(min(lat)) AS south", "degrees(max(lat)) AS north").first()
+    g = seeding.regular_grid(spark, *box, 0.7)
+    return g.select("lon_idx", "lat_idx", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
 
 
 @query(f"{with_tables('particles')} SELECT pid, strftime(d, '%Y-%m-%d') AS release_day FROM particles, generate_series(DATE '1999-12-30', DATE '2000-01-02', INTERVAL 1 DAY) t(d)")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewright.operators.grid import MISSING
-from tidewright.sources.files import list_files, open_input, open_output
+from tidewright.sources.files import file_sizes, list_files, open_input, open_output
 
 # The classic format's external types and list tags; coordinates never use the sentinel.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -133,8 +133,12 @@ class ClassicFile:
         return pa.array(raw * scale + offset, mask=gone)
 
 
-def header_errors(path: str, variables: list[str], times: int | None = None) -> list[str]:
-    """What is wrong with a file's header, in words; empty where all is well. Never raises for the file's content."""
+def header_errors(path: str, variables: list[str], times: int | None = None, leading: tuple[str, ...] = ("time",)) -> list[str]:
+    """What is wrong with a file's header, in words; empty where all is well. Never raises for the file's content.
+
+    Looked at: the variable ``time`` and its length, each variable's presence, type, dimensions (none, or of size zero), the dimension it
+    begins with (one of ``leading``), and how many times it has.
+    """
     try:
         with open_input(path) as source:
             f = ClassicFile(source)
@@ -147,53 +151,94 @@ def header_errors(path: str, variables: list[str], times: int | None = None) ->
                 v = f.variables.get(name)
                 if v is None:
                     errors.append(f"no variable {name}")
-                elif not v.dims:
+                    continue
+                if v.kind in UNSUPPORTED:
+                    errors.append(f"{name} has a type that isn't read")
+                if not v.dims:
                     errors.append(f"{name} has no dimensions")
-                elif f.has_time(v) and times is not None and f.shape(v)[0] != times:
+                    continue
+                names = [f.dims[d][0] for d in v.dims]
+                errors += [f"{name} has a dimension {d} of size 0" for d, n in zip(names, f.shape(v), strict=True) if n == 0]
+                if leading and names[0] not in leading:
+                    errors.append(f"{name} begins with the dimension {names[0]}, not {' or '.join(leading)}")
+                if f.has_time(v) and times is not None and f.shape(v)[0] != times:
                     errors.append(f"{name} has {f.shape(v)[0]} times, not {times}")
             return errors
     except (ValueError, OSError, struct.error, KeyError) as e:
         return [str(e)]
 
 
+def header_report(spark: SparkSession, path: str, variables: list[str], times: int | None = None, leading: tuple[str, ...] = ("time",)) -> DataFrame:
+    """``file, error`` for all errors of all files' headers, which tasks read; no row where all is well."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(p, e) for p in frame["file"] for e in header_errors(p, variables, times, leading)]
+            yield pd.DataFrame(found, columns=["file", "error"])
+
+    listed = list_files(path)
+    files = spark.createDataFrame([(x,) for x in listed], "file string").repartition(max(1, min(len(listed), spark.sparkContext.defaultParallelism)))
+    return files.mapInPandas(look, "file string, error string")
+
+
+#: Bytes of files that a task reads: smaller files are read some at a time, larger ones by ranges of their time steps.
+SPLIT_BYTES = 32 << 20
+
+
 @dataclass
-class FileSteps(InputPartition):
-    path: str
-    first: int
-    last: int
+class FileParts(InputPartition):
+    """Files of one task: path, and which part of how many (by time steps) of it."""
+
+    parts: list[tuple[str, int, int]]
+
+
+def plan_parts(files: list[tuple[str, int]], split: int) -> list[FileParts]:
+    """Tasks from the files' sizes alone: no header is opened to plan, a task works out its steps from the header that it reads."""
+    tasks: list[FileParts] = []
+    together: list[tuple[str, int, int]] = []
+    size = 0
+    for path, n in files:
+        if n > split:
+            m = -(-n // split)
+            tasks += [FileParts([(path, k, m)]) for k in range(m)]
+            continue
+        if together and size + n > split:
+            tasks.append(FileParts(together))
+            together, size = [], 0
+        together.append((path, 0, 1))
+        size += n
+    return tasks + ([FileParts(together)] if together else [])
 
 
 class GridReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path = options["path"]
         self.variables = [x for x in options.get("variables", "").split(",") if x]
-        self.steps = int(options.get("stepsPerSplit", "8"))
+        self.split = int(options.get("splitBytes", str(SPLIT_BYTES)))
 
-    def partitions(self) -> list[FileSteps]:
-        parts: list[FileSteps] = []
-        for path in list_files(self.path):
-            with open_input(path) as source:
-                f = ClassicFile(source)
-                n = f.shape(f.variables["time"])[0] if "time" in f.variables else 1
-            parts += [FileSteps(path, at, min(n, at + self.steps)) for at in range(0, max(n, 1), self.steps)]
-        return parts
+    def partitions(self) -> list[FileParts]:
+        return plan_parts(file_sizes(self.path), self.split)
 
-    def read(self, partition: FileSteps) -> Iterator[pa.RecordBatch]:
-        with open_input(partition.path) as source:
-            f = ClassicFile(source)
-            times = f.times() if "time" in f.variables else [0]
-            for name in self.variables or [n for n in f.variables if n != "time"]:
-                v = f.variables.get(name)
-                if v is None or v.kind in UNSUPPORTED:
-                    continue  # a variable that can't be read is left out, the others go on
-                timed = f.has_time(v)
-                for step in range(partition.first, partition.last) if timed else [0] * (partition.first == 0):
-                    values = f.unpacked(v, step)
-                    n = len(values)
-                    yield pa.record_batch(
-                        [pa.array([partition.path] * n), pa.array([name] * n), pa.array(np.full(n, times[step] if timed else 0, dtype=np.int64)), pa.array(np.arange(n, dtype=np.int64)), values],
-                        names=["file", "variable", "t_s", "cell_idx", "value"],
-                    )
+    def read(self, partition: FileParts) -> Iterator[pa.RecordBatch]:
+        for path, part, of in partition.parts:
+            with open_input(path) as source:
+                yield from self._slices(path, ClassicFile(source), part, of)
+
+    def _slices(self, path: str, f: ClassicFile, part: int, of: int) -> Iterator[pa.RecordBatch]:
+        times = f.times() if "time" in f.variables else [0]
+        first, last = len(times) * part // of, len(times) * (part + 1) // of
+        for name in self.variables or [n for n in f.variables if n != "time"]:
+            v = f.variables.get(name)
+            if v is None or v.kind in UNSUPPORTED:
+                continue  # a variable that can't be read is left out, the others go on; ``header_report`` names it
+            timed = f.has_time(v)
+            for step in range(first, last) if timed else [0] * (part == 0):
+                values = f.unpacked(v, step)
+                n = len(values)
+                yield pa.record_batch(
+                    [pa.array([path] * n), pa.array([name] * n), pa.array(np.full(n, times[step] if timed else 0, dtype=np.int64)), pa.array(np.arange(n, dtype=np.int64)), values],
+                    names=["file", "variable", "t_s", "cell_idx", "value"],
+                )
 
 
 class GridSource(DataSource):
@@ -269,7 +314,7 @@ def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[li
 DOMAIN_NODES = 1 << 40
 
 
-def load_months(spark: SparkSession, paths: list[str], u: str, v: str, dt: int, span: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def load_domains(spark: SparkSession, paths: list[str], u: str, v: str, dt: int, span: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """``load_month`` of several domains, whose nodes and samples become one table each."""
     found = [load_month(spark, path, u, v, dt, span) for path in paths]
     out = []
@@ -284,24 +329,28 @@ def load_months(spark: SparkSession, paths: list[str], u: str, v: str, dt: int,
 def load_month(spark: SparkSession, path: str, u: str, v: str, dt: int, span: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (``node_id, lon, lat, sea``) and gap-free samples (``node_id, t_s, u, v``) of one domain's files.
 
-    ``span``: the first second of a month and of the next one; samples from a day before to a day after it are taken.
+    ``span``: the first second of a month and of the next one; samples from a day before it to the end of the next one's second day,
+    which is the last day whose file belongs to the month, are taken.
 
-    Longitude and latitude are 1-D variables in degrees; the mask is that of ``u`` at its earliest time; of repeated times the
+    Longitude and latitude are 1-D variables of the first file, in degrees; the mask is that of ``u`` at its earliest time; of repeated times the
     last file counts; sea nodes alone are put on the regular axis and filled.
     """
     from tidewright.operators import grid, series
+    from tidewright.operators.storage import cut_lineage
 
     register(spark)
-    raw = spark.read.format("gridnc").option("path", path).option("variables", f"lon,lat,{u},{v}").load()
-    axis = lambda name, i: raw.where((F.col("variable") == name)).groupBy("cell_idx").agg(F.min_by("value", "file").alias(f"{name}_deg")).withColumnRenamed("cell_idx", i)
+    read = lambda where, names: spark.read.format("gridnc").option("path", where).option("variables", names).load()
+    fixed = read(list_files(path)[0], "lon,lat")
+    axis = lambda name, i: fixed.where(F.col("variable") == name).select(F.col("cell_idx").alias(i), F.col("value").alias(f"{name}_deg"))
     nodes = grid.build_nodes(axis("lon", "i"), axis("lat", "j"))
-    timed = raw.where(F.col("variable").isin(u, v))
+    timed = read(path, f"{u},{v}")
     if span:
-        timed = timed.where(F.col("t_s").between(span[0] - 86400, span[1] + 86400))
-    last = series.latest_file_wins(timed, "file", ["variable", "t_s", "cell_idx"], ["value"])
-    wide = last.groupBy("cell_idx", "t_s").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(c) for n, c in ((u, "u"), (v, "v"))])
+        timed = timed.where((F.col("t_s") >= span[0] - 86400) & (F.col("t_s") < span[1] + 2 * 86400))
+    # One pass over the files; of repeated times the last file counts.
+    pick = lambda n: F.max_by(F.when(F.col("variable") == n, F.col("value")), F.when(F.col("variable") == n, F.col("file")))
+    wide = cut_lineage(timed.groupBy("cell_idx", "t_s").agg(pick(u).alias("u"), pick(v).alias("v")))
     mask = grid.sea_mask(wide, value="u")
-    nodes = nodes.join(mask, "cell_idx").withColumnRenamed("cell_idx", "node_id")
+    nodes = cut_lineage(nodes.join(mask, "cell_idx").withColumnRenamed("cell_idx", "node_id"))
     samples = wide.withColumnRenamed("cell_idx", "node_id").join(nodes.where("sea").select("node_id"), "node_id", "left_semi")
     filled = series.fill_gaps(series.on_axis(samples, nodes.where("sea"), series.time_axis(samples, dt), "node_id"), "node_id", "t_s", ["u", "v"])
     return nodes, filled

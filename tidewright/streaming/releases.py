@@ -12,9 +12,14 @@ from tidewright.operators.report import by_day
 
 
 def daily_counters(spark: SparkSession, folder: str, schema: str, late: str = "1 day", when: str = "ended_at") -> DataFrame:
-    """Counters by release day over a stream of ended particles; a watermark on ``when`` bounds the state."""
+    """Counters by release day over a stream of ended particles, for output mode ``append``.
+
+    Days are windows of event time: a day's row comes out, and its state goes, once the watermark (``late`` behind the latest ``when``) has
+    passed its end; rows that come later than that are left out.
+    """
     ended = spark.readStream.schema(schema).parquet(folder).withWatermark(when, late)
-    return by_day(ended.withColumn("release_day", F.window(F.col(when), "1 day")["start"].cast("date")))
+    counted = by_day(ended, F.window(when, "1 day").alias("day"))
+    return counted.select(F.col("day")["start"].cast("date").alias("release_day"), *[c for c in counted.columns if c != "day"])
 
 
 def trace_releases(seeds: DataFrame, trace: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
