@@ -7,8 +7,8 @@ out most entries without looking at them: an entry is passed over only where a b
 tie is decided by a bound. What is left is compared by squared distances in whole numbers, ties to the lower index. Bounds are
 whole numbers too, rounded to the safe side, so codes are those of plain Lloyd rounds.
 
-A round reads that table, writes the next and adds up the parts by entry: in tasks first, then one row for each entry and
-component is collected. Codebooks (``PARTS`` times ``ENTRIES`` entries) are all that the driver or a closure ever holds. Rounds
+A round reads that table, writes the next, and each task adds a row with the sums of its parts by entry; of those, added up over the
+tasks, one number for each entry and component is collected. Codebooks (``PARTS`` times ``ENTRIES`` entries) are all that the driver or a closure ever holds. Rounds
 end early once no entry moves, as all further ones would repeat the last.
 
 Defined cases: a null vector, or one with a null or non-finite component, is dropped, and so is one whose length isn't that of
@@ -117,45 +117,63 @@ def _lists(values: np.ndarray) -> pa.ListArray:
 STATE = ("parts", "codes", "upper", "lower")
 
 
+class Sums:
+    """A task's sums of parts by entry, and how many there are: one row of the state table, with nothing else in it."""
+
+    def __init__(self, k: int, width: int) -> None:
+        self.k, self.total, self.used = k, np.zeros((PARTS * k, width), dtype=np.int64), np.zeros(PARTS * k, dtype=np.int64)
+
+    def add(self, parts: np.ndarray, codes: np.ndarray) -> None:
+        slot = (codes + np.arange(PARTS) * self.k).ravel()
+        np.add.at(self.total, slot, parts.reshape(-1, parts.shape[2]))
+        self.used += np.bincount(slot, minlength=len(self.used))
+
+    def row(self, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        nothing = [pa.nulls(1, t) for t in kinds] + [pa.nulls(1, pa.list_(pa.int32()))] * len(STATE)
+        flat = np.concatenate([self.total.ravel(), self.used])
+        return pa.record_batch([*nothing, pa.array([flat.tolist()], pa.list_(pa.int64()))], names=["id", "label", *STATE, "sums"])
+
+
+def _rows(batch: pa.RecordBatch, parts: pa.Array, *state: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+    return pa.record_batch([batch.column("id"), batch.column("label"), parts, *map(_lists, state), none], names=["id", "label", *STATE, "sums"])
+
+
 def _begin(batches: Iterator[pa.RecordBatch], entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    sums, kinds = Sums(*entries.shape[1:]), None
     for batch in batches:
         parts = _numbers(batch.column("parts"), batch.num_rows, PARTS, entries.shape[2])
-        state = (parts, *first_assignment(parts, entries))
-        yield pa.record_batch([batch.column("id"), batch.column("label"), *map(_lists, state)], names=["id", "label", *STATE])
+        codes, upper, lower = first_assignment(parts, entries)
+        sums.add(parts, codes)
+        kinds = [batch.column(c).type for c in ("id", "label")]
+        yield _rows(batch, _lists(parts), codes, upper, lower)
+    if kinds:
+        yield sums.row(kinds)
 
 
 def _go_on(batches: Iterator[pa.RecordBatch], entries: np.ndarray, moved: np.ndarray) -> Iterator[pa.RecordBatch]:
-    k = entries.shape[1]
+    k, width = entries.shape[1:]
+    sums, kinds = Sums(k, width), None
     for batch in batches:
         n = batch.num_rows
-        parts, codes, upper, lower = (_numbers(batch.column(c), n, *s) for c, s in zip(STATE, ((PARTS, entries.shape[2]), (PARTS,), (PARTS,), (PARTS, k)), strict=True))
+        parts, codes, upper, lower = (_numbers(batch.column(c), n, *s) for c, s in zip(STATE, ((PARTS, width), (PARTS,), (PARTS,), (PARTS, k)), strict=True))
         codes, upper, lower, _ = reassign(parts, entries, moved, codes, upper, lower)
-        yield pa.record_batch([batch.column("id"), batch.column("label"), batch.column("parts"), *map(_lists, (codes, upper, lower))], names=["id", "label", *STATE])
-
-
-def _add_parts(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
-    sums, used = np.zeros((PARTS * k, width), dtype=np.int64), np.zeros(PARTS * k, dtype=np.int64)
-    for batch in batches:
-        n = batch.num_rows
-        parts, codes = _numbers(batch.column("parts"), n, PARTS, width), _numbers(batch.column("codes"), n, PARTS)
-        slot = (codes + np.arange(PARTS) * k).ravel()
-        np.add.at(sums, slot, parts.reshape(-1, width))
-        used += np.bincount(slot, minlength=PARTS * k)
-    slots = np.flatnonzero(used)
-    yield pa.record_batch(
-        [pa.array(np.repeat(slots, width).astype(np.int32)), pa.array(np.tile(np.arange(width, dtype=np.int32), len(slots))), pa.array(sums[slots].ravel()), pa.array(np.repeat(used[slots], width))],
-        names=["slot", "place", "total", "used"],
-    )
+        sums.add(parts, codes)
+        kinds = [batch.column(c).type for c in ("id", "label")]
+        yield _rows(batch, batch.column("parts"), codes, upper, lower)
+    if kinds:
+        yield sums.row(kinds)
 
 
 def moved_entries(state: DataFrame, entries: np.ndarray) -> np.ndarray:
-    """Each entry becomes the floored mean of its parts; unused ones stay. Tasks add up first."""
-    k, width = entries.shape[1:]
-    added = map_arrow(state.select("parts", "codes"), partial(_add_parts, k=k, width=width), "slot int, place int, total bigint, used bigint")
-    big = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
-    out = entries.copy().reshape(-1, width)
-    for r in added.groupBy("slot", "place").agg(big("total"), big("used")).collect():
-        out[r["slot"], r["place"]] = int(r["total"]) // int(r["used"])
+    """Each entry becomes the floored mean of its parts; unused ones stay. One row a task is read, and one number a component collected."""
+    added = state.where("sums IS NOT NULL").select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+    sums = {r["at"]: int(r["n"]) for r in added.collect()}
+    out = entries.copy().reshape(-1)
+    width = entries.shape[2]
+    for at in range(len(out)):
+        if used := sums.get(len(out) + at // width, 0):
+            out[at] = sums[at] // used
     return out.reshape(entries.shape)
 
 
@@ -180,7 +198,8 @@ def learn(parts: DataFrame, entries: np.ndarray, rounds: int = ROUNDS) -> tuple[
     """The state table after the last assignment, and the entries it was made with. Tables of earlier rounds are removed."""
     spark = parts.sparkSession
     ints = ArrayType(IntegerType())
-    schema = StructType([parts.schema["id"], parts.schema["label"], *(StructField(c, ints) for c in STATE)])
+    schema = StructType([parts.schema["id"], parts.schema["label"], *(StructField(c, ints) for c in STATE), StructField("sums", ArrayType(LongType()))])
+    rows = lambda state: state.where("sums IS NULL")
 
     def kept(state: DataFrame) -> tuple[DataFrame, str]:
         path = scratch_path(spark, "vector-codes")
@@ -194,9 +213,9 @@ def learn(parts: DataFrame, entries: np.ndarray, rounds: int = ROUNDS) -> tuple[
             break
         moved = root_up(((new - entries) ** 2).sum(axis=2))
         entries, old = new, path
-        state, path = kept(map_arrow(state, partial(_go_on, entries=entries, moved=moved), schema))
+        state, path = kept(map_arrow(rows(state).drop("sums"), partial(_go_on, entries=entries, moved=moved), schema))
         drop_table(spark, old)
-    return state, entries
+    return rows(state), entries
 
 
 def _report(batches: Iterator[pa.RecordBatch], entries: np.ndarray) -> Iterator[pa.RecordBatch]:
