@@ -185,10 +185,13 @@ def _judge_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordB
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without texts that have no letter or whose language stays ambiguous; columns, whatever their names, as they are."""
+    """``docs`` without texts that have no letter or whose language stays ambiguous; columns, whatever their names, as they are.
+
+    Where no row has a label there are no languages to tell apart, so nothing is ambiguous: every text with a letter stays.
+    """
     model = train(docs, text, lang)
     if model is None:
-        return docs.where(F.lit(False))
+        return docs.where(has_letter(F.col(text)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     marked = docs.select(whole, F.col(text).alias("text"), has_letter(F.col(text)).alias("letter"))
