@@ -20,8 +20,8 @@ from tidewright.llm.common import SPACE_CLASS, materialize, words_of
 
 #: Boilerplate tables up to this many lines (8 bytes each, and a host name per host) are broadcast.
 BROADCAST_LINES = 2_000_000
-#: Pages that a line must be on to recur at all; and documents for the quality rules, so that a pair of near copies is left alone.
-LEAST_PAGES, LEAST_DOCUMENTS = 2, 3
+#: Pages, or distinct documents, that a line must be on to recur at all. Beyond that the share alone decides, on hosts of any size.
+LEAST = 2
 
 
 def lines_of(text: Column) -> Column:
@@ -95,7 +95,7 @@ def _without_dropped(lines: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", share: float = 0.1, least: int = LEAST_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", share: float = 0.1, least: int = LEAST
 ) -> DataFrame:
     """Drop lines that more than ``share`` of the host's pages hold (``least`` pages at least, as on one page nothing recurs).
 
@@ -193,7 +193,7 @@ def apply_quality_rules(
     text: str = "text",
     key: str = "doc_id",
     share: float = 0.02,
-    least: int = LEAST_DOCUMENTS,
+    least: int = LEAST,
     left_share: float = 0.2,
 ) -> DataFrame:
     """``key``, ``METRICS`` and the ``text`` that is left, for every row.
@@ -207,7 +207,7 @@ def apply_quality_rules(
 
 
 def keep_quality(
-    docs: DataFrame, host: str = "source", text: str = "text", share: float = 0.02, least: int = LEAST_DOCUMENTS, left_share: float = 0.2
+    docs: DataFrame, host: str = "source", text: str = "text", share: float = 0.02, least: int = LEAST, left_share: float = 0.2
 ) -> DataFrame:
     """``docs`` without the documents that ``apply_quality_rules`` rejects; all its columns, whatever their names, stay as they are."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

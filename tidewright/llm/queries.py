@@ -154,7 +154,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 OP10_SQL = rf"""
-WITH {_LINES_SQL.format(least=3, share="2e-2", unit="coalesce(text, '')")},
+WITH {_LINES_SQL.format(least=2, share="2e-2", unit="coalesce(text, '')")},
 gone AS (
   SELECT rid, sum(len([x for x in regexp_split_to_array(raw, '[ \t\n\x0B\f\r]+') if x <> ''])) AS n_boilerplate_words
   FROM lines l JOIN found f ON l.host = f.host AND l.line = f.line GROUP BY rid),
