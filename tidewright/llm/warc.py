@@ -1,8 +1,8 @@
 """WARC archives written from pages and read back as a table of chunks.
 
-Payloads travel as (record, chunk number) rows of bounded size on both ways: the writer appends chunk after chunk, views of the
-page's row, and the reader yields a row for each, with the bytes so far and the digest so far, so that beside the row that a page
-comes in no whole record is held. Each record is a gzip member of its own. Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the
+The writer appends a payload chunk after chunk, views of the row that the page comes in, so nothing is copied whole; the reader
+streams each archive and yields a row for each (record, chunk number), of bounded size, with the bytes so far and the digest so far, so no
+whole record is held there. Each record is a gzip member of its own. Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the
 smallest id is a ``response`` and the others are ``revisit`` records that name it.
 
 Archives lie in the shared folder, under names that no other attempt uses; the writer returns the names of those that it
@@ -20,7 +20,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -81,9 +80,6 @@ def record_types(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
     return joined.withColumn("refers_to", F.when(differs, F.col("first_id"))).drop("first_id")
 
 
-CHUNK_ROWS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, refers_to bigint, parts int, chunk int, data binary"
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Chunk after chunk of each record of the batches. Chunks are views of the batch; no payload is copied whole."""
     for batch in batches:
@@ -95,19 +91,6 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 yield *fact, parts, k, whole[k * CHUNK_BYTES : (k + 1) * CHUNK_BYTES]
 
 
-def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, kinds = zip(*(x.split() for x in CHUNK_ROWS.split(", ")), strict=True)
-    types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds]
-    rows = _chunks(batches)
-    while part := list(islice(rows, 64)):
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=list(names))
-
-
-def payload_chunks(records: DataFrame) -> DataFrame:
-    """A row for each chunk of a record, in order and next to each other; revisits have one, without data."""
-    return map_arrow(_with_bytes(records), _chunk_batches, CHUNK_ROWS)
-
-
 def _with_bytes(records: DataFrame) -> DataFrame:
     return records.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", F.col("body").cast("binary").alias("body"))
 
