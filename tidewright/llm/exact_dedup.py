@@ -3,10 +3,13 @@
 Keys are 64-bit hashes of whole texts. The directory starts with one bucket; while a bucket holds more keys than its
 capacity, it splits on the next hash bit and the directory doubles where needed, until every bucket fits. Splits are worked out
 from the counts of all keys by prefix, which gives the same leaves as inserting key by key; where that would make more than
-``MOST_BUCKETS`` buckets, their capacity grows instead. The index is a Parquet table with one folder for each bucket, written by
-owner tasks, one range of keys each. Texts under a key are compared by their bytes when they are grouped, so texts whose hashes
-collide form a chain of separate entries. Rows are looked up by the bucket that the directory gives their key, then by key, then
-along the chain by the text's SHA-256, which stands for the bytes there, so that copies don't move whole.
+``MOST_BUCKETS`` buckets, their capacity grows instead.
+
+Repeated texts are folded in the tasks that read them, so that a text that a third of all rows hold is one row for each task, and go to
+the owner of their bucket; an owner has a range of buckets, which is a range of keys. There entries of a bucket are grouped by key and
+compared by their bytes; texts whose hashes collide stay apart as a chain, numbered in order of their bytes. The index is a Parquet table with a
+file for each owner. Rows are looked up by the bucket that the directory gives their key, then by key, then along the chain by the
+text's SHA-256, which stands for the bytes there, so that copies don't move whole.
 
 Everything here is DataFrame functions: no Python runs on the executors.
 
@@ -18,7 +21,7 @@ no rows. Only the id and the text are read, so other columns, whatever their nam
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from tidewright.llm.common import materialize, scratch_path
 
@@ -27,13 +30,17 @@ BROADCAST_KEYS = 1_000_000
 #: Rows that go are broadcast (some 100 bytes each) up to this many.
 BROADCAST_GONE = 200_000
 #: Keys that a bucket holds before it splits.
-BUCKET_KEYS = 1 << 15
+BUCKET_KEYS = 1 << 4
 #: Most bits that the directory uses; keys are distinct hashes, so they spread evenly long before.
 MOST_DEPTH = 30
 #: Buckets are made larger, not more, beyond this many.
 MOST_BUCKETS = 1 << 13
 
 
+#: The key of a text; tests put a function in its place that collides.
+KEY = F.xxhash64
+
+
 def _prefix(key: Column, depth: int) -> Column:
     """The first ``depth`` bits of a key."""
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
@@ -80,14 +87,13 @@ def _bucket(key: Column, leaves: list[tuple[int, int]]) -> Column:
 def build_index(
     docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = BUCKET_KEYS
 ) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Index every text that occurs more than once: ``bucket, key, text_sha256, keep_id, group_size``; and the directory's leaves.
+    """Index every text that occurs more than once: ``bucket, key, chain, text_sha256, keep_id, group_size``; and the directory's leaves.
 
-    The first pass moves 8-byte hashes only, combined on the map side, so a group with a third of all rows arrives as one
-    row for each task. Only texts under a hash that occurs again are moved whole, again combined first, and are compared
-    byte by byte by the grouping. The index is written by bucket to the shared folder and read from there.
+    The first pass moves 8-byte hashes only, combined on the map side. Only texts under a hash that occurs again are moved whole: folded
+    within each task first, then sent to their bucket's owner, which groups and compares what the tasks sent.
     """
     spark = docs.sparkSession
-    hashed = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("key", F.xxhash64("body"))
+    hashed = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("key", KEY(F.col("body")))
     again = hashed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
     keys_path = scratch_path(spark, "exact-keys")
     again.write.parquet(keys_path)
@@ -95,22 +101,22 @@ def build_index(
     total = keys.count()
     leaves = directory_of(keys, capacity, total)
     side = F.broadcast(keys) if total <= BROADCAST_KEYS else keys
-    entries = (
-        hashed.join(side, "key", "left_semi")
-        .groupBy("key", "body")
-        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select(_bucket(F.col("key"), leaves).alias("bucket"), "key", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
+    fold = (F.max("id").alias("id"), F.sum("n").alias("n"))
+    # The reading task is part of the first grouping, so its rows are folded before they move.
+    sent = hashed.join(side, "key", "left_semi").select("key", "body", "id", F.lit(1).cast("long").alias("n"), F.spark_partition_id().alias("task"))
+    sent = sent.groupBy("key", "body", "task").agg(*fold).select(_bucket(F.col("key"), leaves).alias("bucket"), "key", "body", "id", "n")
+    owned = sent.repartitionByRange("bucket").groupBy("bucket", "key", "body").agg(*fold)
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("body")) - 1
+    entries = owned.select("bucket", "key", chain.alias("chain"), F.sha2("body", 256).alias("text_sha256"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     path = scratch_path(spark, "exact-index")
-    # Owner tasks: each writes a range of keys, so a bucket's folder has one or a few files.
-    entries.repartitionByRange("bucket", "key").write.partitionBy("bucket").parquet(path)
+    entries.write.parquet(path)
     return spark.read.schema(entries.schema).parquet(path), leaves
 
 
 def _probes(docs: DataFrame, key: str, text: str, leaves: list[tuple[int, int]]) -> DataFrame:
     """``id, bucket, key, text_sha256`` of each row: where the directory sends it, and what it is compared by there."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("key"), F.sha2(body, 256).alias("text_sha256"))
+    rows = docs.select(F.col(key).alias("id"), KEY(body).alias("key"), F.sha2(body, 256).alias("text_sha256"))
     return rows.select("id", _bucket(F.col("key"), leaves).alias("bucket"), "key", "text_sha256")
 
 
