@@ -207,15 +207,22 @@ def _met(index: DataFrame, probe: DataFrame, distance: int, unlike: str) -> Data
     return index.hint("merge").join(probe, ["part", "value"]).where(close & F.expr(unlike))
 
 
-def link_prints(prints: DataFrame, distance: int, ident: str = "fp") -> DataFrame:
-    """All links (``a``, ``b``: values of ``ident``) between rows whose fingerprints ``fp`` lie within ``distance`` bits.
+def _met_apart(rooted: DataFrame, plan: list[tuple[list[int], int]], distance: int) -> DataFrame:
+    """Links (``a``, ``b``) between fingerprints of different roots (``fp, root``) that lie within ``distance`` bits: all of them.
 
-    No such link is left out. ``ident`` tells rows apart. Hot values of a part are split by adaptive execution, as both
-    sides arrive at the join by plain exchanges.
+    At a value of a part nearly all rows are of one root, its head, and rows of one root must not meet each other. So what is not of the
+    head meets all that probes the value, and what is of the head meets only probes of other roots.
     """
-    plan = plan_parts(*bit_statistics(prints), distance)
-    index, probe = _sides(prints.select("fp", F.col(ident).alias("ident")), plan)
-    return _met(index, probe, distance, "i_ident < p_ident").select(F.col("i_ident").alias("a"), F.col("p_ident").alias("b"))
+    index, probe = _sides(rooted, plan)
+    sizes = index.groupBy("part", "value", "i_root").agg(F.count("*").alias("n"))
+    heads = sizes.groupBy("part", "value").agg(F.max(F.struct("n", "i_root"))["i_root"].alias("head"), F.count("*").alias("n_roots"))
+    seen = probe.join(heads, ["part", "value"]).where((F.col("n_roots") > 1) | (F.col("p_root") != F.col("head")))
+    placed = index.join(heads, ["part", "value"])
+    parts = []
+    for side, probes in ((F.col("i_root") != F.col("head"), seen.where("n_roots > 1")), (F.col("i_root") == F.col("head"), seen.where("p_root <> head"))):
+        met = _met(placed.where(side).select(*index.columns), probes.select(*probe.columns), distance, "i_root <> p_root")
+        parts.append(met.select(F.col("i_fp").alias("a"), F.col("p_fp").alias("b")))
+    return parts[0].union(parts[1])
 
 
 def print_roots(distinct: DataFrame, distance: int) -> DataFrame:
@@ -223,7 +230,7 @@ def print_roots(distinct: DataFrame, distance: int) -> DataFrame:
 
     In a large group nearly all fingerprints are within reach of each other, so pairs aren't made at once. First each
     fingerprint meets a few of each value that it probes, the least by some salts: as many rows as ``PIVOTS`` times the probes at
-    most. After that only pairs meet whose roots still differ, so no link between groups is left out.
+    most. After that only fingerprints meet whose roots still differ, so no link between groups is left out.
     """
     distinct = distinct.select("fp")
     plan = plan_parts(*bit_statistics(distinct), distance)
@@ -237,7 +244,7 @@ def print_roots(distinct: DataFrame, distance: int) -> DataFrame:
         joined = distinct.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
         roots = materialize(joined.select("fp", F.coalesce("root", "fp").alias("root")), "print-roots")
         if not last:
-            found = _met(*_sides(roots, plan), distance, "i_root < p_root").select(F.col("i_root").alias("a"), F.col("p_root").alias("b"))
+            found = _met_apart(roots, plan, distance)
             links = links.union(materialize(map_arrow(found, local_forest, "a bigint, b bigint"), "print-links"))
     return roots
 
