@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyspark.sql.functions as F
 import pytest
 
-from tidewright.llm import resampling, toxicity, vector_codes
+from tidewright.llm import exact_dedup, resampling, toxicity, vector_codes
 
 SF = "/root/testdata/sf0.01"
 ODD = [None, "", " \t", "!!! --", "One two THREE", "one one one one", "naïve Ünïcode 漢字 x1", "word another\tthing " * 40000, "é İ ß " * 10]
@@ -62,6 +63,30 @@ def test_runs_do_not_depend_on_blocks(monkeypatch):
     assert Counter(toxicity.runs(text).tolist()) == want
 
 
+# --- 9 ---
+
+
+@pytest.mark.parametrize("key", [exact_dedup.KEY, lambda c: F.pmod(F.xxhash64(c), F.lit(97)), lambda c: F.shiftleft(F.pmod(F.xxhash64(c), F.lit(301)), 40), lambda c: F.when(c < "text 2", F.xxhash64(c)).otherwise(F.shiftrightunsigned(F.xxhash64(c), 5))])
+def test_index_splits_and_chains(spark, monkeypatch, key):
+    """Thousands of keys, uneven prefixes, and hashes that collide: texts under one key stay apart by their bytes."""
+    monkeypatch.setattr(exact_dedup, "KEY", key)
+    rows = [(i, f"text {i % 3000}") for i in range(7000)] + [(10000 + i, "hot") for i in range(3000)] + [(20000, None), (20001, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    index, leaves = exact_dedup.build_index(docs)
+    assert index.count() == index.select("text_sha256").distinct().count() == 3002
+    if key is F.xxhash64:
+        assert len(leaves) > 100 and len({d for d, _ in leaves}) > 2
+        assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= exact_dedup.BUCKET_KEYS
+    chains = index.groupBy("key").agg(F.count("*").alias("n"), F.max("chain").alias("top"))
+    assert chains.where("n <> top + 1").count() == 0
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    want = {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.find_exact(docs).collect()} == want
+    assert exact_dedup.drop_exact(docs).count() == len(groups)
+
+
 # --- 12 ---
 
 

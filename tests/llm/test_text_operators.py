@@ -77,9 +77,9 @@ def test_depleted_documents(spark):
     rows += [(50 + i, f"{menu} more\nonly{i} pair{i}", "t") for i in range(2)] + [(60, rows[0][1], "s")]
     docs = spark.createDataFrame([(*r, True) for r in rows], "doc_id bigint, text string, source string, kept boolean")
     got = {r["doc_id"]: r for r in line_rules.apply_quality_rules(docs).collect()}
-    assert [got[i]["kept"] for i in (0, 1, 2, 60, 3, 50)] == [True] * 4 + [True, True] and got[0]["n_boilerplate_words"] == 8 and got[0]["text"] == "own0 words0"
+    assert [got[i]["kept"] for i in (0, 1, 2, 60, 3, 50, 51)] == [True] * 5 + [False] * 2 and got[0]["n_boilerplate_words"] == 8 and got[0]["text"] == "own0 words0"
     strict = {r["doc_id"]: r["kept"] for r in line_rules.apply_quality_rules(docs, left_share=0.3).collect()}
-    assert [strict[i] for i in (0, 1, 2, 60, 3, 50)] == [False] * 4 + [True, True]
+    assert [strict[i] for i in (0, 1, 2, 60, 3, 50)] == [False] * 4 + [True, False]
     kept = line_rules.keep_quality(docs, left_share=0.3)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, k in strict.items() if k}
 
@@ -248,6 +248,8 @@ def test_language_of_odd_rows(spark):
     assert langid.identify_held_out(empty_docs(spark)).count() == 0 and langid.keep_identified(empty_docs(spark)).count() == 0
     clash = odd_docs(spark).withColumns({"letter": F.lit(7), "whole": F.lit("w")})
     assert langid.keep_identified(clash).columns == clash.columns
+    unlabelled = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(unlabelled).count() == unlabelled.where(langid.has_letter(F.col("text"))).count() > 0
 
 
 # --- 6 ---
@@ -335,8 +337,12 @@ def test_pigeonhole_loses_no_link(spark, distance):
     base = [int(x) for x in rng.integers(0, 1 << 62, 12)]
     prints = {b ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 6), replace=False)) for b in base for _ in range(12)}
     df = spark.createDataFrame([(p,) for p in prints], "fp bigint")
-    got = {(r["a"], r["b"]) for r in simhash.link_prints(df, distance).collect()}
-    assert got == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance}
+    plan = simhash.plan_parts(*simhash.bit_statistics(df), distance)
+    for root in (F.col("fp"), F.pmod("fp", F.lit(3)), F.when(F.pmod("fp", F.lit(20)) == 0, 1).otherwise(2).cast("bigint")):  # roots of one, of many, one with nearly all
+        rooted = df.withColumn("root", root)
+        roots = {r["fp"]: r["root"] for r in rooted.collect()}
+        got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash._met_apart(rooted, plan, distance).collect()}
+        assert got == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance and roots[a] != roots[b]}
 
 
 def test_near_copies_by_similarity(spark):
