@@ -1,8 +1,13 @@
+import datetime as dt
+import time
+
 import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
-from tidewright.sources import gridded, packed, seeds
+from tidewright.operators import grid, months
+from tidewright.sources import daily, gridded, packed, seeds
+from tidewright.sources.files import list_files, open_input
 
 
 def records(n):
@@ -38,7 +43,8 @@ def test_trajectories(spark, tmp_path):
     lons, lats = (3.10, 3.13, -3.13, -3.10), (0.20, 0.21, 0.22, 0.23)
     rows = [(42, 7 + i, lons[i], lats[i]) for i in range(4)] + [(5, 1, 0.5, 0.1)]
     samples = spark.createDataFrame(rows, "seed_id bigint, idx bigint, lon double, lat double")
-    out = [r["path"] for r in packed.write_trajectories(samples, str(tmp_path / "t"), 10800, 946684800).collect()]
+    packed.write_trajectories(samples, str(tmp_path / "t"), 10800, 946684800)
+    out = list_files(str(tmp_path / "t"))
     back = spark.read.format("pkd2").load(",".join(out))
     got = back.where("seed_id = 42").orderBy("idx").collect()
     assert [x["lon"] for x in got] == pytest.approx([3.10, 3.13, 2 * np.pi - 3.13, 2 * np.pi - 3.10], abs=2.1e-6)
@@ -86,3 +92,95 @@ def test_stream_of_releases(spark, tmp_path):
     spark.range(10).withColumnRenamed("id", "seed_id").write.parquet(src)
     trace_releases(spark.readStream.schema("seed_id bigint").parquet(src), lambda b: b.withColumn("n", F.col("seed_id") * 2), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 90
+
+
+def test_writes_commit_whole_or_leave_nothing(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    rows = spark.range(0, 50_000, 1, 4).selectExpr("int(id) lon0_q", "int(-id) lat0_q", "int(id) lon1_q", "int(id) lat1_q", "id * 3 AS t0_s", "-id AS t1_s", "smallint(id % 200) flags")
+    packed.write_packed(rows, folder)
+    first = list_files(folder)
+    packed.write_packed(rows.limit(7), folder)
+    back = spark.read.format("pkd1").load(folder)
+    assert len(first) == 4 and set(first) < set(list_files(folder)) and back.count() == 50_007 and back.exceptAll(rows).count() == 7
+    assert sum(packed.gzip_header(open(p, "rb").read(64))[1] for p in list_files(folder)) == 50_007
+    broken = rows.withColumn("t0_s", F.when(F.col("t0_s") == 149_997, F.raise_error(F.lit("torn")).cast("bigint")).otherwise(F.col("t0_s")))
+    with pytest.raises(Exception, match="torn"):
+        packed.write_packed(broken, folder)
+    for _ in range(50):  # a task that is killed may still be at its last write
+        if (left := len(list((tmp_path / "out").iterdir()))) == 5:
+            break
+        time.sleep(0.1)
+    assert left == 5 and spark.read.format("pkd1").load(folder).count() == 50_007
+    packed.write_packed(rows.limit(3), folder, gzip=False, mode="overwrite")
+    assert len(list((tmp_path / "out").iterdir())) == 1 and spark.read.format("pkd1").load(folder).count() == 3
+
+
+def test_repeated_ids_and_filters_of_trajectories(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packed, "SPLIT_BLOCKS", 4)
+    blocks = [(seed, np.array([seed / 10, seed / 10 + n / 100]), np.array([0.0, 0.1])) for n, seed in enumerate([1, 2, 3, 1, 4, 5, 6, 7, 8, 2, 9])]
+    body, toc, at = b"", b"", packed.HEADER_2.size
+    for seed, lon, lat in blocks:
+        raw = packed.encode_block(seed, 0, 1, lon, lat)
+        data = packed.zlib.compress(raw)
+        toc += packed.ENTRY_2.pack(seed, at + len(body), len(data), len(raw), 2, 0, 1, 0)
+        body += data
+    (tmp_path / "x.pkd2").write_bytes(packed.HEADER_2.pack(packed.MAGIC_2, packed.VERSION_2, 1, packed.SCALE, 0, 10, 0, len(blocks), at + len(body)) + body + toc)
+    got = packed.read_trajectories(spark, str(tmp_path))
+    assert {(r["seed_id"], round(r["lon"] * 100)) for r in got.where("idx = 1").collect()} == {(1, 13), (2, 29), (3, 32), (4, 44), (5, 55), (6, 66), (7, 77), (8, 88), (9, 100)}
+    for test, want in (("seed_id = 2", {2}), ("seed_id IN (1, 9, 77)", {1, 9}), ("seed_id > 7", {8, 9}), ("seed_id <= 1", {1}), ("seed_id >= 3 AND seed_id < 5", {3, 4})):
+        assert {r["seed_id"] for r in got.where(test).collect()} == want and got.where(test).count() == 2 * len(want)
+    reader = packed.TrajectoryReader({"path": str(tmp_path)})
+    assert [(p.first, p.last) for p in reader.partitions()] == [(0, 4), (4, 8), (8, 11)]
+    read = []
+
+    class Watched:  # a task's reads: its header, its entries and its blocks, however long the table of contents
+        def __init__(self, path):
+            self.f = open(path, "rb")
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+    part = reader.partitions()[2]
+    monkeypatch.setattr(packed, "open_input", Watched)
+    list(reader.read(part))
+    assert read[:2] == [packed.HEADER_2.size, 3 * packed.ENTRY_2.size] and len(read) == 5
+
+
+def test_daily_files_hold_twelve_columns(spark, tmp_path):
+    rows = [(k, 0.1 * k, 0.2, -0.1, 0.3, 1 + k % 5, 3, 0.5, 10.0, 9.0, k % 2, k, f"2001-03-0{1 + k % 2}") for k in range(20)]
+    run = spark.createDataFrame(rows, "pid bigint, lon0 double, lat0 double, lon double, lat double, status int, valid_steps bigint, mean_speed double, path_length double, displacement double, lon_idx int, lat_idx int, release_day string")
+    daily.write_daily(run, str(tmp_path), 15, 3.0, 0.375, 0.08)
+    names = sorted(p.name for p in tmp_path.iterdir())
+    assert names == ["regular_grid_transport_2001_03_01_15m.nc", "regular_grid_transport_2001_03_02_15m.nc"]
+    with open_input(str(tmp_path / names[0])) as f:
+        file = gridded.ClassicFile(f)
+        assert list(file.variables) == list(daily.COLUMNS) and file.version == 5 and file.dims == [("particle", 6)]
+        assert file.attributes["title"] == daily.TITLE and file.attributes["release_time_seconds_since_2000"][0] == months.seconds(dt.date(2001, 3, 1)) and file.attributes["dt_hours"][0] == 3.0
+        assert file.variables["status"].attributes["flag_values"] == "1, 2, 3, 4, 5" and file.variables["path_length_m"].attributes["units"] == "m"
+        ids = file.slice(file.variables["particle_id"])
+        assert ids.tolist() == [k for k in range(0, 20, 2) if 1 + k % 5 < 4]
+    back = {r["particle_id"]: r for r in daily.read_daily(spark, str(tmp_path)).collect()}
+    assert set(back) == {k for k in range(20) if 1 + k % 5 < 4} and back[7]["lon_init_deg"] == pytest.approx(np.degrees(0.7), rel=1e-6) and back[7]["status"] == 3 and back[7]["lat_idx"] == 7
+    daily.write_daily(run, str(tmp_path / "shared"), 15, 3.0, 0.375, 0.08, omit_start_failures=False, shares=3)
+    assert daily.read_daily(spark, str(tmp_path / "shared")).count() == 20 and len(list((tmp_path / "shared").iterdir())) > 2
+
+
+def test_coast_rows_and_names(spark, tmp_path):
+    land = spark.range(20).selectExpr("CASE WHEN id < 12 THEN 1 ELSE 2 END AS domain", "19 - id AS cell_idx", "radians(id) AS lon", "radians(-id) AS lat")
+    seeds.write_coast(land, str(tmp_path / "coast"), 8)
+    got = spark.read.option("header", True).csv(str(tmp_path / "coast"))
+    assert got.columns == ["lon_deg", "lat_deg", "label"] and sorted(round(float(r["lon_deg"])) for r in got.collect()) == [3, 11, 19]
+    assert seeds.result_name("landed", "2001_03_01", 15) == "landed_2001_03_01_15m.pkd.gz"
+    s = spark.createDataFrame([(1, 2.0), (2, 3.0)], "cell_idx bigint, value double")
+    n = spark.createDataFrame([(1, True), (2, False)], "cell_idx bigint, sea boolean")
+    assert {(r["cell_idx"], r["value"]) for r in grid.masked(s, n).collect()} == {(1, 2.0), (2, None)}

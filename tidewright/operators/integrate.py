@@ -26,7 +26,7 @@ OK, STATUS_LANDED, NO_SEA, START_LAND, START_NO_SEA = 1, 2, 3, 4, 5
 LIFETIME_S, GRACE_S = 730 * 86400, 7 * 86400
 MOST_EMPTY, MOST_SPEED, MOST_FAST, STEP_SLACK = 10, 3.0, 4, 1.5
 #: Steps between cuts.
-CUT_EVERY = 16
+CUT_EVERY = 8
 
 
 class Run:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from tidewright.functions import dates, fixed, geo
 from tidewright.operators import fields, grid, integrate, interp, report, seeding, series, spatial, storage, trajectory
 from tidewright.plans import fixtures as fx
-from tidewright.sources import packed
+from tidewright.sources import daily, packed
 from tidewright.plans.fixtures import RADIUS, SHAPE, sql_angle, sql_metric2, sql_moved, sql_wrap, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,12 +473,73 @@ def euler_forward(spark, sf_dir):
     )
 
 
-@query()
+_DAILY_DAYS = 3
+#: Values of 32-bit columns, as numbers that are rounded after that.
+_F32 = lambda x, n: f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), {n}) + 0e0"
+
+
+@query(
+    _forward_sql(STEPS)
+    + f"""
+SELECT strftime(DATE '2001-03-01' + CAST(pid % {_DAILY_DAYS} AS INTEGER), '%Y_%m_%d') AS release_date, CAST(pid AS BIGINT) AS particle_id, CAST(pid % 50 AS INTEGER) AS lon_idx, CAST(pid // 50 AS INTEGER) AS lat_idx,
+  {_F32('degrees(lon0)', 3)} AS lon_init_deg, {_F32('degrees(lat0)', 3)} AS lat_init_deg, {_F32('degrees(lon)', 3)} AS lon_final_deg, {_F32('degrees(lat)', 3)} AS lat_final_deg,
+  {_F32('CASE WHEN valid_steps > 0 THEN speed_sum / valid_steps ELSE 0e0 END', 4)} AS mean_speed_m_per_s, {_F32('path_length', 1)} AS path_length_m, round({sql_angle('lon0', 'lat0', 'lon', 'lat')} * 637100e0, 0) + 0e0 AS displacement_10m,
+  CAST(valid_steps AS INTEGER) AS valid_steps, CAST(status AS INTEGER) AS status FROM s{STEPS} WHERE status NOT IN (4, 5)"""
+)
+def daily_result(spark, sf_dir):
+    """The forward run written as a NetCDF file for each release day, without failed starts, and read back; 32-bit values, so to fewer digits."""
+    folder = _folder(spark, "daily").removeprefix("file://")
+    run = _forward(spark, sf_dir).withColumns({"release_day": F.expr(f"date_add(DATE'2001-03-01', CAST(pid % {_DAILY_DAYS} AS INT))"), "lon_idx": F.col("pid") % 50, "lat_idx": F.floor(F.col("pid") / 50)})
+    daily.write_daily(run, folder, 15, 3.0, STEPS / 8, 0.08)
+    rounded = lambda c, n, by=1: (F.round(F.col(c).cast("double") / by, n) + F.lit(0.0))
+    back = daily.read_daily(spark, folder)
+    return back.select(
+        F.regexp_extract("file", r"transport_(\d{4}_\d\d_\d\d)_15m", 1).alias("release_date"), "particle_id", "lon_idx", "lat_idx", *[rounded(c, 3).alias(c) for c in ("lon_init_deg", "lat_init_deg", "lon_final_deg", "lat_final_deg")],
+        rounded("mean_speed_m_per_s", 4).alias("mean_speed_m_per_s"), rounded("path_length_m", 1).alias("path_length_m"), rounded("displacement_m", 0, 10).alias("displacement_10m"), "valid_steps", F.col("status").cast("int").alias("status"),
+    )
+
+
+#: A reconstruction runs over all slots of the samples, with velocities so many times as high that each guard is met, and a lifetime in steps.
+SLOT0, SLOT1, FASTER, R_LIFE = 12, 39, 14, 15
+
+
+def _reconstruct_sql() -> str:
+    near, fast = "coalesce(sum(w), 0) > 1e-8", f"{integrate.MOST_SPEED!r}"
+    out = [
+        with_tables("nodes", "samples", "particles").replace("nodes AS (", "nodes AS MATERIALIZED (").replace("samples AS (", "samples AS MATERIALIZED ("),
+        f"field AS MATERIALIZED (SELECT n.node_id, n.lon, n.lat, s.t_idx, s.u * {FASTER} AS u, s.v * {FASTER} AS v FROM nodes n JOIN samples s USING (node_id) WHERE n.sea)",
+        f"""s0 AS MATERIALIZED (SELECT pid, lon, lat, CAST({SLOT1} - pid % 5 AS BIGINT) AS init, CAST({SLOT1} - pid % 5 AS BIGINT) AS t, lon + 1e-3 AS stop_lon, lat AS stop_lat,
+  CASE WHEN pid % 3 = 0 THEN {SLOT1} - pid % 5 - pid % 17 END AS stop_t, 0 AS empty, 0 AS fast, CAST(NULL AS VARCHAR) AS cause FROM particles)""",
+    ]
+    moved = sql_moved(f"(-u * {DT})", f"(-v * {DT})", "lon", "lat")
+    records = []
+    for k, idx in enumerate(range(SLOT1, SLOT0 - 1, -1)):
+        live = f"cause IS NULL AND t = {idx} AND coalesce(t >= stop_t, true)"
+        out.append(f"near{k} AS (SELECT p.pid, n.u, n.v, {_W} AS w FROM s{k} p JOIN field n ON n.t_idx = {idx} AND abs(p.lat - n.lat) < {RADIUS!r} AND {_NEAR} WHERE {live})")
+        out.append(f"at{k} AS (SELECT p.*, CASE WHEN {near} THEN sum(w * u) / sum(w) ELSE 0e0 END AS u, CASE WHEN {near} THEN sum(w * v) / sum(w) ELSE 0e0 END AS v, count(w) AS n_nb FROM s{k} p LEFT JOIN near{k} USING (pid) GROUP BY ALL)")
+        out.append(f"""a{k} AS (SELECT *, {live} AS live, {live} AND coalesce(t = stop_t, false) AS stop, {live} AND NOT coalesce(t = stop_t, false) AND (init - t) * {DT} >= {R_LIFE * DT} AS old, sqrt(u * u + v * v) AS speed FROM at{k})""")
+        out.append(f"""b{k} AS (SELECT *, live AND NOT stop AND NOT old AS going, live AND NOT stop AND NOT old AND n_nb > 0 AS moving FROM a{k})""")
+        out.append(f"""c{k} AS (SELECT * REPLACE (CASE WHEN moving THEN CASE WHEN speed > {fast} THEN fast + 1 ELSE 0 END ELSE fast END AS fast,
+  CASE WHEN going AND NOT moving THEN empty + 1 WHEN moving THEN 0 ELSE empty END AS empty) FROM b{k})""")
+        out.append(f"""d{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN stop THEN 'seed0' WHEN old THEN 'life' WHEN going AND NOT moving AND empty > {integrate.MOST_EMPTY} THEN 'no_nb' WHEN moving AND fast > {integrate.MOST_FAST} THEN 'fast'
+  WHEN moving AND speed * {DT} > {integrate.MOST_SPEED * integrate.STEP_SLACK * DT!r} THEN 'step' ELSE cause END AS cause) FROM c{k})""")
+        out.append(f"""s{k + 1} AS MATERIALIZED (SELECT pid, CASE WHEN moving AND cause IS NULL THEN {sql_wrap(moved[0])} ELSE lon END AS lon, CASE WHEN moving AND cause IS NULL THEN {moved[1]} ELSE lat END AS lat, init,
+  CASE WHEN going AND cause IS NULL THEN t - 1 ELSE t END AS t, stop_lon, stop_lat, stop_t, empty, fast, cause FROM d{k})""")
+        records.append(f"SELECT pid, CAST({idx} AS BIGINT) AS idx, CASE WHEN stop THEN stop_lon ELSE lon END AS lon, CASE WHEN stop THEN stop_lat ELSE lat END AS lat, CASE WHEN moving THEN u END AS u, CASE WHEN moving THEN v END AS v FROM d{k} WHERE stop OR going")
+    last = SLOT1 - SLOT0 + 1
+    return ",\n".join(out) + f""",\nrecords AS ({" UNION ALL ".join(records)})
+SELECT r.pid AS seed_id, idx, {q6('r.lon')} AS lon, {q6('r.lat')} AS lat, {q6('u')} AS u, {q6('v')} AS v, cause AS stop_cause FROM records r JOIN s{last} e ON e.pid = r.pid"""
+
+
+@query(_reconstruct_sql())
 def euler_reconstruct(spark, sf_dir):
-    """Samples of backward reconstructions with stops, guards and null velocities; tested on small fields."""
-    seeds = fx.particles(spark, sf_dir).selectExpr("pid AS seed_id", "lon", "lat", f"{FIRST} AS init_idx", "lon AS stop_lon", "lat AS stop_lat", f"CASE WHEN pid % 3 = 0 THEN {FIRST - 2} END AS stop_idx")
-    samples, _ = integrate.reconstruct(seeds, lambda i: _field(spark, sf_dir, i), FIRST, FIRST - 2, DT, RADIUS, SHAPE)
-    return samples.select("seed_id", "idx", *[r6(F.col(c)).alias(c) for c in ("lon", "lat", "u", "v")])
+    """Samples of backward reconstructions over all slots, with why each ended: at its stop, by age, lost, or too fast."""
+    slots = fields.slots(fx.nodes(spark, sf_dir).where("sea"), _slots(spark, sf_dir).values.select("node_id", F.col("k").alias("t_idx"), (F.col("f_u") * FASTER).alias("u"), (F.col("f_v") * FASTER).alias("v")))
+    seeds = fx.particles(spark, sf_dir).selectExpr(
+        "pid AS seed_id", "lon", "lat", f"{SLOT1} - pid % 5 AS init_idx", "lon + 1e-3 AS stop_lon", "lat AS stop_lat", f"CASE WHEN pid % 3 = 0 THEN {SLOT1} - pid % 5 - pid % 17 END AS stop_idx"
+    )
+    samples, ends = integrate.reconstruct(seeds, slots, SLOT1, SLOT0, DT, RADIUS, SHAPE, R_LIFE * DT)
+    return samples.join(ends, "seed_id").select("seed_id", "idx", *[r6(F.col(c)).alias(c) for c in ("lon", "lat", "u", "v")], "stop_cause")
 
 
 # --- Windows over trajectories and streaks ---------------------------------------------------------------------------
@@ -538,27 +599,21 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{storage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(_sql["quantize_record"])
+@query("SELECT * EXCLUDE (pid) FROM (" + _sql["quantize_record"] + ")")
 def pkd1_roundtrip(spark, sf_dir):
-    """The packed records, written as gzip files and read back."""
-    records = quantize_record(spark, sf_dir)
-    packed.register(spark)
-    written = packed.write_packed(records.drop("pid"), _folder(spark, "pkd1"))
-    paths = [r["path"] for r in written.collect()]
-    back = spark.read.format("pkd1").load(",".join(paths)) if paths else records.drop("pid").limit(0)
-    # Times tell the particles apart here, and flags must agree.
-    return back.join(records.select("pid", "t0_s", "t1_s", "flags"), ["t0_s", "t1_s", "flags"]).select(*records.columns)
+    """The packed records, written as gzip files in two commits and read back: all columns of all records."""
+    records, folder = quantize_record(spark, sf_dir), _folder(spark, "pkd1")
+    packed.write_packed(records.where("pid % 2 = 0").drop("pid"), folder)
+    packed.write_packed(records.where("pid % 2 = 1").drop("pid"), folder)
+    return spark.read.format("pkd1").load(folder)
 
 
 @query(f"WITH {_TRAJ} SELECT seed_id, idx, idx * 10800 AS t_s, round(lat, 3) + 0e0 AS lat FROM traj WHERE (idx - 1) % 2 = 0")
 def pkd2_roundtrip(spark, sf_dir):
     """Trajectories packed with a stride of 2 and read back; latitudes to 3 digits, as rounded differences add up."""
-    packed.register(spark)
-    exact = _trajectories(spark, sf_dir).withColumn("lat", F.round("lat", 3))
-    written = packed.write_trajectories(exact, _folder(spark, "pkd2"), 10800, stride=2)
-    paths = [r["path"] for r in written.collect()]
-    back = spark.read.format("pkd2").load(",".join(paths)) if paths else spark.createDataFrame([], packed.SAMPLE_SCHEMA)
-    return back.select("seed_id", "idx", "t_s", (F.round("lat", 3) + F.lit(0.0)).alias("lat"))
+    exact, folder = _trajectories(spark, sf_dir).withColumn("lat", F.round("lat", 3)), _folder(spark, "pkd2")
+    packed.write_trajectories(exact, folder, 10800, stride=2)
+    return packed.read_trajectories(spark, folder).select("seed_id", "idx", "t_s", (F.round("lat", 3) + F.lit(0.0)).alias("lat"))
 
 
 # --- Reports ---------------------------------------------------------------------------------------------------------

@@ -274,40 +274,54 @@ def grid_meta(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_describe, "file string, variable string, type string, shape array<bigint>, times array<bigint>")
 
 
-def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]]) -> None:
-    """A CDF-2 file with fixed dimensions; attributes are strings or numbers."""
+def classic_header(dims: dict[str, int], variables: dict[str, tuple[list[str], np.dtype, dict]], texts: dict | None = None) -> tuple[bytes, list[int]]:
+    """The header of a file with fixed dimensions, and how many zero bytes follow each variable's values.
+
+    ``variables``: dimensions, type and attributes (strings or numbers); ``texts``: attributes of the file. CDF-5 where a type needs it, else CDF-2.
+    """
     kinds = {np.dtype(t).newbyteorder("="): k for k, t in TYPES.items() if k != 2}
     pad = lambda b: b + b"\0" * (-len(b) % 4)
-    name = lambda s: struct.pack(">i", len(s.encode())) + pad(s.encode())
+    kind_of = lambda x: kinds[np.dtype(x).newbyteorder("=")]
+    numbers = [kind_of(np.asarray(x).dtype) for a in (texts or {}, *(v[2] for v in variables.values())) for x in a.values() if not isinstance(x, str)]
+    wide = max([*numbers, *(kind_of(t) for _, t, _ in variables.values())], default=0) >= 7
+    size = (lambda n: struct.pack(">q", n)) if wide else (lambda n: struct.pack(">i", n))
+    name = lambda s: size(len(s.encode())) + pad(s.encode())
+    tag = lambda t, n: struct.pack(">i", t if n else 0) + size(n)
 
     def attributes(a: dict) -> bytes:
-        out = struct.pack(">ii", ATTRIBUTES if a else 0, len(a))
+        out = tag(ATTRIBUTES, len(a))
         for k, x in a.items():
             if isinstance(x, str):
-                out += name(k) + struct.pack(">ii", 2, len(x.encode())) + pad(x.encode())
+                out += name(k) + struct.pack(">i", 2) + name(x)
             else:
                 x = np.atleast_1d(np.asarray(x))
-                out += name(k) + struct.pack(">ii", kinds[x.dtype.newbyteorder("=")], len(x)) + pad(x.astype(x.dtype.newbyteorder(">")).tobytes())
+                out += name(k) + struct.pack(">i", kind_of(x.dtype)) + size(len(x)) + pad(x.astype(x.dtype.newbyteorder(">")).tobytes())
         return out
 
     order = list(dims)
-    bodies = {n: pad(np.ascontiguousarray(a).astype(a.dtype.newbyteorder(">")).tobytes()) for n, (_, a, _) in variables.items()}
+    lengths = {n: prod(dims[d] for d in ds) * np.dtype(t).itemsize for n, (ds, t, _) in variables.items()}
 
     def header(begins: dict[str, int]) -> bytes:
-        out = b"CDF\2" + struct.pack(">i", 0) + struct.pack(">ii", DIMENSIONS, len(dims)) + b"".join(name(d) + struct.pack(">i", n) for d, n in dims.items()) + attributes({})
-        out += struct.pack(">ii", VARIABLES, len(variables))
-        for n, (ds, a, attrs) in variables.items():
-            out += name(n) + struct.pack(">i", len(ds)) + b"".join(struct.pack(">i", order.index(d)) for d in ds) + attributes(attrs)
-            out += struct.pack(">iiq", kinds[a.dtype.newbyteorder("=")], len(bodies[n]), begins[n])
+        out = (b"CDF\5" if wide else b"CDF\2") + size(0) + tag(DIMENSIONS, len(dims)) + b"".join(name(d) + size(n) for d, n in dims.items()) + attributes(texts or {})
+        out += tag(VARIABLES, len(variables))
+        for n, (ds, t, attrs) in variables.items():
+            out += name(n) + size(len(ds)) + b"".join(size(order.index(d)) for d in ds) + attributes(attrs)
+            out += struct.pack(">i", kind_of(t)) + size(-(-lengths[n] // 4) * 4) + struct.pack(">q", begins[n])
         return out
 
     at, begins = len(header(dict.fromkeys(variables, 0))), {}
-    for n, body in bodies.items():
-        begins[n], at = at, at + len(body)
+    for n, length in lengths.items():
+        begins[n], at = at, at + -(-length // 4) * 4
+    return header(begins), [-length % 4 for length in lengths.values()]
+
+
+def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]], texts: dict | None = None) -> None:
+    """A classic file with fixed dimensions; attributes are strings or numbers."""
+    head, paddings = classic_header(dims, {n: (ds, a.dtype, attrs) for n, (ds, a, attrs) in variables.items()}, texts)
     with open_output(path) as out:
-        out.write(header(begins))
-        for body in bodies.values():
-            out.write(body)
+        out.write(head)
+        for (_, a, _), padding in zip(variables.values(), paddings, strict=True):
+            out.write(np.ascontiguousarray(a).astype(a.dtype.newbyteorder(">")).tobytes() + bytes(padding))
 
 
 #: Nodes of a domain are numbered from its place in the list times this.

@@ -1,7 +1,8 @@
 """Packed particle records (PKD1, plain and gzip) and packed trajectories (PKD2): Python data sources and writers.
 
 Plain files are split by record ranges, PKD2 files by entries of their table of contents, gzip files are read whole by a task
-(their members can't be split) in bounded blocks. Writers make one finished file for each task.
+(their members can't be split) in bounded blocks. ``df.write.format("pkd1")`` and ``("pkd2")`` make a file for each task, streamed in
+bounded memory and published by the commit (``spool``); a task that fails leaves nothing.
 """
 
 from __future__ import annotations
@@ -11,18 +12,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from tidewright.functions.geo import clamp_lat
 from tidewright.operators.trajectory import decimate, unwrap
-from tidewright.sources.files import list_files, make_folder, open_input, open_output
+from tidewright.sources.files import list_files, open_input, open_output
+from tidewright.sources.spool import Spool, SpoolWriter, finish
 
 # The formats' layouts (little-endian), magic words, versions and scale.
 RECORD = np.dtype([("lon0_q", "<i4"), ("lat0_q", "<i4"), ("lon1_q", "<i4"), ("lat1_q", "<i4"), ("t0_s", "<i8"), ("t1_s", "<i8"), ("flags", "u1")])
@@ -169,28 +169,42 @@ class PackedSource(DataSource):
     def reader(self, schema) -> PackedReader:
         return PackedReader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> PackedWriter:
+        return PackedWriter(self.options, overwrite)
 
-def _write_records(frames: Iterator[pd.DataFrame], folder: str, gzip: bool) -> Iterator[pd.DataFrame]:
-    """A file for each task. Its header states the number of records, so members wait compressed; plain rows are 33 bytes each."""
-    blocks, n = [], 0
-    for frame in frames:
-        if len(frame):
-            data = frame[list(RECORD.names)].to_records(index=False).astype(RECORD).tobytes()
-            blocks.append(gzip_member(data, None) if gzip else data)
-            n += len(frame)
-    if blocks:
-        path = f"{folder}/{uuid.uuid4().hex}.pkd" + ".gz" * gzip
-        with open_output(path) as out:
-            out.write(gzip_member(b"", header_1(0, n)) if gzip else header_1())
-            for block in blocks:
-                out.write(block)
-        yield pd.DataFrame({"path": [path], "records": [n]})
 
+def spool_records(batches: Iterator[pa.RecordBatch], folder: str, gzip: bool, released: int, mark: str, spools: list[Spool]) -> Iterator[str]:
+    """One hidden file of all records: gzip members of a batch each, or plain rows. The header with their number comes before them."""
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.empty(batch.num_rows, dtype=RECORD)
+        for name in RECORD.names:
+            rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
+        if not spools:
+            spools.append(Spool(folder, mark))
+        spools[0].add(gzip_member(rows.tobytes(), None) if gzip else rows.tobytes())
+        n += len(rows)
+    if n:
+        head = gzip_member(b"", header_1(released, n)) if gzip else header_1(released, n)
+        yield finish(folder, mark, f"{uuid.uuid4().hex}.pkd" + ".gz" * gzip, head, spools.pop())
+
+
+class PackedWriter(SpoolWriter):
+    def __init__(self, options, overwrite: bool) -> None:
+        super().__init__(options["path"], overwrite)
+        self.gzip, self.released = options.get("compression", "gzip") == "gzip", int(options.get("released", "0"))
+
+    def files(self, batches: Iterator[pa.RecordBatch], spools: list[Spool]) -> Iterator[str]:
+        return spool_records(batches, self.folder, self.gzip, self.released, self.mark, spools)
 
-def write_packed(records: DataFrame, folder: str, gzip: bool = True) -> DataFrame:
-    """Writes ``RECORD_SCHEMA`` rows, one file for each task: ``path, records``. Names are new, so a repeated task does no harm."""
-    make_folder(folder)
-    return records.mapInPandas(partial(_write_records, folder=folder, gzip=gzip), "path string, records bigint")
+
+def write_packed(records: DataFrame, folder: str, gzip: bool = True, mode: str = "append") -> None:
+    """Writes ``RECORD_SCHEMA`` rows into a folder, one file for each task that has any; all appear at the commit."""
+    register(records.sparkSession)
+    typed = records.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in RECORD_SCHEMA.split(", "))])
+    typed.write.format("pkd1").mode(mode).option("compression", "gzip" if gzip else "none").save(folder)
 
 
 # --- PKD2 ------------------------------------------------------------------------------------------------------------
@@ -210,50 +224,61 @@ def decode_block(raw: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
     return seed_id, start, stride, lon, lat
 
 
-def _write_blocks(frames: Iterator[pd.DataFrame], folder: str, dt: int, epoch: int, stride: int) -> Iterator[pd.DataFrame]:
-    toc: list[bytes] = []
-    body: list[bytes] = []
-    at = HEADER_2.size
-    held: list[pd.DataFrame] = []
+def spool_blocks(batches: Iterator[pa.RecordBatch], folder: str, dt: int, epoch: int, stride: int, mark: str, spools: list[Spool]) -> Iterator[str]:
+    """One hidden file of a task's trajectories, whose rows come in order of (seed, idx): one trajectory is held at a time.
+
+    Blocks and entries go to a spool each, as the header before them names the number of entries and their place.
+    """
+    n, held = 0, []
 
     def close() -> None:
-        nonlocal at
-        whole = pd.concat(held)
+        nonlocal n
+        seed, idx, lon, lat = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
-        seed, first = int(whole["seed_id"].iloc[0]), int(whole["idx"].iloc[0])
-        raw = encode_block(seed, first, stride, whole["lon"].to_numpy(), whole["lat"].to_numpy())
-        body.append(zlib.compress(raw))
-        toc.append(ENTRY_2.pack(seed, at, len(body[-1]), len(raw), len(whole), first, stride, 0))
-        at += len(body[-1])
-
-    for frame in frames:
-        for seed, part in frame.groupby("seed_id", sort=False):
-            if held and held[0]["seed_id"].iloc[0] != seed:
-                close()
-            held.append(part)
+        raw = encode_block(int(seed[0]), int(idx[0]), stride, lon, lat)
+        packed = zlib.compress(raw)
+        if not spools:
+            spools.extend((Spool(folder, mark), Spool(folder, mark)))
+        spools[1].add(ENTRY_2.pack(int(seed[0]), HEADER_2.size + spools[0].size, len(packed), len(raw), len(lon), int(idx[0]), stride, 0))
+        spools[0].add(packed)
+        n += 1
+
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed_id", "idx", "lon", "lat")]
+        edges = np.flatnonzero(np.diff(columns[0])) + 1
+        for part in zip(*(np.split(c, edges) for c in columns), strict=True):
+            if len(part[0]):
+                if held and held[0][0][0] != part[0][0]:
+                    close()
+                held.append(part)
     if held:
         close()
-    if toc:
-        # The header names the place of the table of contents, so a stream needs the (compressed) blocks first.
-        path = f"{folder}/{uuid.uuid4().hex}.pkd2"
-        with open_output(path) as out:
-            out.write(HEADER_2.pack(MAGIC_2, VERSION_2, 1, SCALE, epoch, dt, 0, len(toc), at))
-            for block in body:
-                out.write(block)
-            out.write(b"".join(toc))
-        yield pd.DataFrame({"path": [path], "trajectories": [len(toc)]})
+    if n:
+        body, entries = spools
+        head = HEADER_2.pack(MAGIC_2, VERSION_2, 1, SCALE, epoch, dt, 0, n, HEADER_2.size + body.size)
+        spools.clear()
+        yield finish(folder, mark, f"{uuid.uuid4().hex}.pkd2", head, body, entries)
+
+
+class TrajectoryWriter(SpoolWriter):
+    def __init__(self, options, overwrite: bool) -> None:
+        super().__init__(options["path"], overwrite)
+        self.dt, self.epoch, self.stride = (int(options.get(c, d)) for c, d in (("dt", "1"), ("epoch", "0"), ("stride", "1")))
+
+    def files(self, batches: Iterator[pa.RecordBatch], spools: list[Spool]) -> Iterator[str]:
+        return spool_blocks(batches, self.folder, self.dt, self.epoch, self.stride, self.mark, spools)
 
 
-def write_trajectories(samples: DataFrame, folder: str, dt: int, epoch: int = 0, stride: int = 1, key: str = "seed_id", order: str = "idx") -> DataFrame:
-    """Writes samples (``seed_id, idx, lon, lat``), one PKD2 file for each task: ``path, trajectories``.
+def write_trajectories(samples: DataFrame, folder: str, dt: int, epoch: int = 0, stride: int = 1, key: str = "seed_id", order: str = "idx", mode: str = "append") -> None:
+    """Writes samples (``seed_id, idx, lon, lat``) into a folder, one PKD2 file for each task that has any; all appear at the commit.
 
     Unwrapping and decimation are windows; a task then takes its rows in order and holds one trajectory at a time.
     """
-    make_folder(folder)
+    register(samples.sparkSession)
     ready = decimate(unwrap(samples, key, order), stride, key, order) if stride > 1 else unwrap(samples, key, order)
-    ready = ready.select(F.col(key).alias("seed_id"), F.col(order).alias("idx"), F.col("lon_unwrapped").alias("lon"), clamp_lat(F.col("lat")).alias("lat"))
+    ready = ready.select(F.col(key).cast("bigint").alias("seed_id"), F.col(order).cast("bigint").alias("idx"), F.col("lon_unwrapped").alias("lon"), clamp_lat(F.col("lat")).alias("lat"))
     sorted_rows = ready.repartition("seed_id").sortWithinPartitions("seed_id", "idx")
-    return sorted_rows.mapInPandas(partial(_write_blocks, folder=folder, dt=dt, epoch=epoch, stride=stride), "path string, trajectories bigint")
+    sorted_rows.write.format("pkd2").mode(mode).option("dt", dt).option("epoch", epoch).option("stride", stride).save(folder)
 
 
 def read_head(f, path: str) -> tuple[int, int, int, int]:
@@ -267,65 +292,118 @@ def read_head(f, path: str) -> tuple[int, int, int, int]:
     return epoch, dt, n, offset
 
 
+def read_entries(f, path: str, offset: int, first: int, last: int) -> np.ndarray:
+    """Entries ``first`` to ``last`` (not included) of a table of contents: only their bytes are read."""
+    f.seek(offset + first * ENTRY_2.size)
+    data = f.read((last - first) * ENTRY_2.size)
+    if len(data) < (last - first) * ENTRY_2.size:
+        raise ValueError(f"{path} ends within its table of contents")
+    return np.frombuffer(data, dtype=ENTRY)
+
+
 def read_toc(path: str) -> tuple[int, int, list[tuple]]:
-    """Epoch, dt and entries; of entries with equal ids the last one counts."""
+    """Epoch, dt and entries of one file; of entries with equal ids the last one counts."""
     with open_input(path) as f:
         epoch, dt, n, offset = read_head(f, path)
-        f.seek(offset)
-        data = f.read(n * ENTRY_2.size)
-    if len(data) < n * ENTRY_2.size:
-        raise ValueError(f"{path} ends within its table of contents")
-    return epoch, dt, list({e[0]: e for e in ENTRY_2.iter_unpack(data)}.values())
+        entries = read_entries(f, path, offset, 0, n)
+    return epoch, dt, list({int(e["seed"]): tuple(e.tolist()) for e in entries}.values())
+
+
+#: An entry of a table of contents, as ``ENTRY_2`` packs it.
+ENTRY = np.dtype([("seed", "<u8"), ("offset", "<u8"), ("size", "<u4"), ("raw", "<u4"), ("points", "<u4"), ("start", "<i4"), ("stride", "<u2"), ("flags", "<u2")])
 
 
 @dataclass
 class BlockRange(InputPartition):
     path: str
-    start: int
-    only: int | None
+    first: int
+    last: int
 
 
 class TrajectoryReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path, self.only = path, None
+    """Samples of all blocks. A task reads the entries of its own range, whatever the size of the file.
+
+    Filters on ``seed_id`` (=, IN, <, <=, >, >=) are answered from the entries, before a block is read. Of entries with equal ids the last one
+    of a task counts; ``read_trajectories`` settles those that lie further apart in a file. The option ``places`` adds ``file, place``, the
+    number of a block's entry; with ``toc`` that and the id are all that is read.
+    """
+
+    def __init__(self, options) -> None:
+        self.path, self.tests = options["path"], []
+        self.places, self.toc = options.get("places") == "true", options.get("toc") == "true"
 
     def pushFilters(self, filters: list) -> Iterator:
-        """``seed_id = x`` is answered from the table of contents."""
+        kinds = {EqualTo: "==", In: "in", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("seed_id",):
-                self.only = f.value if self.only in (None, f.value) else -1
+            if type(f) in kinds and f.attribute == ("seed_id",):
+                self.tests.append((kinds[type(f)], f.value))
             else:
                 yield f
 
     def partitions(self) -> list[BlockRange]:
-        """Ranges of a file's entries; the driver reads headers only, each task the table of contents of its file."""
+        """Ranges of a file's entries; the driver reads headers only."""
         parts: list[BlockRange] = []
         for path in list_files(self.path):
             with open_input(path) as f:
                 n = read_head(f, path)[2]
-            parts += [BlockRange(path, at, self.only) for at in range(0, n if self.only is None else min(n, 1), SPLIT_BLOCKS)]
+            parts += [BlockRange(path, at, min(n, at + SPLIT_BLOCKS)) for at in range(0, n, SPLIT_BLOCKS)]
         return parts
 
+    def _wanted(self, seed: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(seed), dtype=bool)
+        seed = seed.astype(np.int64)
+        for kind, value in self.tests:
+            keep &= (
+                seed == value if kind == "==" else np.isin(seed, value) if kind == "in" else seed > value if kind == ">" else seed >= value if kind == ">=" else seed < value if kind == "<" else seed <= value
+            )
+        return keep
+
+    def _entries(self, f, part: BlockRange, offset: int) -> tuple[np.ndarray, np.ndarray]:
+        """The range's entries that are wanted, the last of each id, and their places in the file."""
+        own = read_entries(f, part.path, offset, part.first, part.last)
+        keep = np.ones(len(own), dtype=bool)
+        if not self.toc:
+            keep[:] = False
+            keep[list({int(s): k for k, s in enumerate(own["seed"])}.values())] = True
+        at = np.flatnonzero(keep & self._wanted(own["seed"]))
+        return own[at], at + part.first
+
     def read(self, partition: BlockRange) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, BlockRange):  # no file, or none with the seed
+        if not isinstance(partition, BlockRange):  # no file
             return
-        epoch, dt, entries = read_toc(partition.path)
-        if partition.only is None:
-            entries = entries[partition.start : partition.start + SPLIT_BLOCKS]
-        else:
-            entries = [e for e in entries if e[0] == partition.only]
         with open_input(partition.path) as f:
-            for _, offset, size, raw_size, *_ in entries:
-                f.seek(offset)
-                raw = zlib.decompress(f.read(size))
-                if len(raw) != raw_size:
+            epoch, dt, _, toc = read_head(f, partition.path)
+            entries, places = self._entries(f, partition, toc)
+            if self.toc:
+                yield pa.record_batch([pa.array([partition.path] * len(entries), pa.string()), pa.array(places), pa.array(entries["seed"].astype(np.int64))], names=["file", "place", "seed_id"])
+                return
+            for entry, place in zip(entries, places.tolist(), strict=True):
+                f.seek(int(entry["offset"]))
+                raw = zlib.decompress(f.read(int(entry["size"])))
+                if len(raw) != entry["raw"]:
                     raise ValueError("a block has another size than its entry says")
                 seed_id, start, stride, lon, lat = decode_block(raw)
                 idx = start + np.arange(len(lon), dtype=np.int64) * stride
-                yield pa.record_batch(
-                    [pa.array(np.full(len(lon), seed_id, dtype=np.int64)), pa.array(idx), pa.array(epoch + idx * dt), pa.array(lon), pa.array(lat)],
-                    names=["seed_id", "idx", "t_s", "lon", "lat"],
-                )
+                columns = [pa.array(np.full(len(lon), seed_id, dtype=np.int64)), pa.array(idx), pa.array(epoch + idx * dt), pa.array(lon), pa.array(lat)]
+                names = ["seed_id", "idx", "t_s", "lon", "lat"]
+                if self.places:
+                    columns += [pa.array([partition.path] * len(lon)), pa.array(np.full(len(lon), place, dtype=np.int64))]
+                    names += ["file", "place"]
+                yield pa.record_batch(columns, names=names)
+
+
+def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of all files; where a file has several blocks of an id, those of the last one, however far apart they lie.
+
+    Repeated ids come from an aggregation of the entries, which tasks read in slices; usually there are none, and the anti join is with
+    an empty table.
+    """
+    register(spark)
+    read = lambda option: spark.read.format("pkd2").option(option, "true").load(path)
+    again = read("toc").groupBy("file", "seed_id").agg(F.max("place").alias("last"), F.count("*").alias("n")).where("n > 1").select("file", "seed_id", "last")
+    samples = read("places")
+    same = (samples["file"] == again["file"]) & (samples["seed_id"] == again["seed_id"]) & (samples["place"] < again["last"])
+    return samples.join(again, same, "left_anti").drop("file", "place")
 
 
 class TrajectorySource(DataSource):
@@ -336,10 +414,15 @@ class TrajectorySource(DataSource):
         return "pkd2"
 
     def schema(self) -> str:
-        return SAMPLE_SCHEMA
+        if self.options.get("toc") == "true":
+            return "file string, place bigint, seed_id bigint"
+        return SAMPLE_SCHEMA + (", file string, place bigint" if self.options.get("places") == "true" else "")
 
     def reader(self, schema) -> TrajectoryReader:
-        return TrajectoryReader(self.options["path"])
+        return TrajectoryReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> TrajectoryWriter:
+        return TrajectoryWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

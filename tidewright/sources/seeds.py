@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.functions.geo import wrap_lon
 from tidewright.operators.trajectory import ends
-from tidewright.sources.packed import register
+from tidewright.sources.packed import read_trajectories
 
 #: The columns of a seed table.
 COLUMNS = {"seed_id": "bigint", "lon_rad": "double", "lat_rad": "double", "t_start_s": "bigint"}
@@ -28,8 +28,7 @@ def seeds_from_trajectories(spark: SparkSession, path: str, point: str = "last")
     if point not in ("first", "last"):
         raise ValueError("point must be first or last")
     other = "first" if point == "last" else "last"
-    register(spark)
-    e = ends(spark.read.format("pkd2").load(path), ["lon", "lat", "t_s"])
+    e = ends(read_trajectories(spark, path), ["lon", "lat", "t_s"])
     at = lambda p: (wrap_lon(F.col(f"{p}_lon")).alias("lon"), F.col(f"{p}_lat").alias("lat"), F.col(f"{p}_t_s").alias("t_s"))
     return e.select("seed_id", *at(point), F.struct(*at(other)).alias("stop"))
 
@@ -47,13 +46,6 @@ def result_name(kind: str, day_tag: str, level: int, suffix: str = "pkd.gz") ->
     return f"{kind}_{day_tag}_{level}m.{suffix}"
 
 
-def write_daily(results: DataFrame, folder: str, day: str = "release_day") -> None:
-    """A folder of Parquet for each release day, without those that failed to start."""
-    from tidewright.operators.report import without_start_failures
-
-    without_start_failures(results).write.partitionBy(day).parquet(folder)
-
-
 def write_coast(land: DataFrame, folder: str, stride: int = 8) -> None:
     from tidewright.operators.grid import coast_rows
 
