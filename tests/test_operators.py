@@ -129,6 +129,21 @@ def test_seed_errors(spark):
     assert geo.EARTH_RADIUS_M == 6371000.0
 
 
+def test_nearest_equals_brute_force_far_and_near(spark):
+    rng = np.random.default_rng(4)
+    place = lambda n: np.c_[rng.uniform(-np.pi, np.pi, n), np.arcsin(rng.uniform(-1, 1, n))]
+    nodes = np.concatenate([[0.3, 0.2] + rng.uniform(-0.02, 0.02, (80, 2)), [[np.pi - 1e-3, 0.0], [2.0, np.pi / 2 - 1e-3], [-2.0, -1.5]]])
+    nodes = np.concatenate([nodes, nodes[:5]])  # equally near ones: the smallest number counts
+    points = np.concatenate([place(120), [0.3, 0.2] + rng.uniform(-0.05, 0.05, (60, 2)), [[-np.pi + 1e-4, 0.01], [0.0, np.pi / 2], [0.0, -np.pi / 2]]])
+    east = np.pi - np.mod(np.pi - (points[:, None, 0] - nodes[None, :, 0]), 2 * np.pi)
+    d2 = (east * np.cos((points[:, None, 1] + nodes[None, :, 1]) / 2)) ** 2 + (points[:, None, 1] - nodes[None, :, 1]) ** 2
+    frame = lambda a, name: spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(a)], f"{name} bigint, lon double, lat double")
+    got = {r["pid"]: (r["node_id"], r["d2"]) for r in spatial.nearest(frame(points, "pid"), frame(nodes, "node_id"), 0.005, "pid").collect()}
+    assert len(got) == len(points)
+    for k, row in enumerate(d2):
+        assert got[k][1] == pytest.approx(row.min(), rel=1e-9, abs=1e-15) and row[got[k][0]] == pytest.approx(row.min(), rel=1e-9, abs=1e-15) and got[k][0] < 83
+
+
 def test_nearest_over_many_doublings_and_thinning(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0)], "node_id bigint, lon double, lat double")
     points = spark.createDataFrame([(7, 0.9, 0.5), (8, 0.001, 0.0)], "pid bigint, lon double, lat double")

@@ -14,7 +14,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from tidewright.functions.geo import metric2, wrap_lon
-from tidewright.operators.storage import cut_lineage, new_folder
+from tidewright.operators.storage import cut_lineage
 
 #: Cell entries (some 60 bytes each) that are broadcast; beyond, joins shuffle by cell.
 BROADCAST_ENTRIES = 500_000
@@ -92,25 +92,54 @@ def coast_band(points: DataFrame, sea: DataFrame, land: DataFrame, sea_tolerance
     return near(not_nearer(near(points, sea, sea_tolerance), land, land_least), land, land_most)
 
 
+def _leveled(nodes: DataFrame, radii: list[float], levels: list[int]) -> DataFrame:
+    """Cell entries of nodes at several radii, ``level`` being a radius' number."""
+    out = None
+    for n in levels:
+        one = bin_nodes(nodes, radii[n], small=False).withColumn("level", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _best(points: DataFrame, nodes: DataFrame, radii: list[float], key: str, node: str) -> DataFrame:
+    """For points (``key, lon, lat, level``) the nearest of the nodes that are entered in their cell at their level."""
+    levels = sorted(r["level"] for r in points.select("level").distinct().collect())  # a dozen numbers at most
+    if not levels:
+        return points.select(key, "lon", "lat", "level", F.lit(None).cast("double").alias("d2"), F.lit(None).cast(nodes.schema[node].dataType).alias(node))
+    cell = F.coalesce(*[F.when(F.col("level") == n, _place(radii[n])) for n in levels])
+    asked = points.withColumn("p", cell).select(key, "lon", "lat", "level", "p.*")
+    hits = asked.join(_leveled(nodes, radii, levels), ["level", "cx", "cy"])
+    best = hits.groupBy(key, "lon", "lat", "level").agg(F.min(F.struct(distance2().alias("d2"), node)).alias("best"))
+    return best.select(key, "lon", "lat", "level", "best.d2", f"best.{node}")
+
+
+def _place(radius: float) -> Column:
+    row = _row(F.col("lat"), radius)
+    return F.struct(_cell(F.col("lon"), _cells(row, radius)).alias("cx"), row.alias("cy"))
+
+
 def nearest(points: DataFrame, nodes: DataFrame, radius: float, key: str, node: str = "node_id") -> DataFrame:
     """``key, node, d2`` of the nearest node (the smallest number of equally near ones).
 
-    Looks within ``radius``, then within twice that for the points that found none, and so on; up to the whole sphere. What a
-    round finds, and whom it leaves, are written to the shared folder, so a round's plan doesn't hold those before.
+    Radii from ``radius`` on double up to the whole sphere; each has its own cells. One pass finds for each point the finest of them at which
+    nodes are entered in its cell, and the nearest of those bounds the distance: if it lies within the radius, it is the nearest of all. The
+    other points look once more, at the first radius beyond their bound. So there are three joins, however far points lie.
     """
-    spark = points.sparkSession
-    folder, left = new_folder(spark, "nearest"), points.select(key, "lon", "lat")
-    turn = 0
     if nodes.isEmpty():
         raise ValueError("no nodes")
-    while True:
-        hits = radius_join(left, bin_nodes(nodes.select(node, "lon", "lat"), radius), radius)
-        best = hits.groupBy(key).agg(F.min(F.struct("d2", node)).alias("best")).select(key, f"best.{node}", "best.d2")
-        best = cut_lineage(best, f"{folder}/turn={turn}")
-        left = cut_lineage(left.join(best.select(key), key, "left_anti"))
-        if radius > 2 * pi or left.isEmpty():
-            return spark.read.schema(best.schema).parquet(folder).select(best.columns)
-        radius, turn = 2 * radius, turn + 1
+    radii = [radius]
+    while radii[-1] <= 2 * pi:
+        radii.append(2 * radii[-1])
+    places, asked = nodes.select(node, "lon", "lat"), points.select(key, "lon", "lat")
+    occupied = _leveled(places.select("lon", "lat"), radii, list(range(len(radii)))).select("level", "cx", "cy").distinct()
+    cells = F.array(*[F.struct(F.lit(n).alias("level"), _place(r).alias("p")) for n, r in enumerate(radii)])
+    looked = asked.withColumn("c", F.explode(cells)).select(key, "lon", "lat", "c.level", "c.p.cx", "c.p.cy")
+    finest = looked.join(occupied, ["level", "cx", "cy"], "left_semi").groupBy(key, "lon", "lat").agg(F.min("level").alias("level"))
+    bound = cut_lineage(_best(cut_lineage(finest), places, radii, key, node))
+    squares = F.array(*[F.lit(r * r) for r in radii])
+    within = F.col("d2") < F.get(squares, F.col("level"))
+    again = bound.where(~within).withColumn("level", F.size(F.filter(squares, lambda x: x <= F.col("d2")))).drop("d2", node)
+    return bound.where(within).unionByName(_best(cut_lineage(again), places, radii, key, node)).select(key, node, "d2")
 
 
 def node_pairs(nodes: DataFrame, radius: float, node: str = "node_id") -> DataFrame:
