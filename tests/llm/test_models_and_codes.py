@@ -194,3 +194,19 @@ def test_resampling_of_awkward_rows(spark):
     assert resampling.resample(docs.limit(0), target).count() == 0 and resampling.resample(docs, target.limit(0)).where("rank = 1").count() == 1
     twice = resampling.resample(docs.union(docs).union(spark.createDataFrame([(None, "alpha " * 30, "x", 1)], docs.schema)), target).toPandas()
     assert len(twice) == 2 * len(rows) + 1 and sorted(twice["rank"].dropna()) == list(range(1, int(twice["rank"].max()) + 1)) and twice["rank"].max() == (2 * 22 + 1) * 25 // 100
+
+
+# --- pipeline ---
+
+
+def test_first_stages_equal_sql_and_predictions(spark, duck):
+    import corpus_pipeline
+    from tidewright.llm import langid, queries
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.quality_rules(spark, docs, folder)
+    want = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({queries.OP10_SQL}) WHERE kept").fetchall()}
+    assert {r["doc_id"] for r in kept.collect()} == want and 0 < len(want) < docs.count() and kept.columns == docs.columns
+    told = langid.identify(kept, langid.train(kept)).where("lang_pred <> 'und' AND NOT ambiguous")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, kept, folder).collect()} == {r["doc_id"] for r in told.collect()}
