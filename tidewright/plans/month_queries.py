@@ -50,16 +50,15 @@ def _write_day(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataF
 
     for frame in frames:
         for row in frame.itertuples(index=False):
-            cells = pd.DataFrame([c.asDict() if hasattr(c, "asDict") else dict(c) for c in row.cells]).sort_values(["j", "i"])
-            lon, lat = np.sort(cells["i"].unique()), np.sort(cells["j"].unique())
+            lon, lat = np.unique(row.i), np.unique(row.j)
             day = DAY0 + dt.timedelta(days=int(row.d))
             path = f"{folder}/d{row.domain}_{day:%Y%m%d}_{LEVEL:04d}.nc"
-            grid = lambda c: cells[c].astype(float).fillna(MISSING).to_numpy().reshape(1, len(lat), len(lon))  # noqa: E731, B023
+            grid = lambda c: np.nan_to_num(np.asarray(c, dtype=float), nan=MISSING).reshape(1, len(lat), len(lon))  # noqa: E731, B023
             write_classic(path, {"time": 1, "lat": len(lat), "lon": len(lon)}, {
                 "time": (["time"], np.array([months.seconds(day)], dtype=np.float64), {"units": "seconds since 2000-01-01"}),
                 "lon": (["lon"], 100.0 + 0.08 * lon, {}), "lat": (["lat"], -16.0 + 0.08 * lat, {}),
-                "water_u": (["time", "lat", "lon"], grid("u"), {"_FillValue": np.float64(MISSING)}),
-                "water_v": (["time", "lat", "lon"], grid("v"), {"_FillValue": np.float64(MISSING)}),
+                "water_u": (["time", "lat", "lon"], grid(row.u), {"_FillValue": np.float64(MISSING)}),
+                "water_v": (["time", "lat", "lon"], grid(row.v), {"_FillValue": np.float64(MISSING)}),
             })
             yield pd.DataFrame({"path": [path]})
 
@@ -74,8 +73,8 @@ def write_files(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
     whole = cells.crossJoin(F.broadcast(days)).join(known, ["cell", "d"], "left")
     first = F.when(F.col("d").isin([low for low, _ in SPANS]), 0.0)
     value = lambda c: F.when(F.col("sea"), F.coalesce(F.col(c), first)).alias(c)
-    files = whole.groupBy("domain", "d").agg(F.collect_list(F.struct("i", "j", value("u"), value("v"))).alias("cells"))
-    files.mapInPandas(lambda it: _write_day(it, folder), "path string").count()
+    files = whole.groupBy("domain", "d").agg(F.sort_array(F.collect_list(F.struct("j", "i", value("u"), value("v")))).alias("c"))
+    files.select("domain", "d", "c.i", "c.j", "c.u", "c.v").mapInPandas(lambda it: _write_day(it, folder), "path string").count()
     return [f"{folder}/d{k}_{{YYYY}}{{MM}}{{DD}}_{{LEV}}.nc" for k in (1, 2)]
 
 

@@ -111,7 +111,8 @@ def write_daily(results: DataFrame, folder: str, level: int, dt_hours: float, in
     spark = results.sparkSession
     spark.dataSource.register(DailySource)
     rows = daily_rows(without_start_failures(results) if omit_start_failures else results, key=key)
-    rows = rows.withColumn("share", F.pmod(F.xxhash64("particle_id"), F.lit(shares))).repartition("release_day", "share").sortWithinPartitions("release_day", "share", "particle_id").drop("share")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number, so that shares of a day aren't put together again
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("particle_id"), F.lit(shares))).repartition(parts, "release_day", "share").sortWithinPartitions("release_day", "share", "particle_id").drop("share")
     options = {"level": level, "dt_hours": dt_hours, "integration_days": integration_days, "seed_step_deg": seed_step_deg, "shared": "true" if shares > 1 else "false"}
     rows.write.format("transport").mode(mode).options(**options).save(folder)
 
