@@ -500,7 +500,8 @@ def daily_result(spark, sf_dir):
 
 
 #: A reconstruction runs over all slots of the samples, with velocities so many times as high that each guard is met, and a lifetime in steps.
-SLOT0, SLOT1, FASTER, R_LIFE = 12, 39, 14, 15
+#: A step is short enough that a particle moves by less than the distance of nodes: else the smallest error grows eightfold in each step.
+SLOT0, SLOT1, FASTER, R_LIFE, R_DT = 12, 39, 14, 15, 900
 
 
 def _reconstruct_sql() -> str:
@@ -511,18 +512,18 @@ def _reconstruct_sql() -> str:
         f"""s0 AS MATERIALIZED (SELECT pid, lon, lat, CAST({SLOT1} - pid % 5 AS BIGINT) AS init, CAST({SLOT1} - pid % 5 AS BIGINT) AS t, lon + 1e-3 AS stop_lon, lat AS stop_lat,
   CASE WHEN pid % 3 = 0 THEN {SLOT1} - pid % 5 - pid % 17 END AS stop_t, 0 AS empty, 0 AS fast, CAST(NULL AS VARCHAR) AS cause FROM particles)""",
     ]
-    moved = sql_moved(f"(-u * {DT})", f"(-v * {DT})", "lon", "lat")
+    moved = sql_moved(f"(-u * {R_DT})", f"(-v * {R_DT})", "lon", "lat")
     records = []
     for k, idx in enumerate(range(SLOT1, SLOT0 - 1, -1)):
         live = f"cause IS NULL AND t = {idx} AND coalesce(t >= stop_t, true)"
         out.append(f"near{k} AS (SELECT p.pid, n.u, n.v, {_W} AS w FROM s{k} p JOIN field n ON n.t_idx = {idx} AND abs(p.lat - n.lat) < {RADIUS!r} AND {_NEAR} WHERE {live})")
         out.append(f"at{k} AS (SELECT p.*, CASE WHEN {near} THEN sum(w * u) / sum(w) ELSE 0e0 END AS u, CASE WHEN {near} THEN sum(w * v) / sum(w) ELSE 0e0 END AS v, count(w) AS n_nb FROM s{k} p LEFT JOIN near{k} USING (pid) GROUP BY ALL)")
-        out.append(f"""a{k} AS (SELECT *, {live} AS live, {live} AND coalesce(t = stop_t, false) AS stop, {live} AND NOT coalesce(t = stop_t, false) AND (init - t) * {DT} >= {R_LIFE * DT} AS old, sqrt(u * u + v * v) AS speed FROM at{k})""")
+        out.append(f"""a{k} AS (SELECT *, {live} AS live, {live} AND coalesce(t = stop_t, false) AS stop, {live} AND NOT coalesce(t = stop_t, false) AND (init - t) * {R_DT} >= {R_LIFE * R_DT} AS old, sqrt(u * u + v * v) AS speed FROM at{k})""")
         out.append(f"""b{k} AS (SELECT *, live AND NOT stop AND NOT old AS going, live AND NOT stop AND NOT old AND n_nb > 0 AS moving FROM a{k})""")
         out.append(f"""c{k} AS (SELECT * REPLACE (CASE WHEN moving THEN CASE WHEN speed > {fast} THEN fast + 1 ELSE 0 END ELSE fast END AS fast,
   CASE WHEN going AND NOT moving THEN empty + 1 WHEN moving THEN 0 ELSE empty END AS empty) FROM b{k})""")
         out.append(f"""d{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN stop THEN 'seed0' WHEN old THEN 'life' WHEN going AND NOT moving AND empty > {integrate.MOST_EMPTY} THEN 'no_nb' WHEN moving AND fast > {integrate.MOST_FAST} THEN 'fast'
-  WHEN moving AND speed * {DT} > {integrate.MOST_SPEED * integrate.STEP_SLACK * DT!r} THEN 'step' ELSE cause END AS cause) FROM c{k})""")
+  WHEN moving AND speed * {R_DT} > {integrate.MOST_SPEED * integrate.STEP_SLACK * R_DT!r} THEN 'step' ELSE cause END AS cause) FROM c{k})""")
         out.append(f"""s{k + 1} AS MATERIALIZED (SELECT pid, CASE WHEN moving AND cause IS NULL THEN {sql_wrap(moved[0])} ELSE lon END AS lon, CASE WHEN moving AND cause IS NULL THEN {moved[1]} ELSE lat END AS lat, init,
   CASE WHEN going AND cause IS NULL THEN t - 1 ELSE t END AS t, stop_lon, stop_lat, stop_t, empty, fast, cause FROM d{k})""")
         records.append(f"SELECT pid, CAST({idx} AS BIGINT) AS idx, CASE WHEN stop THEN stop_lon ELSE lon END AS lon, CASE WHEN stop THEN stop_lat ELSE lat END AS lat, CASE WHEN moving THEN u END AS u, CASE WHEN moving THEN v END AS v FROM d{k} WHERE stop OR going")
@@ -538,7 +539,7 @@ def euler_reconstruct(spark, sf_dir):
     seeds = fx.particles(spark, sf_dir).selectExpr(
         "pid AS seed_id", "lon", "lat", f"{SLOT1} - pid % 5 AS init_idx", "lon + 1e-3 AS stop_lon", "lat AS stop_lat", f"CASE WHEN pid % 3 = 0 THEN {SLOT1} - pid % 5 - pid % 17 END AS stop_idx"
     )
-    samples, ends = integrate.reconstruct(seeds, slots, SLOT1, SLOT0, DT, RADIUS, SHAPE, R_LIFE * DT)
+    samples, ends = integrate.reconstruct(seeds, slots, SLOT1, SLOT0, R_DT, RADIUS, SHAPE, R_LIFE * R_DT)
     return samples.join(ends, "seed_id").select("seed_id", "idx", *[r6(F.col(c)).alias(c) for c in ("lon", "lat", "u", "v")], "stop_cause")
 
 
