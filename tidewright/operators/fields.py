@@ -101,7 +101,8 @@ def tile_of(points: DataFrame, tile: float) -> DataFrame:
 class Meeting:
     """Particles with a field and land, over some steps at a time: ``deal`` first, then ``velocity`` and ``near_land`` for each step.
 
-    ``small`` says whether the field is broadcast; it is found by a count of the entries where it isn't given.
+    ``small`` says whether the field is broadcast; it is found by a count of the entries where it isn't given. What the steps work out is
+    the same in each, so its columns are built once: each call to the JVM costs about a millisecond of the driver.
     """
 
     def __init__(self, field: Field, land: DataFrame | None, radius: float, shape: float, land_limit: float, dt: float, key: str, small: bool | None = None) -> None:
@@ -110,6 +111,17 @@ class Meeting:
         self.land_radius = land_limit * (1 + 1e-9)
         self.small = spatial.fits_broadcast(field.nodes, radius) and (land is None or spatial.fits_broadcast(self.land, self.land_radius)) if small is None else small
         self.kept: list[DataFrame] = []
+        self.k, self.cell = field.k_of(F.col("t")), spatial.cell_of(radius)
+        self.within = spatial.same_cell() & (spatial.distance2() < radius * radius)
+        w = F.when(F.col("k").isNotNull(), gaussian(central_angle(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat")), shape))
+        self.weighted = [w.alias("w"), field.u.alias("u"), field.v.alias("v")]
+        total = F.sum("w")
+        means = [F.when(total > LEAST_WEIGHT, F.sum(F.col("w") * F.col(c)) / total).otherwise(0.0).alias(c) for c in ("u", "v")]
+        self.means = [*means, F.count("w").alias("n_nb")]
+        if land is not None:
+            self.land_cell = spatial.cell_of(self.land_radius)
+            self.touches = spatial.same_cell() & (spatial.distance2() <= land_limit * land_limit)
+            self.touched = (F.count("n_lat") > 0).alias("near_land")
 
     @contextmanager
     def deal(self, rows: DataFrame, low: int, high: int, steps: int) -> Iterator[DataFrame]:
@@ -161,35 +173,26 @@ class Meeting:
         share = F.col("first_slot") + F.pmod(F.xxhash64(self.key), F.col("n_slots")).cast("int")
         return placed.join(tiles, ["ty", "tx"]).withColumn("slot", share).select(*rows.columns, "slot").repartition(parts, "slot")
 
-    def _same(self, points: DataFrame, side: DataFrame) -> Column:
-        same = spatial.same_cell()
-        return same if self.small else same & (points["slot"] == side["slot"])
-
     def velocity(self, rows: DataFrame, live: Column, low: int, high: int) -> DataFrame:
         """``rows`` with ``u, v`` (0 without neighbours) and ``n_nb``; rows that aren't ``live`` meet no node. Times: ``low`` to ``high``."""
-        points = spatial.binned(rows.withColumn("p_k", F.when(live, self.field.k_of(F.col("t")))), self.radius)
-        points = points.withColumn("p_cx", F.when(F.col("p_k").isNotNull(), F.col("p_cx")))
-        within = spatial.distance2() < self.radius * self.radius
+        columns = rows.columns
+        points = rows.withColumns(self.cell | {"p_k": F.when(live, self.k), "p_cx": F.when(live, self.cell["p_cx"])})
         if self.small:
             side = F.broadcast(self.field.between(low, high).join(F.broadcast(self.entries), "node_id"))
-            near = points.join(side, self._same(points, side) & (F.col("p_k") == F.col("k")) & within, "left")
+            near = points.join(side, self.within & (F.col("p_k") == F.col("k")), "left")
         else:
             side = self.entries.withColumnRenamed("slot", "e_slot").hint("shuffle_hash")
-            near = points.join(side, (F.col("slot") == F.col("e_slot")) & spatial.same_cell() & within, "left")
+            near = points.join(side, (F.col("slot") == F.col("e_slot")) & self.within, "left")
             at = self.values.where(F.col("k").between(self.field.k_of(F.lit(low)), self.field.k_of(F.lit(high))))
             at = at.withColumnsRenamed({"slot": "v_slot", "node_id": "v_node"}).hint("shuffle_hash")
             near = near.join(at, (F.col("slot") == F.col("v_slot")) & (F.col("node_id") == F.col("v_node")) & (F.col("p_k") == F.col("k")), "left")
-        w = F.when(F.col("k").isNotNull(), gaussian(central_angle(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat")), self.shape))
-        near = near.select(*rows.columns, w.alias("w"), self.field.u.alias("u"), self.field.v.alias("v"))
-        total = F.sum("w")
-        means = [F.when(total > LEAST_WEIGHT, F.sum(F.col("w") * F.col(c)) / total).otherwise(0.0).alias(c) for c in ("u", "v")]
-        return near.groupBy(*rows.columns).agg(*means, F.count("w").alias("n_nb"))
+        return near.select(*columns, *self.weighted).groupBy(*columns).agg(*self.means)
 
     def near_land(self, rows: DataFrame, asked: Column) -> DataFrame:
         """``rows`` with ``near_land``: some land node at the limit or nearer; false where it isn't ``asked``."""
-        points = spatial.binned(rows, self.land_radius)
-        points = points.withColumn("p_cx", F.when(asked, F.col("p_cx")))
-        side = self.on_land if self.small else self.on_land.withColumnRenamed("slot", "e_slot").hint("shuffle_hash")
-        same = spatial.same_cell() if self.small else spatial.same_cell() & (F.col("slot") == F.col("e_slot"))
-        hit = points.join(side, same & (spatial.distance2() <= self.limit * self.limit), "left")
-        return hit.groupBy(*rows.columns).agg((F.count("n_lat") > 0).alias("near_land"))
+        points = rows.withColumns(self.land_cell | {"p_cx": F.when(asked, self.land_cell["p_cx"])})
+        if self.small:
+            hit = points.join(self.on_land, self.touches, "left")
+        else:
+            hit = points.join(self.on_land.withColumnRenamed("slot", "e_slot").hint("shuffle_hash"), self.touches & (F.col("slot") == F.col("e_slot")), "left")
+        return hit.groupBy(*rows.columns).agg(self.touched)

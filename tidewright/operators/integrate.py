@@ -86,18 +86,24 @@ def _step(x: Column, y: Column) -> tuple[Column, Column]:
     return wrap_lon(to["lon"]), clamp_lat(to["lat"])
 
 
+def _put(columns: list[str], new: dict[str, Column]) -> list[Column | str]:
+    """The columns, some of them with new values."""
+    return [new[c].alias(c) if c in new else c for c in columns]
+
+
 def _backward_step(meet: Meeting, tick: int, dt: float, lifetime: float, grace: float) -> Callable[[DataFrame, int], DataFrame]:
     age = (F.col("init_t") - F.col("t")) / tick * dt
+    young, old = (age >= grace) & (age < lifetime), age >= lifetime
+    lon, lat = _step(-F.col("u") * dt, -F.col("v") * dt)
 
     def step(state: DataFrame, window: int) -> DataFrame:
         columns = state.columns
         live = (F.col("reason") == ALIVE) & (F.col("t") >= window) & (F.col("t") < window + tick)
-        state = meet.near_land(state, live & (age >= grace) & (age < lifetime))
-        reason = F.when(live & (age >= lifetime), LIFETIME).when(live & F.col("near_land"), LANDED).otherwise(F.col("reason"))
-        state = state.withColumn("reason", reason).select(*columns)
-        state = meet.velocity(state, live, window, window + tick - 1)
-        lon, lat = _step(-F.col("u") * dt, -F.col("v") * dt)
-        return state.withColumns({"lon": F.when(live, lon).otherwise(F.col("lon")), "lat": F.when(live, lat).otherwise(F.col("lat")), "t": F.when(live, F.col("t") - tick).otherwise(F.col("t"))}).select(*columns)
+        state = meet.near_land(state, live & young)
+        reason = F.when(live & old, LIFETIME).when(live & F.col("near_land"), LANDED).otherwise(F.col("reason"))
+        state = meet.velocity(state.select(*_put(columns, {"reason": reason})), live, window, window + tick - 1)
+        new = {"lon": lon, "lat": lat, "t": F.col("t") - tick}
+        return state.select(*_put(columns, {c: F.when(live, x).otherwise(F.col(c)) for c, x in new.items()}))
 
     return step
 
@@ -141,22 +147,23 @@ def forward(seeds: DataFrame, field: Field, land: DataFrame, first: int, steps:
         state = meet.near_land(state, F.col("fresh"))
         return state.withColumn("status", F.when(F.col("fresh") & F.col("near_land"), START_LAND).otherwise(F.col("status"))).select(*columns)
 
+    on = F.col("status") == OK
+    lost, go = on & (F.col("n_nb") == 0), on & (F.col("n_nb") > 0)
+    lon, lat = _step(F.col("u") * dt, F.col("v") * dt)
+    speed = F.hypot("u", "v")
+    pick = lambda a, c: F.when(go, a).otherwise(F.col(c))
+    taken = {
+        "lon": pick(lon, "lon"), "lat": pick(lat, "lat"), "t": F.col("t") + 1,
+        "status": F.when(lost & (F.col("valid_steps") == 0), START_NO_SEA).when(lost, NO_SEA).otherwise(F.col("status")),
+        "valid_steps": pick(F.col("valid_steps") + 1, "valid_steps"), "speed_sum": pick(F.col("speed_sum") + speed, "speed_sum"),
+        "path_length": pick(F.col("path_length") + speed * dt, "path_length"),
+    }
+    landed = {"status": F.when(on & F.col("near_land"), STATUS_LANDED).otherwise(F.col("status"))}
+
     def step(state: DataFrame, window: int) -> DataFrame:
         columns = state.columns
-        state = meet.velocity(state, F.col("status") == OK, window, window)
-        on = F.col("status") == OK
-        lost, go = on & (F.col("n_nb") == 0), on & (F.col("n_nb") > 0)
-        lon, lat = _step(F.col("u") * dt, F.col("v") * dt)
-        speed = F.hypot("u", "v")
-        pick = lambda flag, a, c: F.when(flag, a).otherwise(F.col(c))
-        state = state.withColumns({
-            "lon": pick(go, lon, "lon"), "lat": pick(go, lat, "lat"), "t": F.col("t") + 1,
-            "status": F.when(lost & (F.col("valid_steps") == 0), START_NO_SEA).when(lost, NO_SEA).otherwise(F.col("status")),
-            "valid_steps": pick(go, F.col("valid_steps") + 1, "valid_steps"), "speed_sum": pick(go, F.col("speed_sum") + speed, "speed_sum"),
-            "path_length": pick(go, F.col("path_length") + speed * dt, "path_length"),
-        }).select(*columns)
-        state = meet.near_land(state, F.col("status") == OK)
-        return state.withColumn("status", F.when((F.col("status") == OK) & F.col("near_land"), STATUS_LANDED).otherwise(F.col("status"))).select(*columns)
+        state = meet.velocity(state, on, window, window).select(*_put(columns, taken))
+        return meet.near_land(state, on).select(*_put(columns, landed))
 
     run = Run(start, F.col("status") != OK)
     run.stretch(list(range(first, first + steps)), 1, meet, step, cut_every, begin)
@@ -189,10 +196,13 @@ def reconstruct(seeds: DataFrame, field: Field, first: int, last: int, dt: float
     def begin(state: DataFrame) -> DataFrame:
         return state.withColumn("records", F.array().cast(RECORD))  # those of the cut before are in its table
 
+    lon, lat = _step(-F.col("u") * dt, -F.col("v") * dt)
+    awaited = F.col("stop_cause").isNull() & F.coalesce(F.col("t") >= F.col("stop_t"), F.lit(True))
+
     def step(state: DataFrame, window: int) -> DataFrame:
         columns = state.columns
         # A seed at or past its stop doesn't ask for neighbours; nor does one that waits or has ended.
-        live = F.col("stop_cause").isNull() & (F.col("t") == window) & F.coalesce(F.col("t") >= F.col("stop_t"), F.lit(True))
+        live = awaited & (F.col("t") == window)
         state = meet.velocity(state, live, window, window)
         stop = live & F.coalesce(F.col("t") == F.col("stop_t"), F.lit(False))
         old = live & ~stop & ((F.col("init_t") - F.col("t")) * dt >= lifetime)
@@ -209,12 +219,11 @@ def reconstruct(seeds: DataFrame, field: Field, first: int, last: int, dt: float
             F.col("t").alias("idx"), F.when(stop, F.col("stop_lon")).otherwise(F.col("lon")).alias("lon"), F.when(stop, F.col("stop_lat")).otherwise(F.col("lat")).alias("lat"),
             F.when(moving, F.col("u")).alias("u"), F.when(moving, F.col("v")).alias("v"),
         )
-        lon, lat = _step(-F.col("u") * dt, -F.col("v") * dt)
         goes, ages = moving & cause.isNull(), going & cause.isNull()
-        return state.withColumns({
+        return state.select(*_put(columns, {
             "lon": F.when(goes, lon).otherwise(F.col("lon")), "lat": F.when(goes, lat).otherwise(F.col("lat")), "t": F.when(ages, F.col("t") - 1).otherwise(F.col("t")), "empty": empty, "fast": fast,
             "stop_cause": cause, "records": F.when(stop | going, F.array_append("records", record)).otherwise(F.col("records")),
-        }).select(*columns)
+        }))
 
     run = Run(start, F.col("stop_cause").isNotNull())
     # Tables of all cuts are kept here, as each holds the records of its own steps.

@@ -50,10 +50,15 @@ def fits_broadcast(nodes: DataFrame, radius: float) -> bool:
     return bin_nodes(nodes.select("lon", "lat"), radius, small=False).count() <= BROADCAST_ENTRIES
 
 
+def cell_of(radius: float) -> dict[str, Column]:
+    """A point's cell, ``p_cx, p_cy``."""
+    row = _row(F.col("lat"), radius)
+    return {"p_cy": row, "p_cx": _cell(F.col("lon"), _cells(row, radius))}
+
+
 def binned(points: DataFrame, radius: float) -> DataFrame:
     """Points with their cell, ``p_cx, p_cy``."""
-    row = _row(F.col("lat"), radius)
-    return points.withColumn("p_cy", row).withColumn("p_cx", _cell(F.col("lon"), _cells(F.col("p_cy"), radius)))
+    return points.withColumns(cell_of(radius))
 
 
 def distance2() -> Column:

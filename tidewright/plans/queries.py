@@ -19,8 +19,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
-#: The time step of a single field; the first of the loops; their length and step in seconds.
-AT, FIRST, STEPS, DT = 30, 30, 3, 10800
+#: The time step of a single field; first and last slot of the samples, over all of which the loops run; their step in seconds, in which
+#: a particle moves by less than the distance of nodes: else the smallest error grows eightfold in each step.
+AT, SLOT0, SLOT1, DT = 30, 12, 39, 10800
+STEPS = SLOT1 - SLOT0 + 1
 LAND_LIMIT = radians(5e-2)
 
 
@@ -370,33 +372,36 @@ def _interp_ctes(state: str, t_idx: int) -> str:
     return f"{near},\n{at}"
 
 
+#: The tables of a loop; what each step reads is worked out once.
+_LOOP_TABLES = [with_tables("nodes", "samples", "particles").replace("nodes AS (", "nodes AS MATERIALIZED ("), _FIELD.replace("field AS (", "field AS MATERIALIZED (")]
 _ON_LAND = f"EXISTS (SELECT 1 FROM nodes n WHERE NOT n.sea AND {_D2} <= {LAND_LIMIT * LAND_LIMIT!r})"
-#: Short lives and graces, so that a loop of few steps meets each rule.
-LIFE, GRACE = 3 * DT, DT
+#: A lifetime that some releases reach and others don't, and a short grace.
+LIFE, GRACE = (STEPS - 3) * DT, DT
 _MOVED_B = sql_moved(f"(-u * {DT})", f"(-v * {DT})", "lon", "lat")
 _MOVED_F = sql_moved(f"(u * {DT})", f"(v * {DT})", "lon", "lat")
 
 
 def _backward_sql(steps: int) -> str:
-    out = [with_tables("nodes", "samples", "particles"), _FIELD, f"s0 AS (SELECT pid, lon, lat, CAST({FIRST} - pid % 2 AS BIGINT) AS init_idx, CAST({FIRST} - pid % 2 AS BIGINT) AS t_idx, 0 AS reason FROM particles)"]
+    out = [*_LOOP_TABLES, f"s0 AS MATERIALIZED (SELECT pid, lon, lat, CAST({SLOT1} - pid % 5 AS BIGINT) AS init_idx, CAST({SLOT1} - pid % 5 AS BIGINT) AS t_idx, 0 AS reason FROM particles)"]
     for k in range(steps):
-        idx = FIRST - k
-        out.append(f"j{k} AS (SELECT pid, lon, lat, init_idx, t_idx, CASE WHEN reason = 0 AND t_idx = {idx} AND (init_idx - t_idx) * {DT} >= {LIFE} THEN 3 WHEN reason = 0 AND t_idx = {idx} AND (init_idx - t_idx) * {DT} >= {GRACE} AND {_ON_LAND} THEN 1 ELSE reason END AS reason FROM s{k} p)")
+        idx = SLOT1 - k
+        out.append(f"j{k} AS MATERIALIZED (SELECT pid, lon, lat, init_idx, t_idx, CASE WHEN reason = 0 AND t_idx = {idx} AND (init_idx - t_idx) * {DT} >= {LIFE} THEN 3 WHEN reason = 0 AND t_idx = {idx} AND (init_idx - t_idx) * {DT} >= {GRACE} AND {_ON_LAND} THEN 1 ELSE reason END AS reason FROM s{k} p)")
         out.append(_interp_ctes(f"j{k}", idx))
         live = f"reason = 0 AND t_idx = {idx}"
-        out.append(f"s{k + 1} AS (SELECT pid, CASE WHEN {live} THEN {sql_wrap(_MOVED_B[0])} ELSE lon END AS lon, CASE WHEN {live} THEN {_MOVED_B[1]} ELSE lat END AS lat, init_idx, CASE WHEN {live} THEN t_idx - 1 ELSE t_idx END AS t_idx, reason FROM at_j{k})")
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT pid, CASE WHEN {live} THEN {sql_wrap(_MOVED_B[0])} ELSE lon END AS lon, CASE WHEN {live} THEN {_MOVED_B[1]} ELSE lat END AS lat, init_idx, CASE WHEN {live} THEN t_idx - 1 ELSE t_idx END AS t_idx, reason FROM at_j{k})")
     return ",\n".join(out) + f"\nSELECT pid, {q6('lon')} AS lon, {q6('lat')} AS lat, t_idx, reason FROM s{steps}"
 
 
 def _backward(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
-    p = fx.particles(spark, sf_dir).withColumn("init_t", F.lit(FIRST) - F.col("pid") % 2)
-    end = integrate.backward(p, _slots(spark, sf_dir), _land(spark, sf_dir), FIRST, FIRST - steps + 1, DT, RADIUS, SHAPE, LAND_LIMIT, LIFE, GRACE)
+    p = fx.particles(spark, sf_dir).withColumn("init_t", F.lit(SLOT1) - F.col("pid") % 5)
+    end = integrate.backward(p, _slots(spark, sf_dir), _land(spark, sf_dir), SLOT1, SLOT1 - steps + 1, DT, RADIUS, SHAPE, LAND_LIMIT, LIFE, GRACE)
     return end.withColumnRenamed("t", "t_idx")
 
 
-@query(_backward_sql(4))
+@query(_backward_sql(STEPS))
 def euler_backward(spark, sf_dir):
-    return _backward(spark, sf_dir, 4).select("pid", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), "t_idx", "reason")
+    """Backward over all slots; each particle is released at one of the last five."""
+    return _backward(spark, sf_dir, STEPS).select("pid", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), "t_idx", "reason")
 
 
 #: Steps of a quarter of the knots' distance, in two stretches, each with knots of its own: those of its quarters and some around.
@@ -444,20 +449,20 @@ def euler_backward_spline(spark, sf_dir):
 
 
 def _forward_sql(steps: int) -> str:
-    out = [with_tables("nodes", "samples", "particles"), _FIELD, f"s0 AS (SELECT pid, lon, lat, lon AS lon0, lat AS lat0, CASE WHEN {_ON_LAND} THEN 4 ELSE 1 END AS status, CAST(0 AS BIGINT) AS valid_steps, 0e0 AS speed_sum, 0e0 AS path_length FROM particles p)"]
+    out = [*_LOOP_TABLES, f"s0 AS MATERIALIZED (SELECT pid, lon, lat, lon AS lon0, lat AS lat0, CASE WHEN {_ON_LAND} THEN 4 ELSE 1 END AS status, CAST(0 AS BIGINT) AS valid_steps, 0e0 AS speed_sum, 0e0 AS path_length FROM particles p)"]
     for k in range(steps):
-        out.append(_interp_ctes(f"s{k}", FIRST + k))
+        out.append(_interp_ctes(f"s{k}", SLOT0 + k))
         go, lost, speed = "status = 1 AND n_nb > 0", "status = 1 AND n_nb = 0", "sqrt(u * u + v * v)"
         out.append(
-            f"m{k} AS (SELECT pid, CASE WHEN {go} THEN {sql_wrap(_MOVED_F[0])} ELSE lon END AS lon, CASE WHEN {go} THEN {_MOVED_F[1]} ELSE lat END AS lat, lon0, lat0, CASE WHEN {lost} THEN CASE WHEN valid_steps = 0 THEN 5 ELSE 3 END ELSE status END AS status, "
+            f"m{k} AS MATERIALIZED (SELECT pid, CASE WHEN {go} THEN {sql_wrap(_MOVED_F[0])} ELSE lon END AS lon, CASE WHEN {go} THEN {_MOVED_F[1]} ELSE lat END AS lat, lon0, lat0, CASE WHEN {lost} THEN CASE WHEN valid_steps = 0 THEN 5 ELSE 3 END ELSE status END AS status, "
             f"CASE WHEN {go} THEN valid_steps + 1 ELSE valid_steps END AS valid_steps, CASE WHEN {go} THEN speed_sum + {speed} ELSE speed_sum END AS speed_sum, CASE WHEN {go} THEN path_length + {speed} * {DT} ELSE path_length END AS path_length FROM at_s{k})"
         )
-        out.append(f"s{k + 1} AS (SELECT p.* REPLACE (CASE WHEN status = 1 AND {_ON_LAND} THEN 2 ELSE status END AS status) FROM m{k} p)")
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (CASE WHEN status = 1 AND {_ON_LAND} THEN 2 ELSE status END AS status) FROM m{k} p)")
     return ",\n".join(out)
 
 
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrate.forward(fx.particles(spark, sf_dir), _slots(spark, sf_dir), _land(spark, sf_dir), FIRST, STEPS, DT, RADIUS, SHAPE, LAND_LIMIT)
+    return integrate.forward(fx.particles(spark, sf_dir), _slots(spark, sf_dir), _land(spark, sf_dir), SLOT0, STEPS, DT, RADIUS, SHAPE, LAND_LIMIT)
 
 
 @query(
@@ -500,8 +505,7 @@ def daily_result(spark, sf_dir):
 
 
 #: A reconstruction runs over all slots of the samples, with velocities so many times as high that each guard is met, and a lifetime in steps.
-#: A step is short enough that a particle moves by less than the distance of nodes: else the smallest error grows eightfold in each step.
-SLOT0, SLOT1, FASTER, R_LIFE, R_DT = 12, 39, 14, 15, 900
+FASTER, R_LIFE, R_DT = 14, 15, 900
 
 
 def _reconstruct_sql() -> str:
