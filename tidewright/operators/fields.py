@@ -7,7 +7,11 @@ A field whose entries are few (counted) is broadcast. A larger one is cut into t
 the tile they are in: its nodes and those of a *halo* around it come along, as wide as the search radius and the furthest that the
 field's greatest speed can carry a particle in these steps. So every node that a particle can meet on its way is in its
 partition, and no step shuffles. Tiles with many particles are split by a hash of the key, and their nodes repeated for each share;
-tiles without particles take no nodes at all.
+tiles without particles take no nodes at all. Nodes and particles beyond a pole (latitudes of more than a right angle) are dealt out by the
+place on the sphere that they stand for, as a particle's first move takes it there.
+
+With tiles each step is a job of its own: an operator takes a page of memory at least (megabytes), however few its rows, so a task of many steps
+needs memory for all their joins at once. Rows stay in their partitions, on disk.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ import pyspark.sql.functions as F
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from tidewright.functions.geo import EARTH_RADIUS_M, central_angle, gaussian, wrap_lon
+from tidewright.functions.geo import EARTH_RADIUS_M, central_angle, gaussian, on_sphere, wrap_lon
 from tidewright.operators import spatial
 from tidewright.operators.interp import LEAST_WEIGHT
 from tidewright.operators.series import spline_value
 
 #: Particles of a share of a tile; tiles are this many times as high as their halo is wide.
 SHARE_ROWS, TILE_HALOS = 1_000_000, 4
+#: Nodes' cell entries of a partition, about; a step's joins hold them in memory.
+PART_ENTRIES = 250_000
 #: Greatest part of h ** 2 that a knot's second derivative adds to a cubic within its interval: max of (a - a ** 3) / 6.
 BULGE = 0.0642
 
@@ -79,23 +85,26 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 def in_tiles(nodes: DataFrame, tile: float, halo: float) -> DataFrame:
     """Nodes with every tile (``ty, tx``) that they or its halo lie in. ``tile`` is at least as high as the halo is wide."""
-    rows = nodes.withColumn("ty", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: spatial._row(F.col("lat"), tile) + d)))
+    lon, lat = on_sphere(F.col("lon"), F.col("lat"))
+    rows = nodes.withColumns({"__lon": lon, "__lat": lat})
+    lon, lat = F.col("__lon"), F.col("__lat")
+    rows = rows.withColumn("ty", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: spatial._row(lat, tile) + d)))
     count = spatial._cells(F.col("ty"), tile)
-    here = spatial._cell(F.col("lon"), count)
+    here = spatial._cell(lon, count)
     rows = rows.withColumn("__n", count).withColumn("__near", F.array_distinct(F.array(*[F.pmod(here + d, count) for d in (-1, 0, 1)])))
     rows = rows.withColumn("tx", F.explode("__near"))
-    up = F.greatest(F.col("ty") * F.lit(tile) - F.col("lat"), F.col("lat") - (F.col("ty") + 1) * F.lit(tile))
+    up = F.greatest(F.col("ty") * F.lit(tile) - lat, lat - (F.col("ty") + 1) * F.lit(tile))
     # The gap to the tile in longitude, over the dateline too, at the latitude where it is shortest.
     half = F.lit(pi) / F.col("__n")
     middle = F.lit(-pi) + (2 * F.col("tx") + 1) * half
-    side = F.greatest(F.abs(wrap_lon(F.col("lon") - middle)) - half, F.lit(0.0))
-    shrink = F.cos(F.least(F.abs("lat") + 2 * halo, F.lit(pi / 2)))
-    return rows.where((up <= halo) & (side * shrink <= halo)).drop("__n", "__near")
+    side = F.greatest(F.abs(wrap_lon(lon - middle)) - half, F.lit(0.0))
+    shrink = F.cos(F.least(F.abs(lat) + 2 * halo, F.lit(pi / 2)))
+    return rows.where((up <= halo) & (side * shrink <= halo)).drop("__n", "__near", "__lon", "__lat")
 
 
 def tile_of(points: DataFrame, tile: float) -> DataFrame:
-    row = spatial._row(F.col("lat"), tile)
-    return points.withColumn("ty", row).withColumn("tx", spatial._cell(F.col("lon"), spatial._cells(F.col("ty"), tile)))
+    lon, lat = on_sphere(F.col("lon"), F.col("lat"))
+    return points.withColumn("ty", spatial._row(lat, tile)).withColumn("tx", spatial._cell(lon, spatial._cells(F.col("ty"), tile)))
 
 
 class Meeting:
@@ -109,7 +118,8 @@ class Meeting:
         self.field, self.radius, self.shape, self.limit, self.dt, self.key = field, radius, shape, land_limit, dt, key
         self.land = land.select("lon", "lat") if land is not None else None
         self.land_radius = land_limit * (1 + 1e-9)
-        self.small = spatial.fits_broadcast(field.nodes, radius) and (land is None or spatial.fits_broadcast(self.land, self.land_radius)) if small is None else small
+        self.size = spatial.n_entries(field.nodes, radius) if small is None or not small else 0
+        self.small = self.size <= spatial.BROADCAST_ENTRIES and (land is None or spatial.fits_broadcast(self.land, self.land_radius)) if small is None else small
         self.kept: list[DataFrame] = []
         self.k, self.cell = field.k_of(F.col("t")), spatial.cell_of(radius)
         self.within = spatial.same_cell() & (spatial.distance2() < radius * radius)
@@ -139,6 +149,19 @@ class Meeting:
             df.unpersist()
         self.kept = []
 
+    def _stay(self, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.DISK_ONLY)
+        self.kept.append(df)
+        return df
+
+    def settle(self, state: DataFrame) -> DataFrame:
+        """``state``, with tiles worked out now, in the partitions that it is in; the next step begins from there."""
+        if self.small:
+            return state
+        state = self._stay(state)
+        state.count()
+        return state
+
     def _tiles(self, rows: DataFrame, low: int, high: int, steps: int) -> DataFrame:
         spark, values = rows.sparkSession, self.field.between(low, high)
         speed = values.agg(F.max(self.field.fastest)).first()[0] or 0.0
@@ -153,23 +176,20 @@ class Meeting:
             shares.append((r["ty"], r["tx"], slot, n))
             slot += n
         tiles = F.broadcast(spark.createDataFrame(shares, "ty int, tx int, first_slot int, n_slots int"))
-        parts = max(1, min(slot, int(spark.conf.get("spark.sql.shuffle.partitions"))) if slot else 1)
+        # A node is in some (1 + 2 / TILE_HALOS) ** 2 tiles.
+        enough = int(self.size * (1 + 2 / TILE_HALOS) ** 2) // PART_ENTRIES
+        parts = max(1, min(slot, max(enough, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
         def spread(nodes: DataFrame, columns: list[str]) -> DataFrame:
             copies = in_tiles(nodes, tile, halo).join(tiles, ["ty", "tx"])
             shared = copies.withColumn("slot", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("n_slots") - 1)))
             return shared.select("slot", *columns)
 
-        def stay(df: DataFrame) -> DataFrame:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self.kept.append(df)
-            return df
-
         nodes = self.field.nodes
-        self.entries = stay(spatial.bin_nodes(spread(nodes, ["node_id", "lon", "lat"]), self.radius, small=False).repartition(parts, "slot"))
+        self.entries = self._stay(spatial.bin_nodes(spread(nodes, ["node_id", "lon", "lat"]), self.radius, small=False).repartition(parts, "slot"))
         own = values.columns
-        self.values = stay(values.join(spread(nodes, ["node_id"]), "node_id").select("slot", *own).repartition(parts, "slot").sortWithinPartitions("k"))
-        self.on_land = stay(spatial.bin_nodes(spread(self.land, ["lon", "lat"]), self.land_radius, small=False).repartition(parts, "slot")) if self.land is not None else None
+        self.values = self._stay(values.join(spread(nodes, ["node_id"]), "node_id").select("slot", *own).repartition(parts, "slot").sortWithinPartitions("k"))
+        self.on_land = self._stay(spatial.bin_nodes(spread(self.land, ["lon", "lat"]), self.land_radius, small=False).repartition(parts, "slot")) if self.land is not None else None
         share = F.col("first_slot") + F.pmod(F.xxhash64(self.key), F.col("n_slots")).cast("int")
         return placed.join(tiles, ["ty", "tx"]).withColumn("slot", share).select(*rows.columns, "slot").repartition(parts, "slot")
 

@@ -53,8 +53,10 @@ class Run:
                 if begin is not None:
                     state = begin(state)
                 state = state.drop("fresh")
-                for window in some:
+                for n, window in enumerate(some):
                     state = step(state, window)
+                    if n + 1 < len(some):
+                        state = meet.settle(state)
                 state = state.select(*[c for c in columns if c != "fresh"])
                 path = f"{self.folder}/cut={self.cuts}"
                 state.withColumn("over", self.over).write.partitionBy("over").parquet(path)

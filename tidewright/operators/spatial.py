@@ -45,9 +45,14 @@ def bin_nodes(nodes: DataFrame, radius: float, small: bool | None = None) -> Dat
     return F.broadcast(entries) if small else entries
 
 
+def n_entries(nodes: DataFrame, radius: float) -> int:
+    """How many cell entries these nodes have."""
+    return bin_nodes(nodes.select("lon", "lat"), radius, small=False).count()
+
+
 def fits_broadcast(nodes: DataFrame, radius: float) -> bool:
     """Whether these nodes' entries are few enough to broadcast; the same for any values at the same nodes."""
-    return bin_nodes(nodes.select("lon", "lat"), radius, small=False).count() <= BROADCAST_ENTRIES
+    return n_entries(nodes, radius) <= BROADCAST_ENTRIES
 
 
 def cell_of(radius: float) -> dict[str, Column]:
