@@ -15,7 +15,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from tidewright.functions.geo import EARTH_RADIUS_M, central_angle, clamp_lat, moved, wrap_lon
+from tidewright.functions.geo import EARTH_RADIUS_M, central_angle, moved, wrap_lon
 from tidewright.operators.fields import Field, Meeting
 from tidewright.operators.storage import new_folder, remove
 
@@ -85,7 +85,7 @@ class Run:
 
 def _step(x: Column, y: Column) -> tuple[Column, Column]:
     to = moved(x, y, F.col("lon"), F.col("lat"))
-    return wrap_lon(to["lon"]), clamp_lat(to["lat"])
+    return wrap_lon(to["lon"]), to["lat"]  # a move ends at a latitude of a right angle at most; one that stands still keeps its own
 
 
 def _put(columns: list[str], new: dict[str, Column]) -> list[Column | str]:
