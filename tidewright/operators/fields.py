@@ -29,6 +29,7 @@ from tidewright.functions.geo import EARTH_RADIUS_M, central_angle, gaussian, on
 from tidewright.operators import spatial
 from tidewright.operators.interp import LEAST_WEIGHT
 from tidewright.operators.series import spline_value
+from tidewright.operators.storage import settings
 
 #: Particles of a share of a tile; tiles are this many times as high as their halo is wide.
 SHARE_ROWS, TILE_HALOS = 1_000_000, 4
@@ -70,19 +71,6 @@ def splines(nodes: DataFrame, segments: DataFrame, start: float, h: float, last:
     return Field(nodes.select("node_id", "lon", "lat"), segments, k_of, spline_value(F.col("t"), h, "u_"), spline_value(F.col("t"), h, "v_"), F.hypot(most("u"), most("v")))
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings for what is run inside, and those before afterwards."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def in_tiles(nodes: DataFrame, tile: float, halo: float) -> DataFrame:
     """Nodes with every tile (``ty, tx``) that they or its halo lie in. ``tile`` is at least as high as the halo is wide."""
     lon, lat = on_sphere(F.col("lon"), F.col("lat"))
@@ -143,7 +131,7 @@ class Meeting:
             yield rows.repartition(self.key)
             return
         # All exchanges inside are asked for by number; joins on a tile and more are content with rows dealt out by tile.
-        with _settings(rows.sparkSession, {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        with settings(rows.sparkSession, {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}):
             yield self._tiles(rows, low, high, steps)
         for df in self.kept:
             df.unpersist()
@@ -185,11 +173,12 @@ class Meeting:
             shared = copies.withColumn("slot", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("n_slots") - 1)))
             return shared.select("slot", *columns)
 
+        # Nodes are shuffled before they are entered in cells, of which each has some nine.
         nodes = self.field.nodes
-        self.entries = self._stay(spatial.bin_nodes(spread(nodes, ["node_id", "lon", "lat"]), self.radius, small=False).repartition(parts, "slot"))
+        self.entries = self._stay(spatial.bin_nodes(spread(nodes, ["node_id", "lon", "lat"]).repartition(parts, "slot"), self.radius, small=False))
         own = values.columns
         self.values = self._stay(values.join(spread(nodes, ["node_id"]), "node_id").select("slot", *own).repartition(parts, "slot").sortWithinPartitions("k"))
-        self.on_land = self._stay(spatial.bin_nodes(spread(self.land, ["lon", "lat"]), self.land_radius, small=False).repartition(parts, "slot")) if self.land is not None else None
+        self.on_land = self._stay(spatial.bin_nodes(spread(self.land, ["lon", "lat"]).repartition(parts, "slot"), self.land_radius, small=False)) if self.land is not None else None
         share = F.col("first_slot") + F.pmod(F.xxhash64(self.key), F.col("n_slots")).cast("int")
         return placed.join(tiles, ["ty", "tx"]).withColumn("slot", share).select(*rows.columns, "slot").repartition(parts, "slot")
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.functions.dates import file_paths
 from tidewright.operators.fields import Field, splines
 from tidewright.operators.series import segments_of
+from tidewright.operators.storage import settings
 
 EPOCH = dt.date(2000, 1, 1)
 
@@ -38,18 +39,19 @@ def day_files(spark: SparkSession, patterns: list[str], month: dt.date, level: i
 
 def write_month(spark: SparkSession, month: dt.date, patterns: list[str], level: int, u: str, v: str, step: int, folder: str) -> None:
     """Appends a month (its first day) to the tables ``nodes`` and ``segments`` of ``folder``; an error where it has no sea or no land."""
-    from tidewright.sources.gridded import load_domains
+    from tidewright.sources.gridded import BY_NODE, load_domains
 
     span = (seconds(month), seconds(next_month(month)))
-    nodes, samples = load_domains(spark, day_files(spark, patterns, month, level), u, v, step, span)
+    solve = lambda samples: segments_of(samples, "node_id", "t_s", ["u", "v"], step)
+    nodes, segments = load_domains(spark, day_files(spark, patterns, month, level), u, v, step, span, solve)
     at = f"month={month.isoformat()}"
     nodes.withColumn("step", F.lit(step)).write.parquet(f"{folder}/nodes/{at}")
     kinds = {r["sea"] for r in spark.read.parquet(f"{folder}/nodes/{at}").groupBy("sea").count().collect()}
     for sea, name in ((True, "sea"), (False, "land")):
         if sea not in kinds:
             raise ValueError(f"no {name} points in {month.isoformat()}: look at masks, variables and region")
-    segments = segments_of(samples, "node_id", "t_s", ["u", "v"], step)
-    segments.repartitionByRange("k", "node_id").sortWithinPartitions("k", "node_id").write.parquet(f"{folder}/segments/{at}")
+    with settings(spark, BY_NODE):
+        segments.sortWithinPartitions("k", "node_id").write.option("compression", "zstd").parquet(f"{folder}/segments/{at}")
 
 
 def write_months(spark: SparkSession, months: list[dt.date], patterns: list[str], level: int, u: str, v: str, step: int, folder: str) -> str:

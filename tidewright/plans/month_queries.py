@@ -44,37 +44,66 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _write_day(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+def _write_days(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    """Rows of a file follow each other: a mask for each latitude (``u`` null), and known velocities."""
+    some: list[pd.DataFrame] = []
+    for frame in frames:
+        for _, rows in frame.groupby(["domain", "d"], sort=False):
+            if some and (some[-1]["domain"].iloc[0], some[-1]["d"].iloc[0]) != (rows["domain"].iloc[0], rows["d"].iloc[0]):
+                yield _write_day(pd.concat(some), folder)
+                some = []
+            some.append(rows)
+    if some:
+        yield _write_day(pd.concat(some), folder)
+
+
+def _write_day(rows: pd.DataFrame, folder: str) -> pd.DataFrame:
     from tidewright.operators.grid import MISSING
     from tidewright.sources.gridded import write_classic
 
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            lon, lat = np.unique(row.i), np.unique(row.j)
-            day = DAY0 + dt.timedelta(days=int(row.d))
-            path = f"{folder}/d{row.domain}_{day:%Y%m%d}_{LEVEL:04d}.nc"
-            grid = lambda c: np.nan_to_num(np.asarray(c, dtype=float), nan=MISSING).reshape(1, len(lat), len(lon))  # noqa: E731, B023
-            write_classic(path, {"time": 1, "lat": len(lat), "lon": len(lon)}, {
-                "time": (["time"], np.array([months.seconds(day)], dtype=np.float64), {"units": "seconds since 2000-01-01"}),
-                "lon": (["lon"], 100.0 + 0.08 * lon, {}), "lat": (["lat"], -16.0 + 0.08 * lat, {}),
-                "water_u": (["time", "lat", "lon"], grid(row.u), {"_FillValue": np.float64(MISSING)}),
-                "water_v": (["time", "lat", "lon"], grid(row.v), {"_FillValue": np.float64(MISSING)}),
-            })
-            yield pd.DataFrame({"path": [path]})
+    d, masks, known = int(rows["d"].iloc[0]), rows[rows["mask"].notna()].sort_values("j"), rows[rows["mask"].isna()]
+    lon, lat = np.arange(COLUMNS), masks["j"].to_numpy(dtype=np.int64)
+    sea = (masks["mask"].to_numpy(dtype=np.int64)[:, None] >> lon & 1) > 0
+    at = np.searchsorted(lat, known["j"]), known["i"].to_numpy(dtype=np.int64)
+
+    def grid(c: str) -> np.ndarray:
+        out = np.full(sea.shape, 0.0 if d in [low for low, _ in SPANS] else MISSING)
+        out[at] = np.nan_to_num(known[c].to_numpy(dtype=float), nan=MISSING)
+        return np.where(sea, out, MISSING).reshape(1, *sea.shape)
+
+    day = DAY0 + dt.timedelta(days=d)
+    path = f"{folder}/d{rows['domain'].iloc[0]}_{day:%Y%m%d}_{LEVEL:04d}.nc"
+    write_classic(path, {"time": 1, "lat": len(lat), "lon": len(lon)}, {
+        "time": (["time"], np.array([months.seconds(day)], dtype=np.float64), {"units": "seconds since 2000-01-01"}),
+        "lon": (["lon"], 100.0 + 0.08 * lon, {}), "lat": (["lat"], -16.0 + 0.08 * lat, {}),
+        "water_u": (["time", "lat", "lon"], grid("u"), {"_FillValue": np.float64(MISSING)}),
+        "water_v": (["time", "lat", "lon"], grid("v"), {"_FillValue": np.float64(MISSING)}),
+    })
+    return pd.DataFrame({"path": [path]})
 
 
 def write_files(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
-    """A classic file for each domain and day; returns the domains' path patterns. A file's cells are one row of a task."""
+    """A classic file for each domain and day; returns the domains' path patterns. A task has all rows of a file.
+
+    Only known velocities are shuffled, once, by file; the cells of a latitude are one row for each day, their mask a number.
+    """
     make_folder(folder)
     cells = _cells(spark, sf_dir)
+    rows = cells.groupBy("domain", "j").agg(F.bit_or(F.when(F.col("sea"), F.expr("shiftleft(1L, i)")).otherwise(F.lit(0).cast("bigint"))).alias("mask"))
+    last = rows.agg(F.max("j")).first()[0]
     days = spark.range(DAYS).select(F.col("id").cast("int").alias("d"))
+    masks = rows.crossJoin(F.broadcast(days)).select("domain", "d", "j", "mask", F.lit(None).cast("int").alias("i"), *[F.lit(None).cast("double").alias(c) for c in "xy"])
     line = fx.table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS cell", "CAST(datediff(CAST(l_shipdate AS DATE), DATE'1992-01-01') % 62 AS INT) AS d", "l_discount - 5e-2 AS x", "l_tax - 4e-2 AS y")
-    known = line.groupBy("cell", "d").agg((F.avg("x") * 10.0).alias("u"), (F.avg("y") * 10.0).alias("v"))
-    whole = cells.crossJoin(F.broadcast(days)).join(known, ["cell", "d"], "left")
+    row = F.floor(F.col("cell") / COLUMNS)
+    known = line.where((F.col("cell") >= 0) & (row <= last) & (F.col("d") >= 0)).select(
+        F.when(row <= last // 2, 1).otherwise(2).alias("domain"), "d", row.cast("int").alias("j"), F.lit(None).cast("bigint").alias("mask"), F.pmod("cell", F.lit(COLUMNS)).cast("int").alias("i"), "x", "y"
+    )
     first = F.when(F.col("d").isin([low for low, _ in SPANS]), 0.0)
-    value = lambda c: F.when(F.col("sea"), F.coalesce(F.col(c), first)).alias(c)
-    files = whole.groupBy("domain", "d").agg(F.sort_array(F.collect_list(F.struct("j", "i", value("u"), value("v")))).alias("c"))
-    files.select("domain", "d", "c.i", "c.j", "c.u", "c.v").mapInPandas(lambda it: _write_day(it, folder), "path string").count()
+    value = lambda c, name: F.coalesce(F.avg(c) * 10.0, first).alias(name)
+    # By file, then by cell within it, where the rows are.
+    files = known.unionByName(masks).repartition("domain", "d").groupBy("domain", "d", "j", "i", "mask").agg(value("x", "u"), value("y", "v"))
+    with storage.settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}):  # a task groups and sorts its rows in memory
+        files.sortWithinPartitions("domain", "d").mapInPandas(lambda it: _write_days(it, folder), "path string").count()
     return [f"{folder}/d{k}_{{YYYY}}{{MM}}{{DD}}_{{LEV}}.nc" for k in (1, 2)]
 
 

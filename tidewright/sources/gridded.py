@@ -1,13 +1,14 @@
 """Gridded NetCDF files of the classic formats (CDF-1, -2 and -5) as a data source, and a small writer.
 
 A file is split by time steps; a task reads one variable's slice at a time and yields it as Arrow batches
-``file, variable, t_s, cell_idx, value``, unpacked, missing values null. Only the variables asked for are read.
+``file, variable, t_s, cell_idx, value``, unpacked, missing values null. Only the variables asked for are read. Where ``wide`` is set, a
+cell's values at a time are one row, ``file_no, t_s, cell_idx, known`` and a column for each variable.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import floor, prod
 
@@ -26,6 +27,8 @@ TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8:
 DIMENSIONS, VARIABLES, ATTRIBUTES = 10, 11, 12
 NO_SENTINEL = ("lon", "lat", "depth")
 UNSUPPORTED = (2, 7, 8, 9, 11)
+#: Rows of a batch of wide rows.
+WIDE_ROWS = 1 << 17
 SCHEMA = "file string, variable string, t_s bigint, cell_idx bigint, value double"
 
 
@@ -102,6 +105,10 @@ class ClassicFile:
     def _per_step(self, v: Variable) -> int:
         return prod(self.shape(v)[1:]) if self.is_record(v) or self.has_time(v) else prod(self.shape(v))
 
+    def cells(self, v: Variable) -> int:
+        """How many values a time step has."""
+        return self._per_step(v)
+
     def slice(self, v: Variable, step: int = 0) -> np.ndarray:
         """Raw values at a time step (all values of a variable without time)."""
         n, kind = self._per_step(v), np.dtype(TYPES[v.kind])
@@ -210,11 +217,17 @@ def plan_parts(files: list[tuple[str, int]], split: int) -> list[FileParts]:
     return tasks + ([FileParts(together)] if together else [])
 
 
+def is_wide(options) -> bool:
+    return options.get("wide", "false").lower() == "true"
+
+
 class GridReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path = options["path"]
         self.variables = [x for x in options.get("variables", "").split(",") if x]
         self.split = int(options.get("splitBytes", str(SPLIT_BYTES)))
+        self.wide = is_wide(options)
+        self.numbers = {path: n for n, path in enumerate(sorted(list_files(self.path)))} if self.wide else {}
 
     def partitions(self) -> list[FileParts]:
         return plan_parts(file_sizes(self.path), self.split)
@@ -222,7 +235,24 @@ class GridReader(DataSourceReader):
     def read(self, partition: FileParts) -> Iterator[pa.RecordBatch]:
         for path, part, of in partition.parts:
             with open_input(path) as source:
-                yield from self._slices(path, ClassicFile(source), part, of)
+                yield from (self._wide if self.wide else self._slices)(path, ClassicFile(source), part, of)
+
+    def _wide(self, path: str, f: ClassicFile, part: int, of: int) -> Iterator[pa.RecordBatch]:
+        """Variables that the file hasn't are null and have no bit in ``known``; those of other sizes come in rows of their own."""
+        times = f.times() if "time" in f.variables else [0]
+        first, last = len(times) * part // of, len(times) * (part + 1) // of
+        found = {name: f.variables[name] for name in self.variables if name in f.variables and f.variables[name].kind not in UNSUPPORTED}
+        for timed, n in dict.fromkeys((f.has_time(v), f.cells(v)) for v in found.values()):
+            here = {name: v for name, v in found.items() if (f.has_time(v), f.cells(v)) == (timed, n)}
+            known = sum(1 << k for k, name in enumerate(self.variables) if name in here)
+            for step in range(first, last) if timed else [0] * (part == 0):
+                whole = lambda x: pa.array(np.full(n, x, dtype=np.int64))  # noqa: E731, B023
+                batch = pa.record_batch(
+                    [whole(self.numbers[path]), whole(times[step] if timed else 0), pa.array(np.arange(n, dtype=np.int64)), whole(known)]
+                    + [f.unpacked(here[name], step) if name in here else pa.nulls(n, pa.float64()) for name in self.variables],
+                    names=["file_no", "t_s", "cell_idx", "known", *self.variables],
+                )
+                yield from (batch.slice(at, WIDE_ROWS) for at in range(0, n, WIDE_ROWS))
 
     def _slices(self, path: str, f: ClassicFile, part: int, of: int) -> Iterator[pa.RecordBatch]:
         times = f.times() if "time" in f.variables else [0]
@@ -242,13 +272,18 @@ class GridReader(DataSourceReader):
 
 
 class GridSource(DataSource):
-    """``format("gridnc")`` with ``path`` (files or folders, commas between) and ``variables``."""
+    """``format("gridnc")`` with ``path`` (files or folders, commas between) and ``variables``.
+
+    ``wide``: ``file_no`` is a file's number in the order of paths; bit n of ``known`` says whether the file has the n-th of ``variables``.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "gridnc"
 
     def schema(self) -> str:
+        if is_wide(self.options):
+            return "file_no bigint, t_s bigint, cell_idx bigint, known bigint" + "".join(f", `{name}` double" for name in self.options["variables"].split(","))
         return SCHEMA
 
     def reader(self, schema) -> GridReader:
@@ -328,18 +363,39 @@ def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[li
 DOMAIN_NODES = 1 << 40
 
 
-def load_domains(spark: SparkSession, paths: list[str], u: str, v: str, dt: int, span: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``load_month`` of several domains, whose nodes and samples become one table each."""
+def load_domains(spark: SparkSession, paths: list[str], u: str, v: str, dt: int, span: tuple[int, int] | None = None, solve: Callable[[DataFrame], DataFrame] = lambda samples: samples) -> tuple[DataFrame, DataFrame]:
+    """``load_month`` of several domains, whose nodes and samples become one table each.
+
+    ``solve`` is applied to each domain's samples by themselves, as long as they lie in partitions by ``node_id``.
+    """
     found = [load_month(spark, path, u, v, dt, span) for path in paths]
     out = []
-    for part in (0, 1):
-        moved = [f[part].withColumn("node_id", F.col("node_id") + n * DOMAIN_NODES) for n, f in enumerate(found)]
+    for tables in ([nodes for nodes, _ in found], [solve(samples) for _, samples in found]):
+        moved = [t.withColumn("node_id", F.col("node_id") + n * DOMAIN_NODES) for n, t in enumerate(tables)]
         out.append(moved[0])
         for more in moved[1:]:
-            out[part] = out[part].unionByName(more)
+            out[-1] = out[-1].unionByName(more)
     return out[0], out[1]
 
 
+def step_times(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
+    """``file, t_s``: the times at which the files have values of some of these variables, from the headers."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p in frame["file"]:
+                with open_input(p) as source:
+                    f = ClassicFile(source)
+                    times = f.times() if "time" in f.variables else [0]
+                    some = [v for name in variables if (v := f.variables.get(name)) is not None and v.kind not in UNSUPPORTED and f.cells(v)]
+                    at = sorted({t for v in some for t in (times if f.has_time(v) else [0])})
+                    yield pd.DataFrame({"file": [p] * len(at), "t_s": np.array(at, dtype=np.int64)})
+
+    listed = list_files(path)
+    files = spark.createDataFrame([(x,) for x in listed], "file string").repartition(max(1, min(len(listed), spark.sparkContext.defaultParallelism)))
+    return files.mapInPandas(look, "file string, t_s bigint")
+
+
 def load_month(spark: SparkSession, path: str, u: str, v: str, dt: int, span: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (``node_id, lon, lat, sea``) and gap-free samples (``node_id, t_s, u, v``) of one domain's files.
 
@@ -347,24 +403,35 @@ def load_month(spark: SparkSession, path: str, u: str, v: str, dt: int, span: tu
     which is the last day whose file belongs to the month, are taken.
 
     Longitude and latitude are 1-D variables of the first file, in degrees; the mask is that of ``u`` at its earliest time; of repeated times the
-    last file counts; sea nodes alone are put on the regular axis and filled.
+    last file counts; sea nodes alone are put on the regular axis and filled. The files' times come from their headers, so the mask is read from the
+    files of the earliest time alone, and all values are shuffled once, by node (where ``BY_NODE`` is set when the samples are worked out).
     """
     from tidewright.operators import grid, series
     from tidewright.operators.storage import cut_lineage
 
     register(spark)
-    read = lambda where, names: spark.read.format("gridnc").option("path", where).option("variables", names).load()
-    fixed = read(list_files(path)[0], "lon,lat")
+    read = lambda where, names: spark.read.format("gridnc").option("path", where).option("variables", names)
+    fixed = read(list_files(path)[0], "lon,lat").load()
     axis = lambda name, i: fixed.where(F.col("variable") == name).select(F.col("cell_idx").alias(i), F.col("value").alias(f"{name}_deg"))
     nodes = grid.build_nodes(axis("lon", "i"), axis("lat", "j"))
-    timed = read(path, f"{u},{v}")
-    if span:
-        timed = timed.where((F.col("t_s") >= span[0] - 86400) & (F.col("t_s") < span[1] + 2 * 86400))
-    # One pass over the files; of repeated times the last file counts.
-    pick = lambda n: F.max_by(F.when(F.col("variable") == n, F.col("value")), F.when(F.col("variable") == n, F.col("file")))
-    wide = cut_lineage(timed.groupBy("cell_idx", "t_s").agg(pick(u).alias("u"), pick(v).alias("v")))
-    mask = grid.sea_mask(wide, value="u")
+    times = step_times(spark, path, [u, v]).collect()  # some 33 rows, or as many as times
+    times = [r for r in times if span is None or span[0] - 86400 <= r["t_s"] < span[1] + 2 * 86400]
+    low, high = min((r["t_s"] for r in times), default=0), max((r["t_s"] for r in times), default=-1)
+    earliest = ",".join(sorted({r["file"] for r in times if r["t_s"] == low})) or path
+
+    def values(where: str, first: int, last: int) -> DataFrame:
+        """``cell_idx, t_s, u, v``; of repeated times the last file that has the variable counts."""
+        rows = read(where, f"{u},{v}").option("wide", "true").load().where(F.col("t_s").between(first, last))
+        pick = lambda name, bit: F.max_by(name, F.when(F.col("known").bitwiseAND(bit) > 0, F.col("file_no")))
+        return rows.repartition("cell_idx").groupBy("cell_idx", "t_s").agg(pick(u, 1).alias("u"), pick(v, 2).alias("v"))
+
+    mask = values(earliest, low, min(low, high)).select("cell_idx", F.col("u").isNotNull().alias("sea"))
     nodes = cut_lineage(nodes.join(mask, "cell_idx").withColumnRenamed("cell_idx", "node_id"))
-    samples = wide.withColumnRenamed("cell_idx", "node_id").join(nodes.where("sea").select("node_id"), "node_id", "left_semi")
-    filled = series.fill_gaps(series.on_axis(samples, nodes.where("sea"), series.time_axis(samples, dt), "node_id"), "node_id", "t_s", ["u", "v"])
+    sea = nodes.where("sea").select("node_id")
+    samples = values(path, low, high).withColumnRenamed("cell_idx", "node_id").join(sea, "node_id", "left_semi")
+    filled = series.fill_gaps(series.on_axis(samples, sea, spark.range(low, high + 1, dt).withColumnRenamed("id", "t_s"), "node_id"), "node_id", "t_s", ["u", "v"])
     return nodes, filled
+
+
+#: Session settings under which rows dealt out by node are joined by node and time where they are, in partitions that tasks sort in memory.
+BY_NODE = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
