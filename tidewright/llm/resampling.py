@@ -36,8 +36,8 @@ BUCKETS, LONGEST_RUN = 10_000, 2
 #: Documents with fewer words aren't drawn; of the others, this many in a hundred are.
 LEAST_WORDS, PERCENT = 20, 25
 SEED = 7
-#: Bytes of a row group of blocks: what a reader holds at once.
-ROW_GROUP = 1 << 24
+#: Entries of a block (a longer document is a block of its own) and blocks of a row group: a reader decodes a row group at once, some 16 MB.
+BLOCK_ENTRIES, GROUP_BLOCKS = 1 << 16, 32
 
 #: Everything but digits, lower-case letters and what lies beyond ASCII parts words; capitals become small first.
 _PLAIN = bytes(
@@ -58,28 +58,35 @@ def bucket_runs(text: str | None, buckets: int = BUCKETS, longest: int = LONGEST
 
 
 def _csr(batches: Iterator[pa.RecordBatch], buckets: int, longest: int) -> Iterator[pa.RecordBatch]:
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     for batch in batches:
-        words, runs = zip(*(bucket_runs(t.as_py(), buckets, longest) for t in batch.column("text")), strict=True) if batch.num_rows else ((), ())
-        n_features = np.array([len(r) for r in runs], dtype=np.int64)
-        entries = [np.unique(r, return_counts=True) for r in runs]
-        lengths = np.array([len(e[0]) for e in entries], dtype=np.int64)
-        start = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        flat = [np.concatenate([e[k] for e in entries]).astype(np.int32) if entries else np.zeros(0, np.int32) for k in (0, 1)]
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        yield pa.record_batch(
-            [one(batch.column("id")), one(pa.array(words, pa.int32())), one(pa.array(n_features)), one(pa.array(start)), one(pa.array(flat[0])), one(pa.array(flat[1]))],
-            names=["ids", "n_words", "n_features", "row_start", "buckets", "counts"],
-        )
+        found = [bucket_runs(t.as_py(), buckets, longest) for t in batch.column("text")]
+        entries = [np.unique(runs, return_counts=True) for _, runs in found]
+        ends, first = np.cumsum([len(at) for at, _ in entries]), 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + BLOCK_ENTRIES, side="right")))
+            words, n_features = zip(*((n, len(runs)) for n, runs in found[first:last]), strict=True)
+            start = np.concatenate([[0], ends[first:last] - before]).astype(np.int32)
+            flat = [np.concatenate([e[k] for e in entries[first:last]]).astype(np.int32) for k in (0, 1)]
+            yield pa.record_batch(
+                [one(batch.column("id")[first:last]), one(pa.array(words, pa.int32())), one(pa.array(n_features, pa.int64())), one(pa.array(start)), one(pa.array(flat[0])), one(pa.array(flat[1]))],
+                names=["ids", "n_words", "n_features", "row_start", "buckets", "counts"],
+            )
+            first = last
 
 
 def count_matrix(docs: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS, longest: int = LONGEST_RUN) -> DataFrame:
-    """The sparse document-by-bucket matrix of counts, in CSR blocks (a batch of documents each), written to the shared folder."""
+    """The sparse document-by-bucket matrix of counts, in CSR blocks of some documents each, written to the shared folder.
+
+    Blocks and row groups are bounded by their entries, so that a task's memory doesn't hang on how much it reads.
+    """
     chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     ints, longs = ArrayType(IntegerType()), ArrayType(LongType())
     fields = {"ids": ArrayType(chosen.schema["id"].dataType), "n_words": ints, "n_features": longs, "row_start": ints, "buckets": ints, "counts": ints}
     schema = StructType([StructField(n, t) for n, t in fields.items()])
     path = scratch_path(docs.sparkSession, "csr")
-    map_arrow(chosen, partial(_csr, buckets=buckets, longest=longest), schema).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    map_arrow(chosen, partial(_csr, buckets=buckets, longest=longest), schema).write.option("parquet.block.row.count.limit", GROUP_BLOCKS).parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
